@@ -101,7 +101,7 @@ class Codec:
             return self._plain(text)
         out: list[np.ndarray] = []
         begin = 0
-        for cut, end in zip(cuts, [*cuts[1:], len(text)], strict=True):
+        for cut, end in zip(cuts, [*cuts[1:], len(text)], strict=False):
             if cut - begin < 2:
                 continue
             if _parts(text, cut):
