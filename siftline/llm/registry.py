@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, ppm
 
 
 def queries() -> dict:
-    return {"op9_bpe": bpe.op9_bpe}
+    return {"op6_ppm": ppm.op6_ppm, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
