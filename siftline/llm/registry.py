@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, ppm
+from . import bpe, minhash, pii, ppm
 
 
 def queries() -> dict:
-    return {"op2_pii": pii.op2_pii, "op6_ppm": ppm.op6_ppm, "op9_bpe": bpe.op9_bpe}
+    return {"op2_pii": pii.op2_pii, "op3_minhash": minhash.op3_minhash, "op6_ppm": ppm.op6_ppm, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
