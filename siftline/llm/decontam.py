@@ -252,10 +252,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     return out.withColumnRenamed("key", key)
 
 
+def without(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with a column ``text`` to those of their rows that hold no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i, data, at in slices(batch.column(batch.schema.get_field_index("text"))):
+                w, _ = tokens(data, at)
+                keep[[i + t for t, *_ in matches(shared.value, w.hash, w.doc)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti").select(docs.columns)
+    """``docs`` without the documents that contain an item; one pass, no shuffle."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    for block in blocks(benchmark):
+        if index := build(block):
+            docs = docs.mapInArrow(without(spark.sparkContext.broadcast(index)), docs.schema)
+    return docs
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,36 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scored(shared), f"key {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("key", key)
 
 
+#: A text that every learned language codes worse than this is in none of them.
+MOST_BITS = 6.0
+
+
+def passed(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with a column ``text`` to those of their rows that are in a learned
+    language; without a model every row passes."""
+    score = scored(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shared.value is None:
+                yield batch
+                continue
+            texts = batch.column(batch.schema.get_field_index("text"))
+            found = pa.Table.from_batches(list(score(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["key", "text"])]))))
+            known = [name != UND and rate <= MOST_BITS for name, rate in zip(found["lang_pred"].to_pylist(), found["bits_per_byte"].to_pylist(), strict=True)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return run
+
+
+def in_known_languages(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, lang, doc_id and others) without the documents whose text
+    has no letter or is in no language that their own labels teach."""
+    bounded_batches(docs.sparkSession)
+    model = fit(sample(docs.select("doc_id", "text", "lang")))
+    return docs.mapInArrow(passed(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+
+
 def trained(docs: DataFrame) -> Model | None:
     """A model from the documents that aren't held out."""
     return fit(sample(docs.select("doc_id", "text", "lang").where(remainder(F.col("doc_id"), 4) != 2)))
