@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, digest, minhash, pages, pii, ppm
+from . import bpe, decontam, digest, minhash, pages, pii, ppm, urls
 
 
 def queries() -> dict:
-    return {"op1_decontam": decontam.op1_decontam, "op2_pii": pii.op2_pii, "op3_minhash": minhash.op3_minhash, "op6_ppm": ppm.op6_ppm, "op7_pages": pages.op7_pages, "op9_bpe": bpe.op9_bpe, "op10_digest": digest.op10_digest}
+    return {"op1_decontam": decontam.op1_decontam, "op2_pii": pii.op2_pii, "op3_minhash": minhash.op3_minhash, "op4_urls": urls.op4_urls, "op6_ppm": ppm.op6_ppm, "op7_pages": pages.op7_pages, "op9_bpe": bpe.op9_bpe, "op10_digest": digest.op10_digest}
 
 
 def oracle_sql() -> dict[str, str]:
