@@ -41,12 +41,12 @@ from .words import ALNUM, SPACE, Words, mix, slices, split
 #: Edits allowed, as a share of the item's words.
 SHARE = 0.2
 WALKS, PICKS, PLACES = 6, 8, 4
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 100_000
 #: Lengths of windows, each about 1.4 times the one before.
 LADDER = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512]
 _TOKEN = ALNUM | SPACE
 _ODD = mix(np.arange(WALKS * 4 * LADDER[-1] + 1, dtype=np.uint64) + np.uint64(0xDEC0DE)) | np.uint64(1)
-_VOCABULARY_BITS, _TABLE_BITS = 22, 20
+_VOCABULARY_BITS = 20
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -61,6 +61,8 @@ class Class:
 
     length: int
     edits: int = 0
+    windows: np.ndarray | None = None
+    #: By sample: which leading bits occur, the sorted signatures, and their windows.
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
 
@@ -126,9 +128,11 @@ def build(rows: list[tuple[int, str]]) -> Index | None:
         for walk in range(WALKS):
             for sig in walked(flat, first[item] + offset, first[item + 1], length, walk):
                 order = np.argsort(sig)
-                quick = np.zeros(1 << _TABLE_BITS, bool)
-                quick[sig >> np.uint64(64 - _TABLE_BITS)] = True
-                own.tables.append((quick, sig[order], np.stack([item[order], offset[order]])))
+                bits = (32 * len(sig)).bit_length()
+                quick = np.zeros(1 << bits, bool)
+                quick[sig >> np.uint64(64 - bits)] = True
+                own.tables.append((quick, sig[order], order.astype(np.int32)))
+        own.windows = np.stack([item, offset])
     return Index(ids, items, vocabulary, [classes[k] for k in sorted(classes)])
 
 
@@ -172,11 +176,12 @@ def matches(index: Index, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int
             for walk in range(WALKS):
                 sigs = walked(padded, part, end[part], own.length, walk)
                 for sig, (quick, keys, where) in zip(sigs, own.tables[walk * PICKS : (walk + 1) * PICKS], strict=True):
-                    hit = np.flatnonzero(quick[sig >> np.uint64(64 - _TABLE_BITS)])
+                    hit = np.flatnonzero(quick[sig >> np.uint64(65 - len(quick).bit_length())])
                     a, b = np.searchsorted(keys, sig[hit]), np.searchsorted(keys, sig[hit], "right")
                     size = b - a
                     row = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    found.append(np.stack([where[0][row], np.repeat(part[hit], size), where[1][row]]))
+                    window = own.windows[:, where[row]]
+                    found.append(np.stack([window[0], np.repeat(part[hit], size), window[1]]))
     if not found:
         return []
     item, place, offset = np.concatenate(found, axis=1)
