@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, decontam, digest, minhash, pages, pii, ppm, urls
+from . import bpe, brown, decontam, digest, minhash, pages, pii, ppm, tokenfile, urls
 
 
 def queries() -> dict:
-    return {"op1_decontam": decontam.op1_decontam, "op2_pii": pii.op2_pii, "op3_minhash": minhash.op3_minhash, "op4_urls": urls.op4_urls, "op6_ppm": ppm.op6_ppm, "op7_pages": pages.op7_pages, "op8_brown": brown.op8_brown, "op9_bpe": bpe.op9_bpe, "op10_digest": digest.op10_digest}
+    return {"op1_decontam": decontam.op1_decontam, "op2_pii": pii.op2_pii, "op3_minhash": minhash.op3_minhash, "op4_urls": urls.op4_urls, "op5_tokenfile": tokenfile.op5_tokenfile, "op6_ppm": ppm.op6_ppm, "op7_pages": pages.op7_pages, "op8_brown": brown.op8_brown, "op9_bpe": bpe.op9_bpe, "op10_digest": digest.op10_digest}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,7 +43,8 @@ _G = mix(LOWER.astype(np.uint64) + np.uint64(0x51F15EED))
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(which: str, n: int) -> np.ndarray:
+def power(which: str, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 at least of the base ('r') or its inverse ('i')."""
     have = _powers.get(which)
     if have is None or len(have) < n:
         size = max(n, SLICE_BYTES + 1)
@@ -115,8 +116,8 @@ def split(data: np.ndarray, at: np.ndarray) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_G[data] * _power("r", n)[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * _power("i", n)[start])
+    np.cumsum(_G[data] * power("r", n)[:n], out=total[1:])
+    h = mix((total[end] - total[start]) * power("i", n)[start])
     return Words(h, np.searchsorted(start, at), start, end, data, at)
 
 
