@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions import fixed
 from siftline.functions import text as T
-from siftline.operators import clean, retrieve
+from siftline.operators import clean, dedup, evidence, retrieve, rules
+from siftline.sources import search
+from siftline.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,9 +174,6 @@ def _words(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-from siftline.functions import fixed  # noqa: E402
-
-
 @query(f"""WITH {CHUNKS}, b AS (SELECT *, length(text) AS n FROM chunks)
 SELECT doc_id, chunk_no, v.passed, v.score, v.reason FROM (SELECT doc_id, chunk_no, CASE
   WHEN n < 20 THEN {{'passed': false, 'score': 0.0::DOUBLE, 'reason': 'short'}} WHEN n > 2000 THEN {{'passed': false, 'score': 0.0::DOUBLE, 'reason': 'long'}}
@@ -184,3 +184,334 @@ def chunk_validate_ladder(spark, sf_dir):
     chunks = clean.strided(read(spark, sf_dir, "documents"))
     v = clean.chunk_verdict(F.col("text"), F.lit("http://example.org"))
     return chunks.select("doc_id", "chunk_no", v.alias("v")).select("doc_id", "chunk_no", "v.passed", "v.score", "v.reason")
+
+
+@query("""WITH d AS (SELECT text, min(doc_id) AS id FROM documents WHERE length(text) >= 5 GROUP BY text),
+  g AS (SELECT id, list_distinct(list_transform(generate_series(1, length(text) - 4), lambda i: substring(text, i, 5))) AS own FROM d),
+  p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.own, b.own)) / greatest(len(a.own), len(b.own)) AS o FROM g a JOIN g b ON a.id < b.id AND least(len(a.own), len(b.own)) >= 0.85 * greatest(len(a.own), len(b.own)))
+SELECT a, b, round(o, 6) AS overlap FROM p WHERE round(o, 6) >= 0.85
+UNION ALL SELECT d.id, e.doc_id, 1.0 FROM documents e JOIN d USING (text) WHERE e.doc_id <> d.id""")
+def ngram_overlap_pairs(spark, sf_dir):
+    return dedup.overlap_links(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query()
+def dedup_greedy(spark, sf_dir):
+    paras = clean.paragraphs(read(spark, sf_dir, "pages"))
+    grouped = paras.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("para_no", "text"))).alias("p"))
+    return grouped.select("page_id", F.posexplode(dedup.keep_first(F.col("p.text"))).alias("kept_no", "text"))
+
+
+@query("""WITH s AS (SELECT doc_id, item_id, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS c, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS w FROM documents d, benchmark b),
+  o AS (SELECT item_id, doc_id, round(0.3 * len(list_intersect(c, w)) / (len(w) + 0.001), 6) AS score FROM s)
+SELECT * FROM o WHERE score >= 0.25""")
+def lexical_overlap_hits(spark, sf_dir):
+    docs, items = read(spark, sf_dir, "documents", "benchmark")
+    asked = items.agg(F.collect_list(F.struct("item_id", "text")).alias("q"))
+    each = docs.crossJoin(F.broadcast(asked)).select("doc_id", "text", F.explode("q").alias("q"))
+    out = each.select("q.item_id", "doc_id", F.round(T.lexical_overlap(F.col("text"), F.col("q.text")), 6).alias("score"))
+    return out.where("score >= 0.25")
+
+
+@query()
+def layer1_filter(spark, sf_dir):
+    """Chunks against their own documents: length, relevance to the document's best
+    item, and distortion; with the reason."""
+    docs = read(spark, sf_dir, "documents")
+    words = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)\w+"), F.lit(0)))
+    side = lambda t: (t.alias("t"), T.grams(t).alias("g"), words(t).alias("w"))
+    sources = docs.select("doc_id", T.normalised(F.col("text")).alias("t")).select("doc_id", F.struct(*side(F.col("t"))).alias("b"))
+    chunks = clean.strided(docs).select("doc_id", "chunk_no", T.normalised(F.col("text")).alias("t")).select("doc_id", "chunk_no", F.struct(*side(F.col("t"))).alias("a"))
+    both = chunks.join(sources, "doc_id").withColumn("content", F.array_except("a.w", F.array(*map(F.lit, fixed.STOP_WORDS))))
+    covered = F.when(F.size("content") > 0, F.size(F.array_intersect("content", "b.w")) / F.size("content")).otherwise(0.0)
+    scored = both.select("doc_id", "chunk_no", F.length("a.t").alias("n"), T.overlap(F.col("a.g"), F.col("b.g")).alias("ngram"), T.edit_ratio(F.col("a.t"), F.col("b.t")).alias("edit"), covered.alias("covered"))
+    total = 0.4 * F.col("ngram") + 0.3 * F.col("edit") + 0.3 * F.col("covered")
+    reason = F.when(F.col("n") < 15, "short").when((F.col("ngram") < 0.2) & (F.col("edit") < 0.25), "distorted").when(total < 0.2, "off the source").otherwise("ok")
+    return scored.select("doc_id", "chunk_no", F.round(total, 6).alias("score"), reason.alias("reason"))
+
+
+TIER_TRUSTED, TIER_LOW = ["example.org"], ["spam-farm", "cheap-pills"]
+
+
+@query("""SELECT page_id, url, CASE WHEN contains(url, 'spam-farm') OR contains(url, 'cheap-pills') THEN 'low_quality'
+  WHEN ends_with(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'example.org') THEN 'verified' ELSE 'unverified' END AS trust_tier FROM pages""")
+def trust_tier(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", "url", rules.trust_tier(F.col("url"), TIER_TRUSTED, TIER_LOW).alias("trust_tier"))
+
+
+@query(f"""WITH {BM25}, n AS (SELECT item_id, doc_id, score / max(score) OVER (PARTITION BY item_id) AS s FROM bm),
+  a AS (SELECT item_id, round(max(s), 6) AS best, round(min(s), 6) AS worst, round(avg(s), 6) AS mean FROM n WHERE doc_id % 2 = 1 GROUP BY item_id)
+SELECT item_id, best, worst, mean, CASE WHEN best < 0.5 THEN 'irrelevant' WHEN best < 0.7 THEN 'insufficient' ELSE 'relevant' END AS relevance FROM a""")
+def relevance_class(spark, sf_dir):
+    """Scores of the documents with odd ids, relative to the best of all: two halves of the corpus are two sources here."""
+    from pyspark.sql import Window
+
+    hits = retrieve.bm25(*read(spark, sf_dir, "documents", "benchmark"))
+    relative = hits.withColumn("s", F.col("score") / F.max("score").over(Window.partitionBy("item_id"))).where("doc_id % 2 = 1")
+    out = relative.groupBy("item_id").agg(F.round(F.max("s"), 6).alias("best"), F.round(F.min("s"), 6).alias("worst"), F.round(F.avg("s"), 6).alias("mean"))
+    return out.withColumn("relevance", rules.relevance(F.col("best")))
+
+
+@query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10),
+  l AS (SELECT t.item_id, t.doc_id, t.rank, CASE WHEN quality = 1 THEN 'relevant' WHEN quality = 0 THEN 'irrelevant' ELSE 'partly' END AS label FROM t LEFT JOIN labels USING (doc_id)),
+  w AS (SELECT *, CASE label WHEN 'relevant' THEN 3.0 WHEN 'partly' THEN 2.0 ELSE 1.0 END AS rerank_score, count(*) FILTER (label <> 'irrelevant') OVER (PARTITION BY item_id) AS good FROM l),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM w)
+SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, label, CAST(rerank_score AS DOUBLE) AS rerank_score, CAST(rerank_rank AS INTEGER) AS rerank_rank FROM r WHERE (CASE WHEN good > 0 THEN label <> 'irrelevant' ELSE rerank_rank = 1 END) AND rerank_rank <= 5""")
+def rerank_labels(spark, sf_dir):
+    docs, items, labels = read(spark, sf_dir, "documents", "benchmark", "labels")
+    hits = retrieve.bm25_topk(docs, items).join(labels.select("doc_id", "quality"), "doc_id", "left")
+    label = F.when(F.col("quality") == 1, "relevant").when(F.col("quality") == 0, "irrelevant").otherwise("partly")
+    return rules.reranked(hits.select("item_id", "doc_id", "rank", label.alias("label")))
+
+
+def _sides(spark, sf_dir):
+    """Materials in the language of the quantity patterns, made from two tables."""
+    orders, customer = read(spark, sf_dir, "orders", "customer")
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    left = orders.select(F.col("o_orderkey").alias("id"), say("市场规模达", F.col("o_custkey").cast("string"), "亿元，增长率为", (F.col("o_orderkey") % 50 + 1).cast("string"), "%").alias("text"))
+    right = customer.select(F.col("c_custkey").alias("id"), say("营收达", F.col("c_custkey").cast("string"), "亿元，增长率为", (F.col("c_nationkey") + 2).cast("string"), "%").alias("text"))
+    return left, right
+
+
+SIDE_ROWS = """l AS (SELECT o_orderkey AS id, '市场规模达' || o_custkey || '亿元，增长率为' || (o_orderkey % 50 + 1) || '%' AS text FROM orders),
+  r AS (SELECT c_custkey AS id, '营收达' || c_custkey || '亿元，增长率为' || (c_nationkey + 2) || '%' AS text FROM customer)"""
+QUANTITIES = """SELECT id, 0 AS ord, {label} AS label, regexp_extract(text, '达([0-9]+)', 1) AS value, '亿' AS unit, {label} || '达' || regexp_extract(text, '达([0-9]+)', 1) || '亿' AS raw, text FROM {t}
+  UNION ALL SELECT id, 1000000, '增长率', regexp_extract(text, '为([0-9]+)', 1), '%', '增长率为' || regexp_extract(text, '为([0-9]+)', 1) || '%', text FROM {t}"""
+
+
+@query(f"""WITH {SIDE_ROWS}, q AS ({QUANTITIES.format(t='l', label="'市场规模'")})
+SELECT id, CAST(ord AS INTEGER) AS ord, label, value, unit, raw, substring(text, greatest(1, instr(text, raw) - 20), instr(text, raw) + length(raw) + 20 - greatest(1, instr(text, raw) - 20)) AS context FROM q""")
+def quantities(spark, sf_dir):
+    return evidence.quantities(_sides(spark, sf_dir)[0])
+
+
+RECONCILED = f"""WITH {SIDE_ROWS}, a AS ({QUANTITIES.format(t='l', label="'市场规模'")}), b AS ({QUANTITIES.format(t='r', label="'营收'")}),
+  fa AS (SELECT label, arg_min(value, id * 10000000::BIGINT + ord) AS v FROM a GROUP BY label), fb AS (SELECT label, arg_min(value, id * 10000000::BIGINT + ord) AS v FROM b GROUP BY label),
+  c AS (SELECT label, fa.v AS left_value, fb.v AS right_value, abs(fa.v::DOUBLE - fb.v::DOUBLE) / greatest(abs(fa.v::DOUBLE), abs(fb.v::DOUBLE), 0.01) AS d FROM fa JOIN fb USING (label)),
+  o AS (SELECT label, left_value, right_value, CASE WHEN d < 0.05 THEN 'consistent' ELSE 'conflict' END AS status, round(d, 4) AS diff_ratio FROM c
+    UNION ALL SELECT label, value, NULL, 'left_only', NULL FROM a WHERE label NOT IN (SELECT label FROM b) UNION ALL SELECT label, NULL, value, 'right_only', NULL FROM b WHERE label NOT IN (SELECT label FROM a))"""
+
+
+@query(RECONCILED + " SELECT * FROM o")
+def reconcile_sources(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return evidence.reconciled(evidence.quantities(left), evidence.quantities(right))
+
+
+@query(RECONCILED + " SELECT status, count(*) AS n FROM o GROUP BY status")
+def reconcile_status_counts(spark, sf_dir):
+    return reconcile_sources(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query()
+def key_number_conflicts(spark, sf_dir):
+    return evidence.number_conflicts(*_sides(spark, sf_dir))
+
+
+def _materials(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("ord"), F.when(F.col("lang") == "en", "pdf").otherwise("web").alias("origin"), F.concat(F.lit("doc-"), "source").alias("doc_name"), F.concat(F.lit("http://example.org/"), "doc_id").alias("url"), "text")
+
+
+CITED = """m AS (SELECT doc_id + 1 AS ref_id, doc_id AS ord, CASE WHEN lang = 'en' THEN 'pdf' ELSE 'web' END AS origin, 'doc-' || source AS dn, 'http://example.org/' || doc_id AS u,
+    trim(regexp_replace(substring(text, 1, 120), '[\\x{e000}-\\x{f8ff}\\x{0080}-\\x{009f}]', '', 'g')) AS snippet FROM documents),
+  c AS (SELECT ref_id, ord, origin, CASE WHEN origin = 'pdf' THEN dn ELSE '' END AS doc_name, CASE WHEN origin = 'pdf' THEN '' ELSE u END AS url, snippet, CASE WHEN origin = 'pdf' THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence_weight,
+    substring(split_part(snippet, '。', 1), 1, 60) AS title FROM m)"""
+
+
+@query(f"WITH {CITED} SELECT * FROM c")
+def citations(spark, sf_dir):
+    return evidence.citations(_materials(spark, sf_dir))
+
+
+@query(f"""WITH {CITED} SELECT ref_id, CASE WHEN origin = 'pdf' THEN '【S' || ref_id || '】内部文档《' || doc_name || '》，' || substring(snippet, 1, 60)
+  ELSE '【S' || ref_id || '】公开网络：' || url || ' 《' || title || '》' END AS line FROM c""")
+def reference_list(spark, sf_dir):
+    return evidence.reference_list(evidence.citations(_materials(spark, sf_dir)))
+
+
+NUMBERS = r"""tok AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(text, '\d{1,3}(?:,\d{3})*(?:\.\d+)?[万亿千百十万]*[亿万千百十]*'))) AS number FROM documents),
+  num AS (SELECT id, number FROM tok WHERE NOT coalesce(try_cast(regexp_replace(number, '[^\d.]', '', 'g') AS DOUBLE) < 10 AND length(number) <= 2, false))"""
+
+
+@query(f"WITH {NUMBERS} SELECT id, number FROM num")
+def report_numbers(spark, sf_dir):
+    return evidence.report_numbers(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "number")
+
+
+@query(f"""WITH {NUMBERS}, n AS (SELECT DISTINCT number FROM num), m AS (SELECT page_id AS ord, html AS text FROM pages),
+  r AS (SELECT number, unnest(regexp_extract_all(number, '\\d+\\.?\\d*')) AS run FROM n), rc AS (SELECT number, count(*) AS runs FROM r GROUP BY 1),
+  e AS (SELECT number, min(ord) AS exact_in FROM n JOIN m ON contains(text, number) GROUP BY 1),
+  p AS (SELECT number, ord, count(*) AS hit FROM r JOIN m ON contains(text, run) GROUP BY 1, 2), s AS (SELECT number, max(hit / runs) AS share FROM p JOIN rc USING (number) GROUP BY 1)
+SELECT number, exact_in, round(CASE WHEN exact_in IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END, 4) AS confidence FROM n LEFT JOIN e USING (number) LEFT JOIN s USING (number)""")
+def number_check(spark, sf_dir):
+    docs, pages = read(spark, sf_dir, "documents", "pages")
+    numbers = evidence.report_numbers(docs.select(F.col("doc_id").alias("id"), "text"))
+    return evidence.supported(numbers, pages.select(F.col("page_id").alias("ord"), F.col("html").alias("text")))
+
+
+@query(r"""WITH n AS (SELECT doc_id, text, regexp_extract(text, '\d{1,3}', 0) AS wrong FROM documents)
+SELECT doc_id, CASE WHEN wrong = '' THEN text ELSE left(text, instr(text, wrong) - 1) || '<' || wrong || '>' || substring(text, instr(text, wrong) + length(wrong)) END AS text FROM n""")
+def number_repair(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    wrong = F.nullif(F.regexp_extract("text", r"\d{1,3}", 0), F.lit(""))
+    fixed_text = evidence.replaced_number(F.col("text"), wrong, F.concat(F.lit("<"), wrong, F.lit(">")))
+    return docs.select("doc_id", F.coalesce(fixed_text, "text").alias("text"))
+
+
+@query("""SELECT DISTINCT page_id AS id, url FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url || '/more' FROM pages)
+WHERE regexp_replace(url, '/+$', '') NOT IN (SELECT regexp_replace(url, '/+$', '') FROM pages WHERE contains(url, 'example.com')) AND regexp_matches(url, '^https?://[^)\\s]+$')""")
+def fake_citations(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    reports = pages.select(F.col("page_id").alias("id"), F.concat(F.lit("see [a]("), "url", F.lit(") and [b]("), "url", F.lit("/more)")).alias("text"))
+    return evidence.unknown_links(reports, pages.where(F.contains("url", F.lit("example.com"))))
+
+
+@query()
+def evidence_anchor(spark, sf_dir):
+    docs, items = read(spark, sf_dir, "documents", "benchmark")
+    return evidence.anchors(items, docs)
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 10 GROUP BY conv_id""")
+def conversation_window(spark, sf_dir):
+    return sessions.conversation_window(read(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT user_id, min(ts) AS created, max(ts) AS last_access, count(*) AS n_events, CAST(epoch(TIMESTAMP '2024-01-02 12:00:00') AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) <= 86400 AS live FROM events GROUP BY user_id""")
+def session_ttl(spark, sf_dir):
+    return sessions.live_sessions(read(spark, sf_dir, "events"), "2024-01-02 12:00:00")
+
+
+def _controls(spark, sf_dir):
+    """Control rows made from orders."""
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 17 == 0, "failed").alias("error_message"), F.when(k % 13 == 0, "MODE_CONFLICT").alias("terminate_reason"),
+        F.element_at(F.array(*map(F.lit, ("auto", "disabled", "web-only", "PDF_ONLY"))), (k % 4 + 1).cast("int")).alias("mode"),
+        (k % 19 == 0).alias("breaker"), (k % 23 == 0).alias("timeout"), (k % 11 == 0).alias("early_terminate"), (k % 5).alias("passed"), (k % 3).alias("retries"),
+        (k % 4).alias("plan_retries"), (k % 7 != 0).alias("materials"), (k % 9).alias("effective"), (k % 61).alias("issue_ratio"), (k % 2).alias("rewrite_count"),
+        (k % 3 == 0).alias("check_passed"), (k % 29 == 0).alias("meltdown"), (k % 31 != 0).alias("indexed"), (k % 37 == 0).alias("revalidate"),
+    )
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k FROM orders) SELECT k AS id,
+  CASE WHEN k % 13 = 0 OR k % 17 = 0 OR k % 19 = 0 THEN 'end' ELSE 'ingest' END AS after_plan,
+  CASE WHEN k % 17 = 0 THEN 'end' ELSE 'retrieve' END AS after_ingest,
+  CASE WHEN k % 11 = 0 OR k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0 THEN 'end' ELSE 'web_ingest' END AS after_retrieve,
+  CASE WHEN k % 17 = 0 OR k % 19 = 0 THEN 'end' ELSE 'conflict_check' END AS after_web_ingest,
+  CASE WHEN k % 37 = 0 THEN 'analyse' WHEN k % 5 < 2 AND k % 4 IN (0, 2) AND k % 3 < 2 THEN 'retrieve_again' ELSE 'analyse' END AS after_validate,
+  CASE WHEN k % 17 = 0 OR k % 23 = 0 OR k % 19 = 0 THEN 'end' WHEN k % 7 = 0 THEN CASE WHEN k % 4 >= 2 THEN 'end' ELSE 'retrieve' END WHEN k % 9 < 2 THEN 'end' ELSE 'write' END AS after_analyse,
+  CASE WHEN k % 23 = 0 THEN 'end' ELSE 'post_check' END AS after_write,
+  CASE WHEN k % 23 = 0 OR k % 19 = 0 OR k % 31 = 0 OR k % 29 = 0 OR k % 3 = 0 OR k % 2 >= 1 THEN 'end' WHEN k % 61 > 30 THEN 'repair' ELSE 'end' END AS after_post_check FROM k""")
+def route_control(spark, sf_dir):
+    stages = ("plan", "ingest", "retrieve", "web_ingest", "validate", "analyse", "write", "post_check")
+    return _controls(spark, sf_dir).select("id", *(rules.route(s).alias(f"after_{s}") for s in stages))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k FROM orders) SELECT k AS id, CASE WHEN k % 4 = 0 THEN 'passed' WHEN k % 5 = 0 OR (k % 10) / 10 > 0.5 THEN 'severe' WHEN (k % 10) / 10 > 0.2 THEN 'moderate' ELSE 'minor' END AS level,
+  CASE WHEN k % 4 = 0 THEN 'none' WHEN k % 5 = 0 OR (k % 10) / 10 > 0.5 THEN 'rewrite' WHEN (k % 10) / 10 > 0.2 THEN 'targeted_rewrite' ELSE 'local_fix' END AS action FROM k""")
+def severity(spark, sf_dir):
+    k = F.col("o_orderkey")
+    s = rules.severity(k % 4, F.when(k % 5 == 0, 1).otherwise(0), (k % 10) / 10)
+    return read(spark, sf_dir, "orders").select(k.alias("id"), s.alias("s")).select("id", "s.level", "s.action")
+
+
+ISSUES = ["格式有误", "内容编造", "前后矛盾", "无来源", "其他问题", "数据不存在"]
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS id, {_words(ISSUES)}[CAST(o_orderkey % 6 + 1 AS INTEGER)] AS issue, CASE WHEN o_orderkey % 7 = 0 THEN '核心结论' ELSE '附注' END AS sentence FROM orders),
+  t AS (SELECT *, CASE WHEN contains(issue, '格式') THEN 'format_error' WHEN contains(issue, '编造') OR contains(issue, '不存在') THEN 'evidence_fabricated' WHEN contains(issue, '矛盾') THEN 'conclusion_contradicted' ELSE 'evidence_missing' END AS error_type FROM k)
+SELECT id, error_type, CASE WHEN error_type IN ('evidence_fabricated', 'conclusion_contradicted') OR (error_type = 'evidence_missing' AND contains(sentence, '核心')) THEN 'critical' ELSE 'minor' END AS impact FROM t""")
+def grade_issues(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(k.alias("id"), F.element_at(F.array(*map(F.lit, ISSUES)), (k % 6 + 1).cast("int")).alias("issue"), F.when(k % 7 == 0, "核心结论").otherwise("附注").alias("sentence"))
+    return rows.select("id", rules.graded(F.col("issue"), F.col("sentence")).alias("g")).select("id", "g.error_type", "g.impact")
+
+
+TASKS = ["总结文件", "概括全文要点", "最新行业动态", "市场占比是多少", "随便聊聊", ""]
+
+
+@query(f"""SELECT o_orderkey AS id, {_words(['document_local', 'document_local', 'expansion_research', 'precise_qa', 'general', 'general'])}[CAST(o_orderkey % 6 + 1 AS INTEGER)] AS intent,
+  [0.95, 0.95, 0.85, 0.8, 0.5, 1.0][CAST(o_orderkey % 6 + 1 AS INTEGER)]::DOUBLE AS confidence FROM orders""")
+def intent(spark, sf_dir):
+    k = F.col("o_orderkey")
+    task = F.element_at(F.array(*map(F.lit, TASKS)), (k % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), rules.intent(task).alias("i")).select("id", "i.intent", "i.confidence")
+
+
+@query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10), n AS (SELECT item_id, count(*) AS n, max(score) AS b FROM t GROUP BY 1)
+SELECT item_id, n >= 3 AS sufficient, CASE WHEN n < 3 THEN 0.2 WHEN b >= 0.05 AND n >= 5 THEN 0.9 WHEN b >= 0.05 THEN 0.6 ELSE 0.3 END::DOUBLE AS score FROM n""")
+def sufficiency(spark, sf_dir):
+    hits = retrieve.bm25_topk(*read(spark, sf_dir, "documents", "benchmark"))
+    none = F.lit(None).cast("double")
+    return rules.sufficiency(hits.select("item_id", F.col("score").alias("bm25_score"), none.alias("vector_score"), none.alias("rerank_score"), F.lit(100).alias("source_chunks")))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(sk-)[a-zA-Z0-9]{20,}', '\\1***REDACTED***', 'g'), '(?i)(tvly-)[a-zA-Z0-9]{20,}', '\\1***REDACTED***', 'g'),
+  '(?i)(api[_\\-]?key\\s*[=:'']\\s*[''"]?)[a-zA-Z0-9_\\-]{8,}', '\\1***REDACTED***', 'g'), '(?i)(secret[_\\-]?key\\s*[=:'']\\s*[''"]?)[a-zA-Z0-9_\\-]{8,}', '\\1***REDACTED***', 'g'), '(?i)(password\\s*[=:'']\\s*[''"]?)[a-zA-Z0-9]{4,}', '\\1***REDACTED***', 'g'),
+  '(?i)(token\\s*[=:'']\\s*[''"]?)[a-zA-Z0-9_\\-]{8,}', '\\1***REDACTED***', 'g'), '(?i)(Authorization:?\\s*)(?:Bearer\\s+)?[a-zA-Z0-9_\\-]{8,}', '\\1***REDACTED***', 'g') AS text FROM documents""")
+def redact_secrets(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("text"))
+
+
+@query()
+def strip_markdown(spark, sf_dir):
+    text = F.concat(F.lit("**b** *i* `c` ~~s~~ [t](u) ![a](v)\n* "), F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.list_markers(T.plain_markdown(text)).alias("text"))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, html FROM pages), s AS (SELECT DISTINCT url FROM pages UNION SELECT url || '#gone' FROM pages)
+SELECT url, page_id, CASE WHEN html IS NULL THEN 'failed' ELSE 'ok' END AS fetch_status FROM s LEFT JOIN p USING (url)""")
+def fetch_pages(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    urls = pages.select("url").union(pages.select(F.concat("url", F.lit("#gone")).alias("url"))).distinct()
+    found = search.fetched(urls, pages)
+    return found.join(pages.select("url", "page_id"), "url", "left").select("url", "page_id", "fetch_status")
+
+
+@query("""SELECT page_id AS query_id, CAST(0 AS INTEGER) AS pos, url AS title, url, substring(html, 1, 300) AS content, substring(html, 1, 200) AS snippet, 'stub' AS source FROM pages""")
+def search_hits(spark, sf_dir):
+    hit = F.struct(F.col("url").alias("title"), F.col("url").alias("link"), F.substring("html", 1, 300).alias("snippet"))
+    return search.normalised_hits(read(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.to_json(F.struct(F.array(hit).alias("organic_results"))).alias("response")), "stub")
+
+
+@query("""WITH d AS (SELECT md5(text) AS key, * FROM documents) SELECT doc_id, key FROM d WHERE key NOT IN (SELECT key FROM d WHERE lang = 'fr')""")
+def cache_misses(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    cache = docs.where("lang = 'fr'").select(F.md5(F.col("text").cast("binary")).alias("key"))
+    return search.uncached(docs, cache).select("doc_id", "key")
+
+
+@query("""SELECT doc_id AS id, 'pdf' AS origin, length(text) AS n FROM documents WHERE length(text) >= 20 UNION ALL SELECT item_id, 'web', length(text) FROM benchmark WHERE length(text) >= 20""")
+def unified_collection(spark, sf_dir):
+    docs, items = read(spark, sf_dir, "documents", "benchmark")
+    return search.unified(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("id"), "text")).select("id", "origin", F.length("text").cast("long").alias("n"))
+
+
+@query("""WITH n AS (SELECT DISTINCT 'pdf-' || substring(md5(text), 1, 16) AS name FROM documents) SELECT name FROM n WHERE name NOT IN (SELECT name FROM n ORDER BY name DESC LIMIT 5)""")
+def collection_retention(spark, sf_dir):
+    names = read(spark, sf_dir, "documents").select(F.concat(F.lit("pdf-"), F.substring(F.md5(F.col("text").cast("binary")), 1, 16)).alias("name"))
+    return search.expired_collections(names, "pdf-current")
+
+
+@query("""SELECT item_id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 1)[1:15], ' ') AS q FROM benchmark""")
+def web_query(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", rules.web_query(F.col("text"), F.lit(0), F.lit(True)).alias("q"))
+
+
+@query("""WITH m AS (SELECT item_id, substring(text, 1, 20) AS k FROM benchmark), c AS (SELECT item_id, coalesce(sum((length(d.text) - length(replace(d.text, k, ''))) / length(k)), 0) AS n FROM m, documents d GROUP BY item_id)
+SELECT item_id, CAST(n AS BIGINT) AS n FROM c WHERE n < 2""")
+def missing_subtopics(spark, sf_dir):
+    docs, items = read(spark, sf_dir, "documents", "benchmark")
+    asked = items.agg(F.collect_list(F.struct("item_id", F.substring("text", 1, 20).alias("k"))).alias("q"))
+    each = docs.crossJoin(F.broadcast(asked)).select("text", F.explode(F.filter("q", lambda x: F.contains(F.col("text"), x["k"]))).alias("q"))
+    n = each.select("q.item_id", ((F.length("text") - F.length(F.replace("text", F.col("q.k"), F.lit("")))) / F.length("q.k")).alias("n")).groupBy("item_id").agg(F.sum("n").cast("long").alias("n"))
+    return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n")).where("n < 2")
+
+
+@query("""SELECT lang, substring(md5(string_agg(text, '' ORDER BY doc_id)), 1, 16) AS hash FROM documents GROUP BY lang""")
+def content_hash(spark, sf_dir):
+    """A digest of each language's texts in order; the aggregate holds one language's
+    text, so it is for collections of bounded size."""
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "text")))["text"], "").alias("t")).select("lang", F.substring(F.md5(F.col("t").cast("binary")), 1, 16).alias("hash"))
