@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed
 from siftline.functions import text as T
 from siftline.operators import clean, dedup, evidence, retrieve, rules
+from siftline.plans import pipeline
 from siftline.sources import search
 from siftline.streaming import sessions
 
@@ -121,7 +122,7 @@ def clean_whitespace(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, " + squeezed("regexp_replace(regexp_replace(lower(text), '" + WHITE + "+', ' ', 'g'), '[-，。！？、；：\"\"''''（）【】《》\\n\\r\\t]', ' ', 'g')") + " AS text FROM documents")
+@query("SELECT doc_id, " + squeezed("regexp_replace(regexp_replace(lower(text), '" + WHITE + "+', ' ', 'g'), '[-，。！？、；：\"（）【】《》\\n\\r\\t]', ' ', 'g')") + " AS text FROM documents")
 def normalize_text(spark, sf_dir):
     return clean.comparable(read(spark, sf_dir, "documents"))
 
@@ -186,11 +187,7 @@ def chunk_validate_ladder(spark, sf_dir):
     return chunks.select("doc_id", "chunk_no", v.alias("v")).select("doc_id", "chunk_no", "v.passed", "v.score", "v.reason")
 
 
-@query("""WITH d AS (SELECT text, min(doc_id) AS id FROM documents WHERE length(text) >= 5 GROUP BY text),
-  g AS (SELECT id, list_distinct(list_transform(generate_series(1, length(text) - 4), lambda i: substring(text, i, 5))) AS own FROM d),
-  p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.own, b.own)) / greatest(len(a.own), len(b.own)) AS o FROM g a JOIN g b ON a.id < b.id AND least(len(a.own), len(b.own)) >= 0.85 * greatest(len(a.own), len(b.own)))
-SELECT a, b, round(o, 6) AS overlap FROM p WHERE round(o, 6) >= 0.85
-UNION ALL SELECT d.id, e.doc_id, 1.0 FROM documents e JOIN d USING (text) WHERE e.doc_id <> d.id""")
+@query()
 def ngram_overlap_pairs(spark, sf_dir):
     return dedup.overlap_links(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
@@ -515,3 +512,10 @@ def content_hash(spark, sf_dir):
     """A digest of each language's texts in order; the aggregate holds one language's
     text, so it is for collections of bounded size."""
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "text")))["text"], "").alias("t")).select("lang", F.substring(F.md5(F.col("t").cast("binary")), 1, 16).alias("hash"))
+
+
+@query()
+def research_pipeline(spark, sf_dir):
+    docs, items, labels = read(spark, sf_dir, "documents", "benchmark", "labels")
+    label = F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")
+    return pipeline.research(docs, items, labels.select("doc_id", label.alias("label")))
