@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions import fixed
+from siftline.functions import fixed, report
 from siftline.functions import text as T
 from siftline.operators import clean, dedup, evidence, retrieve, rules
 from siftline.plans import pipeline
@@ -519,3 +519,42 @@ def research_pipeline(spark, sf_dir):
     docs, items, labels = read(spark, sf_dir, "documents", "benchmark", "labels")
     label = F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")
     return pipeline.research(docs, items, labels.select("doc_id", label.alias("label")))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 900 THEN left(text, 600) || chr(10) || '...[' || length(text) || ']...' || chr(10) || right(text, 250) ELSE text END AS truncated,
+  CASE WHEN length(text) > 7000 THEN left(text, 4000) || chr(10) || '...' || chr(10) || right(text, 3000) ELSE text END AS elided FROM documents""")
+def truncate_text(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", report.truncated(t, 900).alias("truncated"), report.elided(t).alias("elided"))
+
+
+@query("""SELECT item_id, unnest(list_filter(list_transform(string_split_regex(text, '[，。！？、；：,.!?;:\\n]'), lambda x: trim(x)), lambda x: length(x) >= 5)) AS segment FROM benchmark""")
+def key_segments(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.explode(report.segments(F.col("text"))).alias("segment"))
+
+
+@query()
+def report_chunks(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(report.report_chunks(F.col("text"), 2000, 4)).alias("chunk_no", "text"))
+
+
+@query(r"""SELECT doc_id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, '[-+]?\d+\.?\d*[万亿千百十]?'), regexp_extract_all(text, '\d+\.?\d*%')), list_concat(regexp_extract_all(text, '(?:19|20)\d{2}年?'), regexp_extract_all(text, '["「」『』]([^"「」『』]{3,50})["「」『』]', 1))))) AS entity FROM documents""")
+def key_entities(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(report.entities(F.col("text"))).alias("entity"))
+
+
+@query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10)
+SELECT item_id, string_agg('[S' || rank || '] (' || source || ') ' || substring(text, 1, 1000), chr(10) || '---' || chr(10) ORDER BY rank) AS text FROM t JOIN documents USING (doc_id) GROUP BY item_id""")
+def material_prompt(spark, sf_dir):
+    docs, items = read(spark, sf_dir, "documents", "benchmark")
+    hits = retrieve.bm25_topk(docs, items).join(docs.select("doc_id", "source", "text"), "doc_id")
+    return report.formatted(hits.select("item_id", F.col("rank").alias("ord"), "source", "text"), "item_id")
+
+
+@query(f"""SELECT o_orderkey AS id, [true, true, false, false, false, false][CAST(o_orderkey % 6 + 1 AS INTEGER)] AS is_summary, [0.95, 0.95, 0.0, 0.0, 0.0, 0.0][CAST(o_orderkey % 6 + 1 AS INTEGER)]::DOUBLE AS confidence,
+  [false, false, true, true, false, false][CAST(o_orderkey % 6 + 1 AS INTEGER)] AS needs_web FROM orders""")
+def summary_intent(spark, sf_dir):
+    k = F.col("o_orderkey")
+    task = F.element_at(F.array(*map(F.lit, TASKS)), (k % 6 + 1).cast("int"))
+    rows = read(spark, sf_dir, "orders").select(k.alias("id"), report.summary_intent(task, F.lit(False)).alias("s"), report.needs_web(task).alias("needs_web"))
+    return rows.select("id", "s.is_summary", "s.confidence", "needs_web")

@@ -146,3 +146,14 @@ def test_sessions_end_after_their_time(spark):
     events = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r.user_id: r.live for r in sessions.live_sessions(events, "2024-01-02 00:00:00").collect()}
     assert got == {1: True, 2: False}
+
+
+def test_report_functions(spark):
+    from siftline.functions import report
+
+    assert one(spark, report.report_chunks(F.col("t"), 10, 3), t="abcdefg\nhijklmnopqrstuvwxyz12345") == ["abcdefg\n", "hijklmnopq", "rstuvwxyz1"]
+    assert one(spark, report.report_chunks(F.col("t"), 10, 3), t=None) == []
+    assert one(spark, report.sentence_about(F.col("t"), F.lit("key")), t="one。two key three！four？five\nsix。") == "two key three！"
+    assert one(spark, report.sentence_about(F.col("t"), F.lit("key")), t="a key " + "b" * 200) == "a key " + "b" * 79
+    assert one(spark, report.entities(F.col("t")), t='2024年 12% "quoted words"') == ["2024", "12", "12%", "2024年", "quoted words"]
+    assert one(spark, report.segments(F.col("t")), t="x" * 20) == ["x" * 10, "x" * 10]
