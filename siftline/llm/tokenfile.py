@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .shared import bounded_batches, scratch_dir
-from .words import mix, power, slices
+from .words import CACHED_BYTES, mix, power, slices
 
 END_ID = 0
-BLOCK_TOKENS, STEPS = 1 << 20, 256
+BLOCK_TOKENS, STEPS = 1 << 20, 128
 MAGIC = b"SLT1"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, documents, ids, alphabet, words of code, crc of the ids, crc of the rest
 _TOP, _BOTTOM, _WORD, _SHIFT = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16), np.uint64(48)
@@ -50,8 +50,8 @@ class Model:
 
     def __init__(self, size: int, lanes: int):
         self.size = size
-        self.one, self.one_sure = np.full(size + 1, -1, np.int32), np.zeros(size + 1, np.int8)
-        self.two, self.two_sure = np.full(1 << _PAIRS, -1, np.int32), np.zeros(1 << _PAIRS, np.int8)
+        # what each context remembers: an id times four, and how sure it is (-4: nothing yet)
+        self.one, self.two = np.full(size + 1, -4, np.int32), np.full(1 << _PAIRS, -4, np.int32)
         self.counts = np.tile(np.array([4, 2, 4], np.int64), (32, 1))
         self.frequency = np.ones(size, np.int64)
         self.last = self.before = np.full(lanes, size, np.int32)
@@ -64,34 +64,37 @@ class Model:
             self.frequency += _ADD * np.bincount(np.concatenate(self.waiting), minlength=self.size)
             self.waiting = []
         self.below = np.concatenate([[0], np.cumsum(self.frequency)]).astype(np.uint64)
+        self.narrow_below = self.below.astype(np.uint32)
 
     def predict(self) -> None:
         """Afterwards ``edge[k]`` holds, for outcome k, where it begins, and
         ``edge[3]`` the total of the frequencies."""
-        self.at = ((self.before.astype(np.uint32) * np.uint32(40503) + self.last.view(np.uint32)) * np.uint32(2654435761)) >> np.uint32(32 - _PAIRS)
-        self.p2, self.s2 = self.two[self.at], self.two_sure[self.at]
-        self.p1, self.s1 = self.one[self.last], self.one_sure[self.last]
-        self.context = (self.s2 << 3) | (self.s1 << 1) | (self.p1 == self.p2)
+        self.at = (((self.before.view(np.uint32) * np.uint32(40503) + self.last.view(np.uint32)) * np.uint32(2654435761)) >> np.uint32(32 - _PAIRS)).astype(np.intp)
+        self.row = self.last.astype(np.intp)
+        two, one = self.two[self.at], self.one[self.row]
+        self.p2, self.s2, self.p1, self.s1 = two >> 2, two & 3, one >> 2, one & 3
+        self.context = ((self.s2 << 3) | (self.s1 << 1) | (self.p1 == self.p2)).astype(np.intp)
         self.edge = np.concatenate([np.zeros((32, 1), np.int64), np.cumsum(self.counts, axis=1)], axis=1).astype(np.uint64)
 
+    def edges(self, k: int) -> np.ndarray:
+        """Where outcome k begins, for each lane; the total for 3."""
+        return np.ascontiguousarray(self.edge[:, k])[self.context]
+
     def span(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, size) of each lane's outcome."""
-        at = self.context.astype(np.intp) * 4 + outcome
+        at = self.context * 4 + outcome
         flat = self.edge.reshape(-1)
         begin = flat[at]
         return begin, flat[at + 1] - begin
 
-    def total(self) -> np.ndarray:
-        return self.edge[:, 3][self.context]
-
     def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
         """``outcome`` 0: order 2 foresaw x, 1: order 1 did, 2: neither."""
-        self.counts += 16 * np.bincount(self.context * np.int16(3) + outcome, minlength=96).reshape(32, 3)
+        self.counts += 16 * np.bincount(self.context * 3 + outcome, minlength=96).reshape(32, 3)
         if self.counts.max() > _MIX_LIMIT:
             self.counts = (self.counts >> 1) + 1
-        for table, sure, place, p, s in ((self.two, self.two_sure, self.at, self.p2, self.s2), (self.one, self.one_sure, self.last, self.p1, self.s1)):
-            table[place] = np.where(s == 0, x, p)
-            sure[place] = _NEXT[(p == x).view(np.int8), s]
+        for table, place, p, sure in ((self.two, self.at, self.p2, self.s2), (self.one, self.row, self.p1, self.s1)):
+            after = _NEXT[((p == x).view(np.int8) << 2) | sure]
+            table[place] = (np.where(sure == 0, x, p) << 2) | after
         self.before, self.last = self.last, x
         self.waiting.append(x)
         self.step += 1
@@ -99,8 +102,8 @@ class Model:
             self.renew()
 
 
-#: How sure a context is after a miss, and after a hit.
-_NEXT = np.array([[1, *range(_SURE)], [min(s + 1, _SURE) for s in range(_SURE + 1)]], np.int8)
+#: How sure a context is after a miss, and (from 4 on) after a hit.
+_NEXT = np.array([1, *range(_SURE), *(min(s + 1, _SURE) for s in range(_SURE + 1))], np.int32)
 
 
 class Coder:
@@ -141,9 +144,10 @@ class Encoder(Coder):
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of all lanes, number of each lane's)."""
         every = np.arange(len(self.low))
-        for _ in range(4):
-            self.shift(every, self.low)
-            self.low = self.low << _WORD
+        value = (self.low + (_BOTTOM - np.uint64(1))) & ~(_BOTTOM - np.uint64(1))  # inside, as the width is never less
+        for _ in range(2):
+            self.shift(every, value)
+            value = value << _WORD
         longest = int(self.size.max())
         words = self.out[: longest * len(every)].reshape(longest, -1).T
         return words[np.arange(longest)[None, :] < self.size[:, None]], self.size
@@ -153,8 +157,8 @@ class Decoder(Coder):
     def __init__(self, words: np.ndarray, size: np.ndarray):
         super().__init__(len(size))
         longest = int(size.max())
-        each = np.zeros((len(size), longest + 1), np.uint16)
-        each[np.arange(longest + 1)[None, :] < size[:, None]] = words
+        each = np.zeros((len(size), longest + 3), np.uint16)  # what was left out at the end is zero
+        each[np.arange(longest + 3)[None, :] < size[:, None]] = words
         self.words = np.ascontiguousarray(each.T).reshape(-1).astype(np.uint64)
         self.next = np.arange(len(size))
         self.code = np.zeros(len(size), np.uint64)
@@ -194,7 +198,7 @@ def compress(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     for own in x:
         model.predict()
         outcome = np.where(model.p2 == own, 0, np.where(model.p1 == own, 1, 2))
-        coder.put(*model.span(outcome), model.total())
+        coder.put(*model.span(outcome), model.edges(3))
         miss = outcome == 2
         first = model.below[own]
         coder.put(np.where(miss, first, _NONE), np.where(miss, model.below[own + 1] - first, _ALL), np.where(miss, model.below[-1], _ALL))
@@ -209,15 +213,14 @@ def expand(words: np.ndarray, number: np.ndarray, n: int, size: int) -> np.ndarr
     out = np.empty((steps, lanes), np.int32)
     for step in range(steps):
         model.predict()
-        at = coder.place(model.total())
-        edges = model.edge[model.context]
-        outcome = (at >= edges[:, 1]).astype(np.intp) + (at >= edges[:, 2])
+        at = coder.place(model.edges(3))
+        outcome = (at >= model.edges(1)).astype(np.intp) + (at >= model.edges(2))
         coder.take(*model.span(outcome))
         miss = outcome == 2
         at = coder.place(np.where(miss, model.below[-1], _ALL))
         x = np.where(outcome == 0, model.p2, model.p1)
         lane = np.flatnonzero(miss)
-        x[lane] = np.searchsorted(model.below, at[lane], "right") - 1
+        x[lane] = np.searchsorted(model.narrow_below, at[lane].astype(np.uint32), "right") - 1
         first = model.below[x]
         coder.take(np.where(miss, first, _NONE), np.where(miss, model.below[x + 1] - first, _ALL))
         model.learn(x, outcome)
@@ -366,7 +369,7 @@ def blocks_of(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             return out
 
         for batch in batches:
-            for i, data, at in slices(batch.column(1)):
+            for i, data, at in slices(batch.column(1), CACHED_BYTES):
                 ids, begin = units.encode(data, at)
                 for d, key in enumerate(batch.column(0).slice(i, len(at) - 1).to_pylist()):
                     own = np.append(ids[begin[d] : begin[d + 1]], END_ID)

@@ -14,7 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Powers are kept for slices up to this size.
+CACHED_BYTES = 4 << 20
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -51,7 +53,7 @@ def power(which: str, n: int) -> np.ndarray:
         out = np.full(size, _R if which == "r" else _RINV, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-        if size > SLICE_BYTES + 1:
+        if size > CACHED_BYTES + 1:
             return out
         _powers[which] = have = out
     return have
