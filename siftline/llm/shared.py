@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch may hold before it goes to a Python worker.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def scratch_dir(spark: SparkSession) -> str:
