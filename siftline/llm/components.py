@@ -17,16 +17,15 @@ def components(links: DataFrame) -> DataFrame:
     round is written to the shared folder; nothing is collected but a count. An
     empty table gives an empty one; loops and repeated links change nothing."""
     edges = scratch(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label = scratch(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
+    written = scratch(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
     while True:
+        label = written.select("id", "label")
         near = edges.join(label, edges.b == label.id).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         lower = label.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
         after = scratch(lower.join(up, "label").select("id", "old", F.least("label", "up").alias("label")), "labels")
-        changed = not after.where("old <> label").isEmpty()
-        drop_scratch(label)
-        label = after.drop("old") if not changed else scratch(after.drop("old"), "labels")
-        if not changed:
+        drop_scratch(written)
+        written = after
+        if written.where("old <> label").isEmpty():
             drop_scratch(edges)
-            return label
-        drop_scratch(after)
+            return written.select("id", "label")

@@ -13,11 +13,13 @@ and is linked with nothing. Two documents are linked where
    member. Pairs whose collision-corrected similarity, from bit counts of the
    packed signatures, is under the threshold by more than MARGIN fall away; the
    others are confirmed on the full sets. Confirmed links make components.
-4. Buckets that still hold several components are worked through in full: every
-   pair across components is compared by bit counts, tile by tile, and what isn't
-   under the margin is confirmed. So no link is lost because of who stood in the
-   middle of a bucket, and no group's pairs are emitted where links have already
-   joined it.
+4. In buckets that still hold several components, every pair across components is
+   compared by bit counts, tile by tile. What isn't under the margin is not emitted
+   as pairs but as a forest that joins the same documents into clusters. Within a
+   cluster, all pairs are confirmed on the full sets, by products of 0/1 matrices of
+   two blocks of documents, and leave the task as a forest of links. So no link is
+   lost because of who stood in the middle of a bucket, and what is written grows
+   with the documents, not with the pairs of a group.
 
 A linked pair is missed only if it shares no band (at a similarity of 0.8: 5e-8)
 or its estimate is off by over MARGIN (5 standard deviations).
@@ -44,6 +46,10 @@ BANDS, WORDS = HASHES // ROWS, HASHES * BITS // 64
 MARGIN = 0.2
 #: Members of a bucket that are compared with each other in one piece.
 TILE = 4096
+#: Bits of a Bloom filter of documents (8 MB) at most, and its hashes.
+BLOOM_BITS, BLOOM_HASHES = 1 << 26, 4
+#: Documents of a block of a cluster, of which two at once are in a task's memory.
+CLUSTER_TILE = 512
 
 _XOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(0xABCDEF)) | np.uint64(1)
@@ -100,25 +106,6 @@ def sketched(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
-def similar(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (a, b, text_a, text_b), to the pairs that are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        own = lambda text: np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([text], pa.string()))]))
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last[0] != (b, y):
-                    last = ((b, y), own(y))
-                p, q = own(x), last[1]
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def likeness(x: Column, y: Column) -> Column:
     """Similarity of two packed signatures: the share of equal pieces, corrected
     for the 2**-BITS that are equal by chance."""
@@ -135,18 +122,89 @@ def likeness(x: Column, y: Column) -> Column:
     return (1 - unequal / HASHES - chance) / (1 - chance)
 
 
+class Forest:
+    """Union-find over any ids; ``join`` says whether it joined two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole tiles from batches sorted by their first column, as many at once as
+    have come."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and batch.column(0)[batch.num_rows - 1] == held[0].column(0)[0]:
+            held.append(batch)
+            continue
+        t = pa.Table.from_batches([*held, batch])
+        tile = t.column(0).to_numpy()
+        cut = int(np.searchsorted(tile, tile[-1]))
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = list(zip(*found, strict=True)) or ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def similar(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (a, b, text_a, text_b), to a forest of the pairs of one task that
+    are linked; pairs that earlier ones have joined need no look."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        trees = Forest()
+        own = lambda text: np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([text], pa.string()))]))
+        for batch in batches:
+            found = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if trees.root(a) == trees.root(b):
+                    continue
+                if last[0] != (b, y):
+                    last = ((b, y), own(y))
+                p, q = own(x), last[1]
+                both = len(p) + len(q) - len(np.union1d(p, q))
+                if 100 * both >= percent * (len(p) + len(q) - both) and trees.join(a, b):
+                    found.append((a, b))
+            yield linked(found)
+
+    return run
+
+
 def across(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (tile, block, within, id, label, packed), sorted by tile, to
-    pairs (a, b) of one tile, of different components and alike by ``least``."""
+    """Batches of (tile, block, within, id, label, packed), sorted by tile, to a
+    forest (a, b) of the pairs of one tile that are of different components and
+    alike by ``least``: what those pairs join, it joins."""
     pieces = np.array([sum(1 << (BITS * j) for j in range(64 // BITS))], np.uint64)[0]
     chance = 2.0**-BITS
     most = HASHES * (1 - chance - least * (1 - chance))
 
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def forest(t: pa.Table) -> list[tuple[int, int]]:
         tile, block, label, ids = (t.column(c).to_numpy() for c in ("tile", "block", "label", "id"))
         within = t.column("within").to_numpy(zero_copy_only=False)
         packed = t.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        found_a, found_b = [], []
+        trees, out = Forest(), []
         at = np.arange(len(tile))
         for step in range(1, len(tile)):
             at = at[at + step < len(tile)]
@@ -161,28 +219,64 @@ def across(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for shift in range(1, BITS):
                 folded |= z >> np.uint64(shift)
             ok = np.bitwise_count(folded & pieces).sum(axis=1, dtype=np.int64) <= most
-            found_a.append(ids[x[ok]])
-            found_b.append(ids[y[ok]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([*found_a, none]), np.concatenate([*found_b, none])
+            out += [(a, b) for a, b in zip(ids[x[ok]].tolist(), ids[y[ok]].tolist(), strict=True) if trees.join(a, b)]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for t in tiles(batches):
+            yield linked(forest(t))
 
-        def out(t: pa.Table) -> pa.RecordBatch:
-            a, b = pairs(t)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            held.append(batch)
-            t = pa.Table.from_batches(held)
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some sets with others, as a matrix: products
+    of 0/1 matrices over the elements that several sets hold."""
+    size = np.array([len(x) for x in sets])
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    several = count > 1
+    number = np.cumsum(several) - 1
+    keep = several[element]
+    owner, element = owner[keep], number[element[keep]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for low in range(0, int(several.sum()), 8192):
+        a, b = np.searchsorted(element, [low, low + 8192])
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[owner[a:b], element[a:b] - low] = 1
+        out += m[rows] @ m[columns].T
+    return out
+
+
+def within_clusters(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (tile, block, within, id, label, text), sorted by tile, to a
+    forest (a, b) of the links of one tile between different components."""
+
+    def forest(t: pa.Table) -> list[tuple[int, int]]:
+        block, label, ids = (t.column(c).to_numpy() for c in ("block", "label", "id"))
+        sets = [np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([x], pa.string()))] or [np.zeros(0, np.uint64)])) for x in t.column("text").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        low = np.flatnonzero(block == block.min())
+        high = low if t.column("within")[0].as_py() else np.flatnonzero(block != block.min())
+        if not len(high):
+            return []
+        both = overlaps(sets, low, high)
+        ok = (100 * both >= percent * (size[low][:, None] + size[high][None, :] - both)) & (label[low][:, None] != label[high][None, :])
+        trees, out = Forest(), []
+        for i, j in np.argwhere(ok).tolist():
+            a, b = int(low[i]), int(high[j])
+            if trees.join(int(label[a]), int(label[b])):
+                out.append((int(ids[a]), int(ids[b])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tiles(batches):
             tile = t.column("tile").to_numpy()
-            cut = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
-            if cut:
-                yield out(t.slice(0, cut))
-                held = t.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield out(pa.Table.from_batches(held))
+            edge = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                yield linked(forest(t.slice(a, b - a)))
 
     return run
 
@@ -199,8 +293,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = scratch(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     heads = named.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
-    links = confirmed(docs, heads.select(F.col("doc_id").alias("id"), "bands", "packed"), k, percent)
-    label = components(links)
+    label = labels(docs, heads.select(F.col("doc_id").alias("id"), "bands", "packed"), k, percent)
     member = sketch.join(classes, ["set_a", "set_b"], "left").join(label, F.col("rep") == label.id, "left")
     return member.select(
         "doc_id",
@@ -209,8 +302,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def confirmed(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between the heads of the classes that join all that is linked."""
+def tiled(rows: DataFrame, group: str, size: Column, most: int) -> DataFrame:
+    """``rows`` with tile, block and within: the members of a group are dealt into
+    blocks of about ``most``, and each pair of blocks (and each block alone) is a
+    tile. A tile of one block is compared within, a tile of two across."""
+    blocks = F.ceil(size / most).cast("int")
+    return (
+        rows.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("within", F.col("block") == F.col("other"))
+        .withColumn("tile", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
+    )
+
+
+def labels(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, label) of the heads of classes that are linked with another."""
     least = percent / 100 - MARGIN
     banded = heads.select(F.explode("bands").alias("band"), "id")
     shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
@@ -218,26 +325,32 @@ def confirmed(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFr
     packed = heads.select("id", "packed").dropDuplicates(["id"])
     stars = members.select(F.explode(F.array("low", "high")).alias("b"), F.col("id").alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = scratch(alike(stars, packed, least), "pairs")
-    texts = scratch(texts_of(docs, first), "texts")
-    links = scratch(on_full_sets(first, texts, k, percent), "links")
+    texts = scratch(texts_of(docs, first.select(F.explode(F.array("a", "b")).alias("id"))), "texts")
+    label = components(scratch(on_full_sets(first, texts, k, percent), "links"))
 
-    label = components(links)
     labelled = members.select("band", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_bands = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    left = labelled.join(open_bands, "band").join(packed, "id")
-    tiled = (
-        left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", (F.col("block") == F.col("other")).alias("same"), "id", "label", "packed")
-    )
-    # a tile of one block holds that block once and compares it within; a tile of two compares across
-    tiled = tiled.select("tile", "block", F.col("same").alias("within"), "id", "label", "packed")
-    found = tiled.repartition("tile").sortWithinPartitions("tile").mapInArrow(across(least), "a long, b long").distinct()
-    more = scratch(found.join(first, ["a", "b"], "left_anti"), "pairs")
+    open_bands = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("band", "n")
+    left = tiled(labelled.join(open_bands, "band").join(packed, "id"), "band", F.col("n"), TILE).select("tile", "block", "within", "id", "label", "packed")
+    edges = scratch(left.repartition("tile").sortWithinPartitions("tile").mapInArrow(across(least), "a long, b long").distinct(), "edges")
+    if edges.isEmpty():
+        return label
+
+    cluster = components(edges).select("id", F.col("label").alias("cluster"))
+    size = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
+    own = scratch(cluster.join(size, "cluster").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "clusters")
+    known = own.join(texts, "id")
+    rest = own.join(texts.select("id"), "id", "left_anti")
+    if not rest.isEmpty():
+        known = known.unionByName(rest.join(texts_of(docs, rest.select("id")), "id"))
+    pieces = tiled(known, "cluster", F.col("n"), CLUSTER_TILE).select("tile", "block", "within", "id", "label", "text")
+    more = scratch(pieces.repartition("tile").sortWithinPartitions("tile").mapInArrow(within_clusters(k, percent), "a long, b long"), "links")
     if more.isEmpty():
-        return links
-    rest = texts_of(docs, more.join(texts.select(F.col("id").alias("a")), "a", "left_anti").union(more.join(texts.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b")))
-    return links.union(scratch(on_full_sets(more, texts.union(rest).dropDuplicates(["id"]), k, percent), "links"))
+        return label
+    of = own.select("id", "label").dropDuplicates(["id"])
+    ends = more.join(of.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+    upper = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("up"))
+    every = label.union(own.select("id", "label")).distinct()
+    return every.join(upper, "label", "left").select("id", F.coalesce("up", "label").alias("label"))
 
 
 def alike(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
@@ -246,10 +359,49 @@ def alike(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(likeness(F.col("x"), F.col("y")) >= least).select("a", "b")
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null").join(ids, "id", "left_semi")
+def bits_of(ids: np.ndarray, bits: int) -> np.ndarray:
+    """BLOOM_HASHES bit positions under ``bits`` (a power of two) of each id."""
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    step = mix(h) | np.uint64(1)
+    return np.stack([(h + np.uint64(j) * step) & np.uint64(bits - 1) for j in range(BLOOM_HASHES)])
+
+
+def set_bits(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id) to (word, mask): the 64-bit words of a Bloom filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bits_of(batch.column(0).to_numpy(), bits).reshape(-1)
+            mask = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    return run
+
+
+def possibly(shared, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows whose id (first column) may be in a Bloom filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bits_of(batch.column(0).to_numpy(), bits)
+            hit = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.all(axis=0)))
+
+    return run
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents of some ids, and of few others: a Bloom filter of
+    at most BLOOM_BITS picks them where they lie, so that no text is shuffled. What
+    is joined with the result drops the others."""
+    spark = docs.sparkSession
+    count = ids.agg(F.approx_count_distinct("id")).first()[0]
+    bits = min(BLOOM_BITS, 1 << (max(64, 12 * count) - 1).bit_length())
+    rows = ids.mapInArrow(set_bits(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bloom = np.zeros(bits // 64, np.uint64)
+    bloom[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null and id is not null")
+    return texts.mapInArrow(possibly(spark.sparkContext.broadcast(bloom), bits), texts.schema)
 
 
 def on_full_sets(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

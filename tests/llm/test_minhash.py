@@ -73,6 +73,7 @@ def test_chains_odd_texts_and_hostile_middles(spark):
 
 def test_tiles_find_every_pair(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 5)
+    monkeypatch.setattr(minhash, "CLUSTER_TILE", 4)
     rng = random.Random(8)
     centre = [f"w{rng.randrange(90)}" for _ in range(40)]
     rows = []
