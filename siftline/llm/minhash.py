@@ -195,16 +195,17 @@ def similar(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def across(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of (tile, block, within, id, label, packed), sorted by tile, to a
     forest (a, b) of the pairs of one tile that are of different components and
-    alike by ``least``: what those pairs join, it joins."""
+    alike by ``least``: what those pairs join, it joins. All tiles of a task share
+    one forest."""
     pieces = np.array([sum(1 << (BITS * j) for j in range(64 // BITS))], np.uint64)[0]
     chance = 2.0**-BITS
     most = HASHES * (1 - chance - least * (1 - chance))
 
-    def forest(t: pa.Table) -> list[tuple[int, int]]:
+    def forest(t: pa.Table, trees: Forest) -> list[tuple[int, int]]:
         tile, block, label, ids = (t.column(c).to_numpy() for c in ("tile", "block", "label", "id"))
         within = t.column("within").to_numpy(zero_copy_only=False)
         packed = t.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        trees, out = Forest(), []
+        out = []
         at = np.arange(len(tile))
         for step in range(1, len(tile)):
             at = at[at + step < len(tile)]
@@ -223,8 +224,9 @@ def across(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest()
         for t in tiles(batches):
-            yield linked(forest(t))
+            yield linked(forest(t, trees))
 
     return run
 
