@@ -82,6 +82,27 @@ def test_spans_hold_the_passage(planted):
         assert brute(own[r.item_id], toks(texts[r.doc_id][r.start : r.end])) == r.edits
 
 
+@pytest.mark.parametrize("words", [5, 10, 16, 24, 30, 48, 64, 96, 120, 384, 700])
+@pytest.mark.parametrize("spread", [False, True])
+def test_recall_at_the_edit_limit(words, spread):
+    rng = random.Random(words)
+    other = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
+    items = [other(words) for _ in range(200 if words < 100 else 30)]
+    edits, docs = int(decontam.SHARE * words), []
+    for item in items:
+        if spread:  # one edit in every stretch of the item
+            at = {int((k + 0.5) * words / edits) for k in range(edits)}
+            changed = [y for k, x in enumerate(item) for y in (rng.choice([[], other(1), [x, *other(1)]]) if k in at else [x])]
+        else:
+            changed = edited(item, edits, rng, other(50))
+        docs.append(" ".join([*other(30), *changed, *other(30)]))
+    index, found = decontam.build([(k, " ".join(x)) for k, x in enumerate(items)]), 0
+    for first, data, at in decontam.slices(pa.array(docs)):
+        w, _ = decontam.tokens(data, at)
+        found += sum(first + t == k for t, k, *_ in decontam.matches(index, w.hash, w.doc))
+    assert found >= decontam.RECALL * len(items)
+
+
 def test_odd_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "!!!", 0), (4, "É one, two THREE four five six. " + "x " * 40000, 0), (4, "É one, two THREE four five six. " + "x " * 40000, 0), (None, "one two three four five six", 0)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(7, "one two three four five six"), (7, "one two three four five six"), (8, None), (9, ""), (10, "..."), (11, "zzz")], "item_id long, text string")
