@@ -535,7 +535,7 @@ def key_segments(spark, sf_dir):
 
 @query()
 def report_chunks(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(report.report_chunks(F.col("text"), 2000, 4)).alias("chunk_no", "text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(report.report_chunks(F.col("text"), 6000, 3)).alias("chunk_no", "text"))
 
 
 @query(r"""SELECT doc_id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, '[-+]?\d+\.?\d*[万亿千百十]?'), regexp_extract_all(text, '\d+\.?\d*%')), list_concat(regexp_extract_all(text, '(?:19|20)\d{2}年?'), regexp_extract_all(text, '["「」『』]([^"「」『』]{3,50})["「」『』]', 1))))) AS entity FROM documents""")

@@ -27,3 +27,13 @@ UNION ALL SELECT d.id, e.doc_id, 1.0 FROM documents e JOIN d USING (text) WHERE
 
 def test_overlap_pairs_against_all_pairs(spark):
     assert not compare(spark, QUERIES["ngram_overlap_pairs"], PAIRS, SF)
+
+
+def test_report_chunks_keep_what_the_reference_keeps(spark):
+    sf = "/root/testdata/sf0.01"
+    parts = {}
+    for r in sorted(QUERIES["report_chunks"](spark, sf).collect(), key=lambda r: r.chunk_no):
+        parts.setdefault(r.doc_id, []).append(r.text)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) between 8001 and 12000").collect()}
+    assert texts and all("".join(parts[d]) == t for d, t in texts.items())  # three parts hold 12,000 characters at least
+    assert all(len(p) <= 3 and max(map(len, p)) <= 6000 for p in parts.values())
