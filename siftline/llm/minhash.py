@@ -15,11 +15,17 @@ and is linked with nothing. Two documents are linked where
    others are confirmed on the full sets. Confirmed links make components.
 4. In buckets that still hold several components, every pair across components is
    compared by bit counts, tile by tile. What isn't under the margin is not emitted
-   as pairs but as a forest that joins the same documents into clusters. Within a
-   cluster, all pairs are confirmed on the full sets, by products of 0/1 matrices of
-   two blocks of documents, and leave the task as a forest of links. So no link is
-   lost because of who stood in the middle of a bucket, and what is written grows
-   with the documents, not with the pairs of a group.
+   as pairs but joins the documents into clusters; a task hands on a star to the
+   smallest id of each of its clusters, so that tasks that met the same cluster
+   write the same rows. The member of a cluster that is alike to most others is
+   confirmed against all of them first; what is left apart is confirmed with all
+   others on the full sets, by products of 0/1 matrices of two blocks of documents.
+   So no link is lost because of who stood in the middle of a bucket, and what is
+   written grows with the documents, not with the pairs of a group.
+
+Buckets with the same members count once. Blocks of documents are dealt by component:
+large components have blocks of their own, which are never compared with each other
+or within, so a document is copied once for each block of other components.
 
 A linked pair is missed only if it shares no band (at a similarity of 0.8: 5e-8)
 or its estimate is off by over MARGIN (5 standard deviations).
@@ -37,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import bounded_batches, scratch
+from .components import Forest, components
+from .shared import bounded_batches, drop_scratch, scratch
 from .words import Words, mix, words
 
 HASHES, ROWS, BITS = 128, 4, 4
@@ -48,8 +54,9 @@ MARGIN = 0.2
 TILE = 4096
 #: Bits of a Bloom filter of documents (8 MB) at most, and its hashes.
 BLOOM_BITS, BLOOM_HASHES = 1 << 26, 4
-#: Documents of a block of a cluster, of which two at once are in a task's memory.
-CLUSTER_TILE = 512
+#: Documents and bytes of a block of a cluster, of which two at once are in a task's
+#: memory; a text beyond the bytes is a block of its own.
+CLUSTER_TILE, CLUSTER_BYTES = 512, 8 << 20
 
 _XOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(0xABCDEF)) | np.uint64(1)
@@ -122,27 +129,6 @@ def likeness(x: Column, y: Column) -> Column:
     return (1 - unequal / HASHES - chance) / (1 - chance)
 
 
-class Forest:
-    """Union-find over any ids; ``join`` says whether it joined two trees."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
 def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole tiles from batches sorted by their first column, as many at once as
     have come."""
@@ -163,50 +149,47 @@ def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = list(zip(*found, strict=True)) or ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
 def similar(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (a, b, text_a, text_b), to a forest of the pairs of one task that
-    are linked; pairs that earlier ones have joined need no look."""
+    """Batches of (a, b, text_a, text_b), to stars of what the linked pairs of one
+    task join; pairs that earlier ones have joined need no look."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         trees = Forest()
-        own = lambda text: np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([text], pa.string()))]))
+        held: list[tuple] = [(None, None), (None, None)]  # the last text of each side and its set
+
+        def own(side: int, text: str) -> np.ndarray:
+            if held[side][0] != text:
+                held[side] = (text, np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([text], pa.string()))])))
+            return held[side][1]
+
         for batch in batches:
-            found = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if trees.root(a) == trees.root(b):
                     continue
-                if last[0] != (b, y):
-                    last = ((b, y), own(y))
-                p, q = own(x), last[1]
+                p, q = own(0, x), own(1, y)
                 both = len(p) + len(q) - len(np.union1d(p, q))
-                if 100 * both >= percent * (len(p) + len(q) - both) and trees.join(a, b):
-                    found.append((a, b))
-            yield linked(found)
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    trees.join(a, b)
+            yield from trees.full()
+        yield trees.stars()
 
     return run
 
 
-def across(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (tile, block, within, id, label, packed), sorted by tile, to a
-    forest (a, b) of the pairs of one tile that are of different components and
-    alike by ``least``: what those pairs join, it joins. All tiles of a task share
-    one forest."""
+def across(least: float, likely: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (tile, block, within, id, label, packed), sorted by tile, to rows
+    (a, b, alike). Stars, with alike 0, of what the pairs of one task join that are
+    of different components and alike by ``least``; and for each id (a = b) the
+    number of those that are alike by ``likely``."""
     pieces = np.array([sum(1 << (BITS * j) for j in range(64 // BITS))], np.uint64)[0]
     chance = 2.0**-BITS
-    most = HASHES * (1 - chance - least * (1 - chance))
+    most, close = (HASHES * (1 - chance - x * (1 - chance)) for x in (least, likely))
 
-    def forest(t: pa.Table, trees: Forest) -> list[tuple[int, int]]:
+    def compare(t: pa.Table, trees: Forest) -> tuple[np.ndarray, np.ndarray]:
         tile, block, label, ids = (t.column(c).to_numpy() for c in ("tile", "block", "label", "id"))
         within = t.column("within").to_numpy(zero_copy_only=False)
         packed = t.column("packed").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        out = []
-        at = np.arange(len(tile))
+        at, degree = np.arange(len(tile)), np.zeros(len(tile), np.int64)
         for step in range(1, len(tile)):
             at = at[at + step < len(tile)]
             at = at[tile[at] == tile[at + step]]
@@ -219,14 +202,26 @@ def across(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             folded = z.copy()
             for shift in range(1, BITS):
                 folded |= z >> np.uint64(shift)
-            ok = np.bitwise_count(folded & pieces).sum(axis=1, dtype=np.int64) <= most
-            out += [(a, b) for a, b in zip(ids[x[ok]].tolist(), ids[y[ok]].tolist(), strict=True) if trees.join(a, b)]
-        return out
+            unequal = np.bitwise_count(folded & pieces).sum(axis=1, dtype=np.int64)
+            near = unequal <= close
+            degree += np.bincount(x[near], minlength=len(tile)) + np.bincount(y[near], minlength=len(tile))
+            ok = unequal <= most
+            for a, b in zip(ids[x[ok]].tolist(), ids[y[ok]].tolist(), strict=True):
+                trees.join(a, b)
+        return ids[degree > 0], degree[degree > 0]
+
+    def rows(a: pa.Array, b: pa.Array, alike: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([a, b, pa.array(alike, pa.int64())], names=["a", "b", "alike"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Forest()
         for t in tiles(batches):
-            yield linked(forest(t, trees))
+            ids, degree = compare(t, trees)
+            yield rows(pa.array(ids), pa.array(ids), degree)
+            for stars in trees.full():
+                yield rows(*stars.columns, np.zeros(stars.num_rows, np.int64))
+        stars = trees.stars()
+        yield rows(*stars.columns, np.zeros(stars.num_rows, np.int64))
 
     return run
 
@@ -253,32 +248,31 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> n
 
 
 def within_clusters(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (tile, block, within, id, label, text), sorted by tile, to a
-    forest (a, b) of the links of one tile between different components."""
+    """Batches of (tile, block, within, id, label, text), sorted by tile, to stars
+    (a, b) of the components that the links of one task join."""
 
-    def forest(t: pa.Table) -> list[tuple[int, int]]:
-        block, label, ids = (t.column(c).to_numpy() for c in ("block", "label", "id"))
+    def join(t: pa.Table, trees: Forest) -> None:
+        block, label = (t.column(c).to_numpy() for c in ("block", "label"))
         sets = [np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([x], pa.string()))] or [np.zeros(0, np.uint64)])) for x in t.column("text").to_pylist()]
         size = np.array([len(x) for x in sets])
         low = np.flatnonzero(block == block.min())
         high = low if t.column("within")[0].as_py() else np.flatnonzero(block != block.min())
         if not len(high):
-            return []
+            return
         both = overlaps(sets, low, high)
         ok = (100 * both >= percent * (size[low][:, None] + size[high][None, :] - both)) & (label[low][:, None] != label[high][None, :])
-        trees, out = Forest(), []
         for i, j in np.argwhere(ok).tolist():
-            a, b = int(low[i]), int(high[j])
-            if trees.join(int(label[a]), int(label[b])):
-                out.append((int(ids[a]), int(ids[b])))
-        return out
+            trees.join(int(label[low[i]]), int(label[high[j]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest()
         for t in tiles(batches):
             tile = t.column("tile").to_numpy()
             edge = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                yield linked(forest(t.slice(a, b - a)))
+                join(t.slice(a, b - a), trees)
+            yield from trees.full()
+        yield trees.stars()
 
     return run
 
@@ -304,55 +298,110 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def tiled(rows: DataFrame, group: str, size: Column, most: int) -> DataFrame:
+def tiled(rows: DataFrame, group: str, most: int, weight: Column) -> DataFrame:
     """``rows`` with tile, block and within: the members of a group are dealt into
-    blocks of about ``most``, and each pair of blocks (and each block alone) is a
-    tile. A tile of one block is compared within, a tile of two across."""
-    blocks = F.ceil(size / most).cast("int")
+    blocks whose weights (1 at least each) sum to about ``most``, and each pair of
+    blocks that may hold two components is a tile; one block beside itself is
+    compared within.
+
+    A component that fills a block has blocks of its own; the others share the rest
+    by their labels. A group's list holds its large components, so at most its
+    weight divided by ``most``."""
+    rows = rows.withColumn("__weight", weight.cast("long"))
+    sums = rows.groupBy(group, "label").agg(F.sum("__weight").alias("w"))
+    large = F.col("w") >= most
+    parts = sums.groupBy(F.col(group).alias("__group")).agg(
+        F.coalesce(F.ceil(F.sum(F.when(~large, F.col("w"))) / most), F.lit(0)).cast("int").alias("__rest"),
+        F.collect_list(F.when(large, F.struct("label", F.ceil(F.col("w") / most).cast("int").alias("n")))).alias("__large"),
+    )
+    dealt = rows.join(parts, F.col(group) == F.col("__group"))
+    own = F.try_element_at(F.filter("__large", lambda x: x["label"] == F.col("label")), F.lit(1))["n"]
+    of = lambda label, part: F.xxhash64(label, part)
+    spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    alone = F.lit(None).cast("long")
+    # the blocks of the other large components, then those that small ones share
+    other = F.concat(
+        F.flatten(F.transform(F.filter("__large", lambda x: x["label"] != F.col("label")), lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda p: of(x["label"], p)))),
+        F.when(F.col("__rest") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__rest"), F.lit(1)) - 1), lambda p: of(alone, p))).otherwise(F.array().cast("array<bigint>")),
+    )
     return (
-        rows.withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt.withColumn("__n", own)
+        .withColumn("block", F.when(F.col("__n").isNull(), of(alone, spread("label", F.greatest(F.col("__rest"), F.lit(1))))).otherwise(of(F.col("label"), spread("id", F.coalesce("__n", F.lit(1))))))
+        .withColumn("other", F.explode(other))
         .withColumn("within", F.col("block") == F.col("other"))
         .withColumn("tile", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
     )
 
 
+def unlike(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` of the groups that hold several labels."""
+    open_groups = rows.groupBy(group).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select(group)
+    return rows.join(open_groups, group, "left_semi")
+
+
+def relabelled(ids: DataFrame, label: DataFrame) -> DataFrame:
+    """``ids`` with their label, or their id where no link has met it."""
+    return ids.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def merged(label: DataFrame, stars: DataFrame) -> DataFrame:
+    """``label`` after stars (a, b) between labels have joined some of them."""
+    upper = components(stars).select(F.col("id").alias("label"), F.col("label").alias("up"))
+    return scratch(label.join(upper, "label", "left").select("id", F.coalesce("up", "label").alias("label")), "merged")
+
+
 def labels(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, label) of the heads of classes that are linked with another."""
+    """(id, label) of the heads of classes that share a bucket with another."""
     least = percent / 100 - MARGIN
     banded = heads.select(F.explode("bands").alias("band"), "id")
-    shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = scratch(banded.join(shared, "band"), "members")
+    of_ids = [F.bit_xor(F.xxhash64("id", F.lit(j))).alias(f"x{j}") for j in range(2)]
+    shared = banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), *of_ids).where("low < high")
+    once = shared.groupBy("low", "high", "n", "x0", "x1").agg(F.min("band").alias("band")).select("band", "low", "high")
+    members = scratch(banded.join(once, "band"), "members")
     packed = heads.select("id", "packed").dropDuplicates(["id"])
     stars = members.select(F.explode(F.array("low", "high")).alias("b"), F.col("id").alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = scratch(alike(stars, packed, least), "pairs")
     texts = scratch(texts_of(docs, first.select(F.explode(F.array("a", "b")).alias("id"))), "texts")
-    label = components(scratch(on_full_sets(first, texts, k, percent), "links"))
-
-    labelled = members.select("band", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_bands = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x < y").select("band", "n")
-    left = tiled(labelled.join(open_bands, "band").join(packed, "id"), "band", F.col("n"), TILE).select("tile", "block", "within", "id", "label", "packed")
-    edges = scratch(left.repartition("tile").sortWithinPartitions("tile").mapInArrow(across(least), "a long, b long").distinct(), "edges")
+    links = scratch(on_full_sets(first, texts, k, percent), "links")
+    found = components(links)
+    drop_scratch(first, links)
+
+    labelled = scratch(unlike(relabelled(members.select("band", "id"), found), "band"), "open")
+    left = tiled(labelled.join(packed, "id"), "band", TILE, F.lit(1)).select("tile", "block", "within", "id", "label", "packed")
+    rows = scratch(left.repartition("tile").sortWithinPartitions("tile").mapInArrow(across(least, percent / 100), "a long, b long, alike long"), "edges")
+    edges = rows.where("a <> b").select("a", "b").distinct()
+    drop_scratch(members, labelled)
     if edges.isEmpty():
-        return label
+        drop_scratch(texts, rows)
+        return found
 
     cluster = components(edges).select("id", F.col("label").alias("cluster"))
-    size = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
-    own = scratch(cluster.join(size, "cluster").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "clusters")
-    known = own.join(texts, "id")
+    own = scratch(relabelled(cluster, found), "clusters")
+    known = texts.join(own.select("id"), "id", "left_semi")
     rest = own.join(texts.select("id"), "id", "left_anti")
     if not rest.isEmpty():
-        known = known.unionByName(rest.join(texts_of(docs, rest.select("id")), "id"))
-    pieces = tiled(known, "cluster", F.col("n"), CLUSTER_TILE).select("tile", "block", "within", "id", "label", "text")
-    more = scratch(pieces.repartition("tile").sortWithinPartitions("tile").mapInArrow(within_clusters(k, percent), "a long, b long"), "links")
-    if more.isEmpty():
-        return label
-    of = own.select("id", "label").dropDuplicates(["id"])
-    ends = more.join(of.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
-    upper = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("up"))
-    every = label.union(own.select("id", "label")).distinct()
-    return every.join(upper, "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+        known = known.unionByName(texts_of(docs, rest.select("id")).join(rest.select("id"), "id", "left_semi"))
+    known = scratch(known, "texts")
+    every = scratch(found.union(own.select("id", "label")).distinct(), "labels")
+
+    degree = rows.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("alike").alias("alike"))
+    hub = own.join(degree, "id").groupBy("cluster").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("label").alias("of")), F.struct("alike", "id")).alias("hub")).select("cluster", "hub.*")
+    pairs = own.join(hub, "cluster").where("label <> of").select("a", F.col("id").alias("b")).distinct()
+    every = merged(every, scratch(joined(scratch(on_full_sets(pairs, known, k, percent), "links"), every), "links"))
+    own = scratch(unlike(relabelled(own.select("id", "cluster"), every), "cluster"), "clusters")
+    if not own.isEmpty():
+        pieces = tiled(own.join(known, "id"), "cluster", CLUSTER_TILE, F.greatest(F.lit(1), F.ceil(F.octet_length("text") * F.lit(CLUSTER_TILE / CLUSTER_BYTES)))).select("tile", "block", "within", "id", "label", "text")
+        more = scratch(pieces.repartition("tile").sortWithinPartitions("tile").mapInArrow(within_clusters(k, percent), "a long, b long"), "links")
+        every = merged(every, more)
+    drop_scratch(texts, rows, known, own)
+    return every
+
+
+def joined(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links (a, b) of ids as links of their labels, without those within one."""
+    of = label.select("id", "label")
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+    return ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, packed: DataFrame, least: float) -> DataFrame:

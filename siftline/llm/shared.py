@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 BATCH_BYTES = "4m"
 
 
+#: Folders of the scratch tables of this process that haven't been deleted.
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the
-    warehouse's neighbour where that is unset (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that
+    is unset, a local session takes one beside its warehouse; a cluster has to name
+    one."""
+    conf = spark.sparkContext.getConf()
+    given = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
 
 
@@ -23,16 +31,37 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     survives the loss of executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftline-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a scratch table that nothing needs any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+def scratch_mark() -> int:
+    """A place in the sequence of scratch tables, for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the scratch tables made since ``mark`` but those to keep, also after a
+    failure: what was computed from them must have been written."""
+    kept = {df.scratch_path for df in keep}
+    for path in [p for p in _made[mark:] if p not in kept]:
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing needs any more."""
+    for df in tables:
+        delete(df.sparkSession, df.scratch_path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -41,8 +70,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-
-
 def numbered(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
     """``df`` with a dense 0-based position in the total order of ``keys``.
 
