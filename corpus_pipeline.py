@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import bpe, decontam, minhash, pii, ppm
-from siftline.llm.shared import scratch
+from siftline.llm.shared import drop_scratch, scratch, scratch_mark, sweep
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage wrote on its way is deleted when
+    its result is written or it fails, and that result when the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[DataFrame] = []
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        mark, done = scratch_mark(), []
+        try:
+            done = [scratch(stage(spark, docs, sf_dir), name)]
+        finally:
+            sweep(spark, mark, *done)
+        drop_scratch(*before)
+        docs, before = done[0], done
     return STAGES[-1][1](spark, docs, sf_dir)
