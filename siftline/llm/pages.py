@@ -1,17 +1,29 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is read once into lines: the texts of its blocks, without what its markup
-sets apart (scripts, styles, navigation, headers, footers, asides, forms, and
-elements whose class, id or role names adverts, notices, comments and the like).
-Pages of a host are put in the order of their paths; each is paired with the
-neighbour whose path shares the longer prefix with its own, the lines of the pair
-are aligned by a longest common subsequence of their hashes, and lines that both
-share are deleted: a template, not the article, repeats them.
-
-Two things keep the article whole. Lines inside an article or main element are the
-article whoever repeats them (copies and quotations do), so there only the markup
-decides, and lines outside it go. And a pair that shares half of its text or more
-is no template with two contents but two copies; nothing is deleted between them.
+A page is read into lines: the texts of its blocks, menus and footers included.
+The distinct pages of a host are put in the order of their paths, and each is
+paired with its NEAREST neighbours on either side. The lines of a pair are aligned
+by a longest common subsequence of their hashes. What a pair shares is a template
+or a copy; how it is shared tells which:
+
+* A neighbour of which the page shares less than half (by characters) is another
+  page in the same template. A line that nine of ten such neighbours share, four at
+  least, is deleted; where only two or three are such, nine of ten of all neighbours.
+  On hosts of fewer pages a line is deleted if all such neighbours share it as part
+  of what they share from the page's first line on or up to its last; beside one
+  only if no markup calls it the article.
+* If there is none, but three neighbours at least that share more: lines that all of
+  them share are deleted if what remains is one stretch, so that a short article
+  under a long template loses it. Copies with scattered changes lose nothing.
+
+A passage that pages quote is kept, as most neighbours lack it. Whole copies count
+once, as one page that is differenced against others.
+
+What no neighbour shares (an advert or a comment of one page, a page alone on its
+host) only the markup can tell: lines that it sets apart go (navigation, headers,
+footers, asides, forms, and elements whose class, id or role names adverts, notices,
+comments and the like), and if an article or main element has lines, so do those
+outside. Scripts, styles and the head are never lines.
 
 Character references are decoded, white space becomes one space, lines are joined
 by one space in page order. A null page is empty; a null url, or one without
@@ -23,6 +35,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, numbered
+from .shared import bounded_batches, drop_scratch, numbered, scratch
 
 SKIPPED = set("head title script style noscript template nav footer header aside form iframe svg select button textarea object canvas dialog menu audio video".split())
 RAW = {"script", "style", "textarea", "title", "template", "noscript", "svg", "iframe"}
@@ -48,8 +62,12 @@ _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 _GAP = re.compile(r"\s+")
-#: Kinds of line: outside and inside of the article's element.
-OPEN, INSIDE = 0, 1
+#: Kinds of line: outside and inside of the article's element, and set apart by markup.
+OPEN, INSIDE, APART = 0, 1, 2
+#: Neighbours on either side, and pages that a task compares with each other.
+NEAREST, BLOCK_PAGES = 4, 64
+#: Pairs of equal lines up to which a subsequence is found from the pairs.
+_PAIRS = 1 << 21
 
 
 def set_apart(tag: str, attributes: str, inside: bool) -> bool:
@@ -69,32 +87,39 @@ def set_apart(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """(text, kind) of the page's lines, in order."""
+    """(text, kind) of the page's lines, in order. Text that is set apart in the
+    middle of a line is a line of its own after it."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, whether set apart, whether the article's element
+    places: dict[str, list[int]] = {}  # where each open name stands in the stack
+    blocks: list[int] = []  # where open blocks do
     apart = inside = 0
     parts: list[str] = []
+    others: list[str] = []
     heading = header = 0
 
     def end_line() -> None:
-        if parts:
-            text = _GAP.sub(" ", html.unescape("".join(parts))).strip()
-            parts.clear()
-            if text:
-                out.append((text, INSIDE if inside else OPEN))
+        for pieces, kind in ((parts, INSIDE if inside else OPEN), (others, APART)):
+            if pieces:
+                text = _GAP.sub(" ", html.unescape("".join(pieces))).strip()
+                pieces.clear()
+                if text:
+                    out.append((text, kind))
 
     def close(upto: int) -> None:
         nonlocal apart, inside, heading, header
         while len(stack) > upto:
             name, a, i = stack.pop()
+            places[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
             apart -= a
             inside -= i
             heading -= name in HEADING
             header -= name == "header"
 
     def text(piece: str) -> None:
-        if not apart and (not header or heading):
-            parts.append(piece)
+        (others if apart or (header and not heading) else parts).append(piece)
 
     at = 0
     while m := _MARK.search(page, at):
@@ -106,17 +131,13 @@ def lines(page: str) -> list[tuple[str, int]]:
         if tag in BLOCK:
             end_line()
         if m[1]:
-            upto = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if upto is not None:
-                close(upto)
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item an open item
-                if stack[k][0] == "p" or (stack[k][0] == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+        if tag in BLOCK and blocks:  # a block ends an open paragraph, an item an open item
+            name = stack[blocks[-1]][0]
+            if name == "p" or (name == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
+                close(blocks[-1])
         if tag in VOID or m[3].endswith("/"):
             continue
         a = set_apart(tag, m[3], bool(inside))
@@ -125,6 +146,9 @@ def lines(page: str) -> list[tuple[str, int]]:
             at = end.end() if end else len(page)
             continue
         main = tag in ("article", "main") and not a
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, a, main))
         apart += a
         inside += main
@@ -167,14 +191,70 @@ def common(a: np.ndarray, b: np.ndarray) -> list[int]:
     return sorted(out)
 
 
-def shared_lines(own: np.ndarray, size: np.ndarray, other: np.ndarray) -> list[int]:
-    """Lines to delete from a page beside another; none if they are copies."""
-    mask = np.isin(own, other)
-    if not mask.any():
-        return []
-    place = np.flatnonzero(mask)
-    found = [int(place[k]) for k in common(own[mask], other[np.isin(other, own)])]
-    return [] if 2 * size[found].sum() >= size.sum() else found
+def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Positions in ``a`` and in ``b`` of a longest common subsequence."""
+    n, m, low, high = len(a), len(b), 0, 0
+    while low < n and low < m and a[low] == b[low]:
+        low += 1
+    while high < n - low and high < m - low and a[n - 1 - high] == b[m - 1 - high]:
+        high += 1
+    places: dict[int, list[int]] = {}
+    for j in range(low, m - high):
+        places.setdefault(b[j], []).append(j)
+    middle: list[tuple[int, int]] = []
+    if sum(len(places.get(x, ())) for x in a[low : n - high]) <= _PAIRS:
+        # the longest chain of pairs that rise in both, by the last places of chains of each length
+        ends: list[int] = []
+        chains: list[tuple] = []
+        for i in range(low, n - high):
+            for j in reversed(places.get(a[i], ())):
+                k = bisect_left(ends, j)
+                chain = (i, j, chains[k - 1] if k else None)
+                if k == len(ends):
+                    ends.append(j)
+                    chains.append(chain)
+                else:
+                    ends[k], chains[k] = j, chain
+        chain = chains[-1] if chains else None
+        while chain:
+            middle.append(chain[:2])
+            chain = chain[2]
+        middle.reverse()
+    else:
+        j = low
+        for i in common(np.array(a[low : n - high], np.int64), np.array(b[low : m - high], np.int64)):
+            while b[j] != a[low + i]:
+                j += 1
+            middle.append((low + i, j))
+            j += 1
+    return [*range(low), *(i for i, _ in middle), *range(n - high, n)], [*range(low), *(j for _, j in middle), *range(m - high, m)]
+
+
+def deleted(sizes: list[int], kinds: list[int], shared: list[list[int]]) -> list[int]:
+    """Lines to delete from a page, given those that it shares with each neighbour."""
+    n, total = len(sizes), sum(sizes)
+    other = [s for s in shared if 2 * sum(sizes[k] for k in s) < total]
+    asked = other if len(other) >= 4 else shared
+    if len(other) >= 2 and len(asked) >= 4:
+        votes = Counter(k for s in asked for k in s)
+        return sorted(k for k, v in votes.items() if 10 * v >= 9 * len(asked))
+    if other:
+        frames = [_frame(set(s), n) for s in other]
+        found = set.intersection(*frames)
+        return sorted(k for k in found if len(other) > 1 or kinds[k] != INSIDE)
+    if len(shared) >= 3:
+        found = set.intersection(*map(set, shared))
+        own = [k for k in range(n) if k not in found]
+        if own and own[-1] - own[0] + 1 == len(own):
+            return sorted(found)
+    return []
+
+
+def _frame(shared: set[int], n: int) -> set[int]:
+    """What is shared from the first line on, and up to the last."""
+    first = next((k for k in range(n) if k not in shared), n)
+    last = next((k for k in range(n - 1, -1, -1) if k not in shared), -1)
+    return {*range(first), *range(last + 1, n)}
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +266,44 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, kinds], names=["row", "page_id", "url", "texts", "kinds"])
 
 
-def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (row, own, sizes, other) to (row, gone)."""
+def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (block, home, host, row, own, sizes, kinds), sorted by block and
+    order, to (row, gone) of the pages that are at home in their block."""
+    window: list[tuple] = []  # the last pages, each with what its neighbours share
+    block = None
+    out: list[tuple[int, list[int]]] = []
+
+    def leave(page: tuple) -> None:
+        home, row, sizes, kinds, shared = page[1], page[2], page[4], page[5], page[6]
+        if home:
+            gone = deleted(sizes, kinds, shared)
+            if gone:
+                out.append((row, gone))
+
     for batch in batches:
-        own, sizes, other = (c.to_pylist() for c in batch.columns[1:])
-        gone = [shared_lines(np.array(a, np.int64), np.array(n, np.int64), np.array(b, np.int64)) for a, n, b in zip(own, sizes, other, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
+        for key, home, host, row, own, sizes, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != block:
+                while window:
+                    leave(window.pop(0))
+                block = key
+            page = (host, home, row, own, sizes, kinds, [])
+            for before in window:
+                if before[0] == host and (home or before[1]):
+                    a, b = aligned(before[3], own)
+                    before[6].append(a)
+                    page[6].append(b)
+            window.append(page)
+            if len(window) > NEAREST:
+                leave(window.pop(0))
+        yield _gone(out)
+        out = []
+    while window:
+        leave(window.pop(0))
+    yield _gone(out)
+
+
+def _gone(found: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], names=["row", "gone"])
 
 
 def host_of(url: Column) -> Column:
@@ -206,30 +318,33 @@ def path_of(url: Column) -> Column:
 
 
 def gone_lines(blocks: DataFrame) -> DataFrame:
-    """(row, gone) of the pages that have lines outside an article's element."""
-    hashed = blocks.where(F.exists("kinds", lambda k: k == OPEN)).select(
-        "row",
-        host_of(F.col("url")).alias("host"),
-        path_of(F.col("url")).alias("path"),
-        F.transform("texts", lambda t: F.xxhash64(t)).alias("own"),
-        F.transform("texts", lambda t: F.length(t)).alias("sizes"),
-    )
-    at = numbered(hashed.dropDuplicates(["row"]), ["host", "path", "row"])
-    beside = lambda step, name: at.select((F.col("idx") + step).alias("idx"), F.struct(F.col("host"), F.col("path"), F.col("own")).alias(name))
-    both = at.join(beside(1, "before"), "idx", "left").join(beside(-1, "after"), "idx", "left")
-    # of two neighbours of one host, the nearer path is the one that sorts to the same side for longer
-    near = lambda side: F.when(F.col(f"{side}.host") == F.col("host"), prefix(F.col("path"), F.col(f"{side}.path"))).otherwise(-1)
-    paired = both.withColumn("b", near("before")).withColumn("a", near("after")).where("greatest(a, b) >= 0")
-    chosen = paired.select("row", "own", "sizes", F.when(F.col("b") >= F.col("a"), F.col("before.own")).otherwise(F.col("after.own")).alias("other"))
-    return chosen.mapInArrow(aligned, "row long, gone array<int>").where("size(gone) > 0")
-
-
-def prefix(x: Column, y: Column) -> Column:
-    """Length of the longest common prefix."""
-    n = F.least(F.length(x), F.length(y))
-    same = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    differ = F.filter(same, lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
-    return F.coalesce(F.when(n > 0, F.try_element_at(differ, F.lit(1)) - 1), n)
+    """(row, gone) of the pages of which differencing deletes lines.
+
+    Only hashes and sizes of lines are written and shuffled. Blocks of BLOCK_PAGES
+    pages in order, with NEAREST more on either side, go to the tasks."""
+    hashed = scratch(
+        blocks.where(F.size("texts") > 0).select(
+            "row",
+            host_of(F.col("url")).alias("host"),
+            path_of(F.col("url")).alias("path"),
+            F.transform("texts", lambda t: F.xxhash64(t)).alias("own"),
+            F.transform("texts", lambda t: F.length(t)).alias("sizes"),
+            "kinds",
+        ).withColumn("content", F.xxhash64("own")),
+        "lines",
+    )
+    first = hashed.groupBy("host", "content").agg(F.min(F.struct("path", "row")).alias("first"))
+    heads = hashed.dropDuplicates(["row"]).join(first.select(F.col("first.row").alias("row")), "row", "left_semi")
+    at = numbered(heads, ["host", "path", "row"])
+    place = (F.col("idx") % BLOCK_PAGES).cast("int")
+    near = F.when(place < NEAREST, F.array(F.lit(0), F.lit(-1))).when(place >= BLOCK_PAGES - NEAREST, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = at.withColumn("step", F.explode(near)).withColumn("block", F.floor(F.col("idx") / BLOCK_PAGES).cast("long") + F.col("step"))
+    sorted_blocks = dealt.repartition("block").sortWithinPartitions("block", "idx")
+    found = sorted_blocks.select("block", (F.col("step") == 0).alias("home"), "host", "row", "own", "sizes", "kinds").mapInArrow(differenced, "row long, gone array<int>")
+    of_first = found.join(first.select("host", "content", F.col("first.row").alias("row")), "row").select("host", "content", "gone")
+    out = scratch(hashed.select("row", "host", "content").distinct().join(of_first, ["host", "content"]).select("row", "gone"), "gone")
+    drop_scratch(hashed, at)
+    return out
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -241,7 +356,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     joined = blocks.join(gone_lines(blocks), "row", "left")
     line = F.arrays_zip("texts", "kinds")
     inside = F.exists("kinds", lambda k: k == INSIDE)
-    kept = F.filter(line, lambda x, i: F.when(inside, x["kinds"] == INSIDE).otherwise(~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i)))
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.filter(line, lambda x, i: ~F.array_contains(gone, i) & (x["kinds"] == F.when(inside, INSIDE).otherwise(OPEN)))
     text = F.array_join(F.transform(kept, lambda x: x["texts"]), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

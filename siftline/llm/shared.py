@@ -80,4 +80,6 @@ def numbered(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("__part").alias("__p"), (F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
-    return parts.withColumn("__at", within).join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(name, (F.col("__at") + F.coalesce("__before", F.lit(0))).cast("long")).drop("__part", "__p", "__at", "__before")
+    out = parts.withColumn("__at", within).join(F.broadcast(before), F.col("__part") == F.col("__p")).withColumn(name, (F.col("__at") + F.coalesce("__before", F.lit(0))).cast("long")).drop("__part", "__p", "__at", "__before")
+    out.scratch_path = parts.scratch_path
+    return out

@@ -37,8 +37,8 @@ five<p class=advert>Ad text<p>six <!-- <p>not</p> --> 3 < 4</p><form>f</form><ul
 
 def text_of(page):
     found = pages.lines(page)
-    inside = any(k for _, k in found)
-    return " ".join(t for t, k in found if k or not inside)
+    inside = any(k == pages.INSIDE for _, k in found)
+    return " ".join(t for t, k in found if k == (pages.INSIDE if inside else pages.OPEN))
 
 
 def test_lines():
@@ -49,16 +49,84 @@ def test_lines():
     pages.lines("<a " * 50_000 + "<p '" * 50_000)
 
 
+def articles(table):
+    for i, page in zip(table["page_id"], table["html"]):
+        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        yield i, " ".join(h.unescape(re.sub(r"</?(?:p|h1|br)>", " ", article).replace("<b>", "").replace("</b>", "")).split())
+
+
 def test_fixture_pages_give_their_articles(spark):
     table = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pydict()
     got = {r.page_id: r for r in pages.op7_pages(spark, "/root/testdata/sf0.01").collect()}
     assert len(got) == len(table["page_id"])
-    for i, page in zip(table["page_id"], table["html"]):
-        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
-        want = " ".join(h.unescape(re.sub(r"</?(?:p|h1|br)>", " ", article).replace("<b>", "").replace("</b>", "")).split())
+    for i, want in articles(table):
         assert got[i].text == want and got[i].n_chars == len(want)
 
 
+def test_differencing_finds_templates_that_no_markup_tells(spark):
+    """The test pages share no lines but article text. Without their article elements
+    none of it may go; with a menu and an imprint in plain elements, those must."""
+    path = "/root/testdata/sf0.1/pages.parquet"
+    table = pq.read_table(path).to_pydict()
+    want = dict(articles(table))
+    rows = spark.read.parquet(path)
+    bare = rows.selectExpr("page_id", "url", "regexp_replace(html, '</?article>', ' <hr> ') AS html")
+    assert {r.page_id: r.text for r in pages.main_text(bare).collect()} == want
+    menu = "<div>Start page</div><div>All the topics of this site</div><div>"
+    dressed = rows.selectExpr("page_id", "url", f"replace(replace(html, '<article>', '{menu}'), '</article>', '</div><div>Imprint and contact</div>') AS html")
+    assert {r.page_id: r.text for r in pages.main_text(dressed).collect()} == want
+    lines = spark.createDataFrame([(r.page_id, r.url, *map(list, zip(*pages.lines(r.html)))) for r in dressed.collect()], "row long, url string, texts array<string>, kinds array<int>")
+    gone = {r.row: len(r.gone) for r in pages.gone_lines(lines).collect()}
+    assert len(gone) == len(want) and min(gone.values()) == 3
+
+
+def test_aligned_lines_are_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(3)
+    for most in (1 << 21, 0):
+        monkeypatch.setattr(pages, "_PAIRS", most)
+        for _ in range(200):
+            a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 25))] for _ in range(2))
+            x, y = pages.aligned(a, b)
+            assert x == sorted(set(x)) and y == sorted(set(y)) and len(x) == len(y) == lcs(a, b)
+            assert [a[i] for i in x] == [b[j] for j in y]
+
+
+def test_what_neighbours_share(spark):
+    menu, foot = "<div>Home</div><div>About this site and its many pages</div>", "<div>All rights are reserved, as everywhere</div>"
+    quote = "<p>A passage that several pages of the site quote word for word.</p>"
+    own = lambda i, n: "".join(f"<p>Paragraph {j} of page {i} says something else each time.</p>" for j in range(n))
+    rows = []
+    for i in range(8):  # a quote in half of the pages stays; menus and footers go
+        rows.append((i, f"http://a.com/{i}", menu + own(i, 4) + (quote if i % 2 else "") + foot))
+    for i in range(20, 26):  # a short article under a long template
+        rows.append((i, f"http://b.com/{i}", menu * 9 + f"<p>Short {i}</p>" + foot))
+    for i in range(40, 46):  # copies with scattered changes, and one whole copy twice
+        parts = [f"<p>Line {j} of a text that is copied with few changes.</p>" for j in range(12)]
+        parts[(i * 5) % 12] = f"<p>changed {i}</p>"
+        parts[(i * 7 + 3) % 12] = f"<p>changed too {i}</p>"
+        rows.append((i, f"http://c.com/{i}", "".join(parts)))
+    rows.append((46, "http://c.com/46", rows[-1][2]))
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    plain = lambda x: " ".join(re.sub("<[^>]*>", " ", x).split())
+    for i in range(8):
+        assert got[i] == plain(own(i, 4) + (quote if i % 2 else ""))
+    for i in range(20, 26):
+        assert got[i] == f"Short {i}"
+    for i in range(40, 46):
+        assert got[i] == plain(next(r[2] for r in rows if r[0] == i))
+    assert got[46] == got[45]
+
+
+def test_pages_of_hostile_nesting_take_linear_time():
+    import time
+
+    start = time.time()
+    pages.lines("<div>" * 50_000 + "</x>" * 50_000)
+    pages.lines("<b>" * 50_000 + "<p></p>" * 50_000)
+    pages.aligned(list(range(100_000)), list(range(1, 100_001)))
+    assert time.time() - start < 10
+
+
 def test_differencing_deletes_the_template(spark):
     body = lambda i: f"<body><div>Welcome to the site</div><div>All rights reserved</div><div>Own text of page {i} is long enough to be the article, {'word ' * i}</div><div>See you again</div></body>"
     rows = [(i, f"http://a.example.com/x/{i}", body(i), "gone") for i in range(1, 6)]
