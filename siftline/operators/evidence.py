@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
+from siftline.functions.report import entities, sentence_about
 from siftline.functions.text import CJK, context, parsed_number, relative_difference
+from siftline.operators.retrieve import in_blocks, nearest
 
 
 def placed(matches: Column, pattern: int, names: tuple[str, ...]) -> Column:
@@ -47,6 +49,7 @@ def reconciled(left: DataFrame, right: DataFrame, tolerance: float = 0.05) -> Da
     return compared.unionByName(alone(left, right, "left_only", F.col("value"), none)).unionByName(alone(right, left, "right_only", none, F.col("value")))
 
 
+# Patterns of labels and their numbers, with the groups of both.
 KEY_NUMBERS = [
     (rf"([{CJK}\w]{{2,10}})(?:为|达到|是|约|有|增长|下降|占比)([0-9]+(?:\.[0-9]+)?%?)", 1, 2),
     (rf"([{CJK}\w]{{2,10}})\s*[：:]\s*([0-9]+(?:\.[0-9]+)?%?)", 1, 2),
@@ -87,7 +90,7 @@ def citations(materials: DataFrame, internal_only: bool = False) -> DataFrame:
 
 def shown(text: Column, most: int = 120) -> Column:
     """The first characters, without private-use and C1 control characters."""
-    clean = F.trim(F.regexp_replace(F.substring(text, 1, most), r"[-\u0080-\u009f]", ""))
+    clean = F.trim(F.regexp_replace(F.substring(text, 1, most), r"[\ue000-\uf8ff\u0080-\u009f]", ""))
     return F.coalesce(clean, F.lit(""))
 
 
@@ -139,16 +142,28 @@ def unknown_links(reports: DataFrame, known: DataFrame) -> DataFrame:
     return links.join(known.select(bare(F.col("url")).alias("key")).distinct(), "key", "left_anti").select("id", "url").distinct()
 
 
+# Characters that a second look ignores, and that part a sentence.
 PUNCTUATION = r"[，。！？、；：\"'（）【】\[\]{}《》\s]"
 
 
+PARTS = r"(?U)[，。！？、；：,.!?;:\s]+"
+
+
 def anchor(sentence: Column, material: Column) -> Column:
     """struct(method, text): where a sentence stands in a material: literally, without
-    punctuation, by two of its segments, or by its first 20 characters; null if nowhere."""
-    clean = F.trim(sentence)
+    punctuation, by two of its segments, by its first 20 characters, or by its longest
+    number, percentage, year or quotation there; null if nowhere."""
+    clean = F.regexp_replace(sentence, r"(?U)^[\s\"'「」『』]+|[\s\"'「」『』]+$", "")
     bare_s, bare_m = F.regexp_replace(clean, PUNCTUATION, ""), F.regexp_replace(material, PUNCTUATION, "")
-    parts = F.filter(F.transform(F.split(clean, r"[，。！？、；：,.!?;:\n]"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 5) & F.contains(material, x))
+    parts = F.filter(F.split(clean, PARTS), lambda x: F.length(x) >= 5)
+    half = F.floor(F.length(clean) / 2).cast("int")
+    halves = F.array(F.substring(clean, F.lit(1), half), F.substring(clean, half + 1, F.length(clean)))
+    parts = F.filter(F.when((F.size(parts) < 2) & (F.length(clean) > 10), halves).otherwise(parts), lambda x: F.contains(material, x))
     head = F.trim(F.substring(clean, 1, 20))
+    longest = lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)
+    entity = F.get(F.array_sort(F.filter(entities(clean), lambda x: (F.length(x) >= 3) & F.contains(material, x)), longest), F.lit(0))
+    about = sentence_about(material, entity)
+    named = F.when(about != "", F.concat(F.lit("【实体匹配】"), entity, F.lit(" | 上下文: "), about)).otherwise(context(material, entity, 100))
     at = F.position(bare_s, bare_m)
     begin = F.greatest(F.lit(1), at - 20)
     is_ = lambda method, text: F.struct(F.lit(method).alias("method"), text.alias("text"))
@@ -158,14 +173,27 @@ def anchor(sentence: Column, material: Column) -> Column:
         .when((F.length(bare_s) >= 5) & F.contains(bare_m, bare_s), is_("no punctuation", F.substring(material, begin, at + F.length(bare_s) + 20 - begin)))
         .when(F.size(parts) >= 2, is_("segments", context(material, F.get(parts, F.lit(0)), 100)))
         .when((F.length(head) >= 6) & F.contains(material, head), is_("head", context(material, head, 100)))
+        .when(entity.isNotNull(), is_("entity", named))
     )
 
 
+METHODS = ("exact", "no punctuation", "segments", "head", "entity")
+
+
 def anchors(sentences: DataFrame, materials: DataFrame) -> DataFrame:
     """(item_id, method, doc_id) of each sentence (item_id, text) of a stated set: the
     strongest method that finds it, and the smallest document in which it does."""
-    asked = sentences.agg(F.collect_list(F.struct("item_id", "text")).alias("asked"))
-    each = materials.select("doc_id", F.col("text").alias("material")).crossJoin(F.broadcast(asked)).select("doc_id", "material", F.explode("asked").alias("q"))
+    each = in_blocks(materials.select("doc_id", F.col("text").alias("material")), sentences.select("item_id", "text"))
     found = each.select("doc_id", F.col("q.item_id").alias("item_id"), anchor(F.col("q.text"), F.col("material"))["method"].alias("method")).where("method is not null")
-    rank = F.array_position(F.array(*map(F.lit, ("exact", "no punctuation", "segments", "head"))), F.col("method"))
+    rank = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
     return found.groupBy("item_id").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "method")).alias("best")).select("item_id", "best.method", "best.doc_id")
+
+
+def semantic_matches(vectors: DataFrame, queries: DataFrame, least: float = 0.85) -> DataFrame:
+    """(query_id, vec_id, cosine): for each query vector the stored one of the greatest
+    cosine, if that reaches ``least``; ties go to the smaller id. Vectors are scaled
+    to length 1, where the nearest has the greatest cosine; those without length are
+    never found."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    scaled = lambda df, key: df.withColumn("norm", norm).where("norm > 0").select(key, F.transform("embedding", lambda v: v / F.col("norm")).alias("embedding"))
+    return nearest(scaled(vectors, "vec_id"), scaled(queries, "query_id"), 1).where(F.col("cosine") >= least).select("query_id", "vec_id", "cosine")

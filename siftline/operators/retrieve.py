@@ -19,6 +19,24 @@ from siftline.functions.text import tokens
 K1, B = 1.5, 0.75
 
 
+#: Rows of a query set that go to the data as one array, and bytes up to which the
+#: whole set is broadcast.
+BLOCK_ROWS, BROADCAST_BYTES = 256, 64 << 20
+
+
+def in_blocks(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every row beside every query (a struct ``q``) of a stated set, which goes to the
+    rows in arrays of about BLOCK_ROWS, so that a row is copied once a block and only
+    what is found need leave the task. A set of more than BROADCAST_BYTES isn't
+    broadcast; its blocks and the rows then meet partition by partition."""
+    texts = [c for c, kind in asked.dtypes if kind == "string"]
+    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16)))
+    n, total = asked.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    blocks = asked.groupBy(F.pmod(F.xxhash64(*asked.columns), F.lit(-(-n // BLOCK_ROWS) or 1)).alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("asked")).drop("block")
+    blocks = F.broadcast(blocks) if total <= BROADCAST_BYTES else blocks
+    return rows.crossJoin(blocks).withColumn("q", F.explode("asked")).drop("asked")
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf)."""
     return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -148,8 +166,7 @@ def exact_prefix(docs: DataFrame, queries: DataFrame, answered: DataFrame, prefi
     the score is least(0.75 + least(hits / 10, 0.15), 0.95)."""
     left = queries.join(answered.select("item_id").distinct(), "item_id", "left_anti")
     keys = left.select("item_id", F.substring(F.lower("text"), 1, prefix).alias("key")).where("key <> ''")
-    grouped = keys.agg(F.collect_list(F.struct("item_id", "key")).alias("keys"))
-    each = docs.select("doc_id", F.lower("text").alias("low")).crossJoin(F.broadcast(grouped))
-    hit = each.select("doc_id", "low", F.explode(F.filter("keys", lambda x: F.contains(F.col("low"), x["key"]))).alias("q"))
+    each = in_blocks(docs.select("doc_id", F.lower("text").alias("low")), keys)
+    hit = each.where(F.contains("low", F.col("q.key")))
     count = ((F.length("low") - F.length(F.replace("low", F.col("q.key"), F.lit("")))) / F.length("q.key")).cast("long")
     return hit.select("q.item_id", "doc_id", count.alias("hits")).withColumn("score", F.round(F.least(0.75 + F.least(F.col("hits") / 10, F.lit(0.15)), F.lit(0.95)), 6))

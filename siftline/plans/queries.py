@@ -204,29 +204,11 @@ def dedup_greedy(spark, sf_dir):
 SELECT * FROM o WHERE score >= 0.25""")
 def lexical_overlap_hits(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents", "benchmark")
-    asked = items.agg(F.collect_list(F.struct("item_id", "text")).alias("q"))
-    each = docs.crossJoin(F.broadcast(asked)).select("doc_id", "text", F.explode("q").alias("q"))
+    each = retrieve.in_blocks(docs.select("doc_id", "text"), items)
     out = each.select("q.item_id", "doc_id", F.round(T.lexical_overlap(F.col("text"), F.col("q.text")), 6).alias("score"))
     return out.where("score >= 0.25")
 
 
-@query()
-def layer1_filter(spark, sf_dir):
-    """Chunks against their own documents: length, relevance to the document's best
-    item, and distortion; with the reason."""
-    docs = read(spark, sf_dir, "documents")
-    words = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)\w+"), F.lit(0)))
-    side = lambda t: (t.alias("t"), T.grams(t).alias("g"), words(t).alias("w"))
-    sources = docs.select("doc_id", T.normalised(F.col("text")).alias("t")).select("doc_id", F.struct(*side(F.col("t"))).alias("b"))
-    chunks = clean.strided(docs).select("doc_id", "chunk_no", T.normalised(F.col("text")).alias("t")).select("doc_id", "chunk_no", F.struct(*side(F.col("t"))).alias("a"))
-    both = chunks.join(sources, "doc_id").withColumn("content", F.array_except("a.w", F.array(*map(F.lit, fixed.STOP_WORDS))))
-    covered = F.when(F.size("content") > 0, F.size(F.array_intersect("content", "b.w")) / F.size("content")).otherwise(0.0)
-    scored = both.select("doc_id", "chunk_no", F.length("a.t").alias("n"), T.overlap(F.col("a.g"), F.col("b.g")).alias("ngram"), T.edit_ratio(F.col("a.t"), F.col("b.t")).alias("edit"), covered.alias("covered"))
-    total = 0.4 * F.col("ngram") + 0.3 * F.col("edit") + 0.3 * F.col("covered")
-    reason = F.when(F.col("n") < 15, "short").when((F.col("ngram") < 0.2) & (F.col("edit") < 0.25), "distorted").when(total < 0.2, "off the source").otherwise("ok")
-    return scored.select("doc_id", "chunk_no", F.round(total, 6).alias("score"), reason.alias("reason"))
-
-
 TIER_TRUSTED, TIER_LOW = ["example.org"], ["spam-farm", "cheap-pills"]
 
 
@@ -236,15 +218,13 @@ def trust_tier(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", "url", rules.trust_tier(F.col("url"), TIER_TRUSTED, TIER_LOW).alias("trust_tier"))
 
 
-@query(f"""WITH {BM25}, n AS (SELECT item_id, doc_id, score / max(score) OVER (PARTITION BY item_id) AS s FROM bm),
-  a AS (SELECT item_id, round(max(s), 6) AS best, round(min(s), 6) AS worst, round(avg(s), 6) AS mean FROM n WHERE doc_id % 2 = 1 GROUP BY item_id)
+@query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10), m AS (SELECT max(score) AS top FROM t),
+  a AS (SELECT item_id, round(max(round(score / top, 6)), 6) AS best, round(min(round(score / top, 6)), 6) AS worst, round(avg(round(score / top, 6)), 6) AS mean FROM t, m GROUP BY item_id)
 SELECT item_id, best, worst, mean, CASE WHEN best < 0.5 THEN 'irrelevant' WHEN best < 0.7 THEN 'insufficient' ELSE 'relevant' END AS relevance FROM a""")
 def relevance_class(spark, sf_dir):
-    """Scores of the documents with odd ids, relative to the best of all: two halves of the corpus are two sources here."""
-    from pyspark.sql import Window
-
-    hits = retrieve.bm25(*read(spark, sf_dir, "documents", "benchmark"))
-    relative = hits.withColumn("s", F.col("score") / F.max("score").over(Window.partitionBy("item_id"))).where("doc_id % 2 = 1")
+    """The top hits' scores as shares of the best score of any item: best, worst, mean and class."""
+    hits = retrieve.bm25_topk(*read(spark, sf_dir, "documents", "benchmark"))
+    relative = hits.crossJoin(F.broadcast(hits.agg(F.max("score").alias("top")))).withColumn("s", F.round(F.col("score") / F.col("top"), 6))
     out = relative.groupBy("item_id").agg(F.round(F.max("s"), 6).alias("best"), F.round(F.min("s"), 6).alias("worst"), F.round(F.avg("s"), 6).alias("mean"))
     return out.withColumn("relevance", rules.relevance(F.col("best")))
 
@@ -364,12 +344,6 @@ def fake_citations(spark, sf_dir):
     return evidence.unknown_links(reports, pages.where(F.contains("url", F.lit("example.com"))))
 
 
-@query()
-def evidence_anchor(spark, sf_dir):
-    docs, items = read(spark, sf_dir, "documents", "benchmark")
-    return evidence.anchors(items, docs)
-
-
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 10 GROUP BY conv_id""")
 def conversation_window(spark, sf_dir):
     return sessions.conversation_window(read(spark, sf_dir, "conversations"))
@@ -426,17 +400,6 @@ def grade_issues(spark, sf_dir):
     return rows.select("id", rules.graded(F.col("issue"), F.col("sentence")).alias("g")).select("id", "g.error_type", "g.impact")
 
 
-TASKS = ["总结文件", "概括全文要点", "最新行业动态", "市场占比是多少", "随便聊聊", ""]
-
-
-@query(f"""SELECT o_orderkey AS id, {_words(['document_local', 'document_local', 'expansion_research', 'precise_qa', 'general', 'general'])}[CAST(o_orderkey % 6 + 1 AS INTEGER)] AS intent,
-  [0.95, 0.95, 0.85, 0.8, 0.5, 1.0][CAST(o_orderkey % 6 + 1 AS INTEGER)]::DOUBLE AS confidence FROM orders""")
-def intent(spark, sf_dir):
-    k = F.col("o_orderkey")
-    task = F.element_at(F.array(*map(F.lit, TASKS)), (k % 6 + 1).cast("int"))
-    return read(spark, sf_dir, "orders").select(k.alias("id"), rules.intent(task).alias("i")).select("id", "i.intent", "i.confidence")
-
-
 @query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10), n AS (SELECT item_id, count(*) AS n, max(score) AS b FROM t GROUP BY 1)
 SELECT item_id, n >= 3 AS sufficient, CASE WHEN n < 3 THEN 0.2 WHEN b >= 0.05 AND n >= 5 THEN 0.9 WHEN b >= 0.05 THEN 0.6 ELSE 0.3 END::DOUBLE AS score FROM n""")
 def sufficiency(spark, sf_dir):
@@ -501,8 +464,7 @@ def web_query(spark, sf_dir):
 SELECT item_id, CAST(n AS BIGINT) AS n FROM c WHERE n < 2""")
 def missing_subtopics(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents", "benchmark")
-    asked = items.agg(F.collect_list(F.struct("item_id", F.substring("text", 1, 20).alias("k"))).alias("q"))
-    each = docs.crossJoin(F.broadcast(asked)).select("text", F.explode(F.filter("q", lambda x: F.contains(F.col("text"), x["k"]))).alias("q"))
+    each = retrieve.in_blocks(docs.select("text"), items.select("item_id", F.substring("text", 1, 20).alias("k"))).where(F.contains("text", F.col("q.k")))
     n = each.select("q.item_id", ((F.length("text") - F.length(F.replace("text", F.col("q.k"), F.lit("")))) / F.length("q.k")).alias("n")).groupBy("item_id").agg(F.sum("n").cast("long").alias("n"))
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n")).where("n < 2")
 
@@ -549,12 +511,3 @@ def material_prompt(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents", "benchmark")
     hits = retrieve.bm25_topk(docs, items).join(docs.select("doc_id", "source", "text"), "doc_id")
     return report.formatted(hits.select("item_id", F.col("rank").alias("ord"), "source", "text"), "item_id")
-
-
-@query(f"""SELECT o_orderkey AS id, [true, true, false, false, false, false][CAST(o_orderkey % 6 + 1 AS INTEGER)] AS is_summary, [0.95, 0.95, 0.0, 0.0, 0.0, 0.0][CAST(o_orderkey % 6 + 1 AS INTEGER)]::DOUBLE AS confidence,
-  [false, false, true, true, false, false][CAST(o_orderkey % 6 + 1 AS INTEGER)] AS needs_web FROM orders""")
-def summary_intent(spark, sf_dir):
-    k = F.col("o_orderkey")
-    task = F.element_at(F.array(*map(F.lit, TASKS)), (k % 6 + 1).cast("int"))
-    rows = read(spark, sf_dir, "orders").select(k.alias("id"), report.summary_intent(task, F.lit(False)).alias("s"), report.needs_web(task).alias("needs_web"))
-    return rows.select("id", "s.is_summary", "s.confidence", "needs_web")

@@ -157,3 +157,121 @@ def test_report_functions(spark):
     assert one(spark, report.sentence_about(F.col("t"), F.lit("key")), t="a key " + "b" * 200) == "a key " + "b" * 79
     assert one(spark, report.entities(F.col("t")), t='2024年 12% "quoted words"') == ["2024", "12", "12%", "2024年", "quoted words"]
     assert one(spark, report.segments(F.col("t")), t="x" * 20) == ["x" * 10, "x" * 10]
+
+
+def test_citations_drop_private_use_and_control_characters_only(spark):
+    assert one(spark, evidence.shown(F.col("t")), t="555-3824 a\u0085b-") == "555-3824 ab-"
+    assert one(spark, evidence.shown(F.col("t")), t=None) == ""
+
+
+def test_replaced_and_dropped_characters(spark):
+    assert one(spark, T.replaced_characters(F.col("t")), t="a—b’c d​e﻿f\u0007g　h") == "·a—b'c defg h"
+
+
+@pytest.mark.parametrize(
+    ("task", "name", "strategy"),
+    [("列出全部数据", "precise_qa", "precise_qa"), ("告诉我一下数据", "precise_qa", "precise_qa"), ("查资料", "general", "general"), ("宏观政策", "general", "general"), ("竞品格局", "general", "general"), ("总结这份PDF", "general", "general"),
+     ("总结文件", "document_local", "force_pdf_only"), ("不联网", "general", "force_pdf_only"), (None, "general", "general"), ("  ", "general", "general")],
+)
+def test_intents(spark, task, name, strategy):
+    from siftline.functions import intents
+
+    got = one(spark, F.struct(intents.intent(F.col("t")).alias("i"), intents.policy(intents.intent(F.col("t"))).alias("p")), t=task)
+    assert (got.i.intent, got.p.strategy) == (name, strategy)
+
+
+def test_layer1_against_a_plain_fold(spark):
+    import random
+    import re
+
+    from siftline.operators import validation
+
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("ter", "sol", "fin", "gra", "bel")]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    sources = {s: text(60) for s in range(4)}
+    rows = []
+    for task in range(3):
+        for k in range(25):
+            s = rng.randrange(5)
+            t = " ".join(sources.get(s, text(60)).split()[k : k + 12])
+            t = rng.choice([t, t, t[:-3] + "xyz", text(12), "short", "", None, "zzz " * 8, *(r[2] for r in rows[-3:])])
+            rows.append((task, k, t, "kater losol zzz", rng.choice([s, s, (s + 1) % 4])))
+    chunks = spark.createDataFrame(rows, "task_id long, ord long, text string, task string, source_id long")
+    got = {(r.task_id, r.ord): (r.passed, r.reason, r.score) for r in validation.layer1(chunks, spark.createDataFrame(list(sources.items()), "source_id long, source string")).collect()}
+
+    def grams(t):
+        return {t[i : i + 5] for i in range(len(t) - 4)}
+
+    def overlap(a, b):
+        return len(grams(a) & grams(b)) / max(len(grams(a)), len(grams(b))) if grams(a) and grams(b) else 0.0
+
+    def ratio(a, b):
+        a, b = sorted((a, b), key=len)
+        if not a:
+            return 0.0
+        if a in b:
+            return len(a) / len(b)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return 1 - row[-1] / max(len(a), len(b))
+
+    seen = set()
+    for task in range(3):
+        kept = []
+        for t_id, k, t, asked, s in rows:
+            if t_id != task:
+                continue
+            text_ = t or ""
+            source = sources.get(s, text_)
+            words = lambda x: set(re.findall("[a-z0-9]+", x.lower()))
+            near = 0.3 * len(words(text_) & words(asked)) / (len(words(asked)) + 0.001)
+            if len(text_.strip()) < 15:
+                want = (False, "short", 0.0)
+            elif near < 0.1:
+                want = (False, "irrelevant", round(near, 4))
+            else:
+                alike = max([overlap(text_.strip(), x) for x in kept], default=0.0)
+                a, b = text_.strip(), source.strip()
+                score = 0.4 * overlap(a, b) + 0.3 * ratio(a, b) + 0.3 * len(words(a) & words(b)) / len(words(a))
+                if alike > 0.85:
+                    want = (False, "duplicate", round(alike, 4))
+                elif overlap(a, b) < 0.2 and ratio(a, b) < 0.25:
+                    want = (False, "distorted", round(score, 4))
+                elif score < 0.2:
+                    want = (False, "off the source", round(score, 4))
+                else:
+                    kept.append(a)
+                    want = (True, "ok", round(score, 4))
+            seen.add(want[1])
+            assert got[task, k][:2] == want[:2] and math.isclose(got[task, k][2], want[2], abs_tol=2e-4)
+    assert {"short", "irrelevant", "duplicate", "ok"} <= seen
+
+
+def test_anchor_strategies(spark):
+    material = "The market grew by 12.5% in 2024, said 'the report'. 首页内容很多。核心观点在这里，别处没有。"
+    cases = [("grew by 12.5%", "exact"), ("The market, grew by 12.5% in 2024", "no punctuation"), ("market report nowhere", None), ("核心观点在这里！别处没有吧", "segments"), ("In 2024年 nothing", "entity"), ("abc", None)]
+    for sentence, method in cases:
+        got = one(spark, evidence.anchor(F.col("s"), F.lit(material)), s=sentence)
+        assert (got and got.method) == method, sentence
+
+
+def test_repairs_reach_nested_text(spark):
+    from siftline.operators import checking
+
+    reports = spark.createDataFrame([(1, '{"a": ["12元 and 12元", {"b": "7"}], "n": 12}'), (2, "no json 12元"), (3, None)], "report_id long, report string")
+    wrong = spark.createDataFrame([(1, 0, "12元"), (1, 1, "99元"), (2, 0, "12元"), (3, 0, "12元")], "report_id long, ord long, number string")
+    materials = spark.createDataFrame([(i, 1, "first 5万 then 12万元") for i in (1, 2, 3)], "report_id long, ord long, text string")
+    got = {r.report_id: r.report for r in checking.repaired_reports(reports, wrong, materials).collect()}
+    assert got == {1: '{"a": ["12万 and 12元", {"b": "7"}], "n": 12}', 2: "no json 12元", 3: None}
+
+
+def test_wrapped_lines(spark):
+    from siftline.functions import prompts
+
+    assert one(spark, prompts.wrapped(F.col("t"), 2), t="市场abcde增\nx") == ["市场", "abcd", "e增", "x"]
+    assert one(spark, prompts.wrapped(F.col("t"), 2), t=None) == [""]

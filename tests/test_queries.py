@@ -1,6 +1,6 @@
 import pytest
 
-from siftline.plans.queries import QUERIES, SQL
+from siftline.plans.registered import QUERIES, SQL
 
 from .oracle import compare
 
