@@ -17,6 +17,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{CJK}]|[a-z0-9]{{2,}}"), F.lit(0))
 
 
+#: White space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def squeezed(text: Column) -> Column:
     """White space (of Unicode) collapsed to single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -104,8 +113,9 @@ def list_markers(text: Column) -> Column:
 
 def is_header_or_footer(line: Column) -> Column:
     """Page numbers, running titles, notices: what a page repeats around its text."""
-    t = F.trim(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
-    patterns = "|".join(f"(?:{p})" for p in fixed.HEADER_LINES)
+    t = stripped(line)
+    # the anchor before the alternation keeps the matcher from trying every position
+    patterns = "^(?:" + "|".join(f"(?:{p})" for p in fixed.HEADER_LINES) + ")"
     return (t != "") & (t.rlike(patterns) | ((F.length(t) < 8) & t.rlike(r"^[\d\s\-=/\\|]+$")))
 
 

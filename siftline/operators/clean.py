@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
-from siftline.functions.text import is_advert, is_header_or_footer, normalised, replaced_characters, squeezed
+from siftline.functions.text import is_advert, is_header_or_footer, normalised, replaced_characters, squeezed, stripped
 
 SENTENCE_END = r"[。！？」』\"'）］》】]$"
 
@@ -120,7 +120,7 @@ def chunk_verdict(text: Column, url: Column) -> Column:
     """struct(passed, score, reason) of a web chunk: its length, the white space at
     its ends, its source, and words no complete chunk begins or ends with."""
     n = F.length(text)
-    bare = F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    bare = stripped(text)
     verdict = lambda ok, score, why: F.struct(F.lit(ok).alias("passed"), F.round(score, 6).alias("score"), F.lit(why).alias("reason"))
     starts = F.exists(F.array(*map(F.lit, fixed.DANGLING_STARTS)), lambda w: F.startswith(bare, w))
     ends = F.exists(F.array(*map(F.lit, fixed.DANGLING_ENDS)), lambda w: F.endswith(bare, w))

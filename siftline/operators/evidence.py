@@ -3,7 +3,7 @@ against source material."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
@@ -110,22 +110,57 @@ def report_numbers(reports: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce((value < 10) & (F.length("number") <= 2), F.lit(False))).select("id", "ord", "number")
 
 
-def supported(numbers: DataFrame, materials: DataFrame, blocks: int = 4096) -> DataFrame:
-    """(number, exact_in, confidence): for each distinct number the first material
-    (ord) that contains it, and how far any supports it: 1 if one contains it, else
-    the largest share of its digit runs in one material.
+#: Characters of a long stretch of digits that are looked at in one piece.
+STRETCH = 256
 
-    The numbers go to the materials in blocks of a stated size, as one array a pass,
-    so that each text is read once and only hits are shuffled."""
+
+def pieces(materials: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ord, piece): which of the asked strings (piece: a digit, then digits, commas,
+    dots and CJK magnitudes) each text contains; each pair once.
+
+    A text's stretches of such characters are cut into all their pieces up to the
+    longest that is asked for, which are then joined with them by equality: no string
+    meets a text that doesn't hold it."""
+    longest = asked.agg(F.coalesce(F.max(F.length("piece")), F.lit(0))).first()[0]
+    stretches = materials.select("ord", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9][0-9,.万亿千百十]*"), F.lit(0)))).alias("whole"))
+    windows = F.transform(F.sequence(F.lit(1), F.length("whole"), F.lit(STRETCH)), lambda i: F.substring(F.col("whole"), i, F.lit(STRETCH + longest)))
+    cut = stretches.select("ord", F.explode(windows).alias("w")).distinct()
+    from_each = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.length("w") - i + 1)), lambda n: F.substring(F.col("w"), i, n))
+    starts = F.filter(F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.length("w"))), lambda i: F.substring(F.col("w"), i, F.lit(1)).between("0", "9"))
+    found = cut.select("ord", F.explode(F.array_distinct(F.flatten(F.transform(starts, from_each)))).alias("piece"))
+    return found.join(asked, "piece", "left_semi").distinct()
+
+
+def supported(numbers: DataFrame, materials: DataFrame) -> DataFrame:
+    """(number, exact_in, confidence, found): for each distinct number (as
+    ``report_numbers`` gives them) the first material (ord) that contains it, and how
+    far any supports it: 1 if one contains it, else the largest share of its digit runs
+    in one material. More than a half counts as found.
+
+    A share of one run needs only to know which runs occur. Shares of more are looked
+    for in the materials of a number's rarer runs, as they need one of those."""
     distinct = numbers.select("number").distinct()
-    keyed = distinct.select("number", F.regexp_extract_all("number", F.lit(r"\d+\.?\d*"), F.lit(0)).alias("runs"))
-    grouped = keyed.groupBy(F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("number", "runs")).alias("asked"))
-    # texts without a digit support nothing
-    each = materials.where(F.col("text").rlike(r"\d")).select("ord", "text").crossJoin(F.broadcast(grouped))
-    hits = each.select("ord", F.explode(F.filter(F.transform("asked", lambda a: F.struct(a["number"].alias("number"), F.contains(F.col("text"), a["number"]).alias("exact"), (F.size(F.filter(a["runs"], lambda r: F.contains(F.col("text"), r))) / F.size(a["runs"])).alias("share"))), lambda h: h["exact"] | (h["share"] > 0))).alias("h"))
-    best = hits.select("ord", "h.*").groupBy("number").agg(F.min(F.when(F.col("exact"), F.col("ord"))).alias("exact_in"), F.max("share").alias("share"))
-    out = distinct.join(best, "number", "left")
-    return out.select("number", "exact_in", F.round(F.when(F.col("exact_in").isNotNull(), 1.0).otherwise(F.coalesce("share", F.lit(0.0))), 4).alias("confidence"))
+    runs = F.regexp_extract_all("number", F.lit(r"\d+\.?\d*"), F.lit(0))
+    keyed = distinct.select("number", runs.alias("runs"))
+    asked = keyed.select(F.explode(F.array_append("runs", F.col("number"))).alias("piece")).where("piece <> ''").distinct()
+    hits = pieces(materials, asked)
+    seen = hits.groupBy("piece").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    exact = distinct.join(seen, F.col("number") == F.col("piece")).select("number", F.col("first").alias("exact_in"))
+
+    open_runs = keyed.join(exact, "number", "left_anti").select("number", F.size("runs").alias("k"), F.explode("runs").alias("piece"))
+    each = open_runs.groupBy("number", "k", "piece").agg(F.count("*").alias("times")).join(seen, "piece")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("n"), "piece"))
+    ranked = each.withColumn("rank", rank)
+    alone = each.groupBy("number").agg(F.max(F.col("times") / F.col("k")).alias("share"))
+    rarer = ranked.where("rank > 1").join(hits, "piece").groupBy("number", "k", "ord").agg(F.sum("times").alias("times"))
+    common = ranked.where("rank = 1").select("number", "piece", F.col("times").alias("more"))
+    both = rarer.join(common, "number").join(hits.withColumn("there", F.lit(True)), ["ord", "piece"], "left")
+    together = both.groupBy("number").agg(F.max((F.col("times") + F.when(F.col("there"), F.col("more")).otherwise(0)) / F.col("k")).alias("share"))
+    best = alone.unionByName(together).groupBy("number").agg(F.max("share").alias("share"))
+
+    out = distinct.join(exact, "number", "left").join(best, "number", "left")
+    confidence = F.round(F.when(F.col("exact_in").isNotNull(), 1.0).otherwise(F.coalesce("share", F.lit(0.0))), 4)
+    return out.select("number", "exact_in", confidence.alias("confidence")).withColumn("found", F.col("confidence") > 0.5)
 
 
 def replaced_number(text: Column, wrong: Column, right: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,15 +72,111 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+#: Pairs of query and term that go to the tasks at once, and scores in memory.
+QUERY_TERMS, SCORES = 1 << 20, 1 << 22
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return top(bm25(docs, queries), "item_id", [F.desc("score"), F.asc("doc_id")], k)
+    """(item_id, doc_id, score, rank) of the k best documents of each query.
+
+    One pass counts documents, tokens and the documents of each wanted term; the
+    second scores every document where it lies and keeps the k best of a task for each
+    query, so that only those are shuffled. Queries go to the tasks in blocks of at
+    most QUERY_TERMS pairs of query and term."""
+    rows = queries.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).orderBy("item_id", "term").toLocalIterator()
+    found, held = None, []
+
+    def search(pairs: list) -> DataFrame:
+        return top(_scored(docs, pairs, k), "item_id", [F.desc("score"), F.asc("doc_id")], k)
+
+    for r in rows:
+        if len(held) >= QUERY_TERMS and r.item_id != held[-1][0]:
+            found, held = search(held) if found is None else found.unionByName(search(held)), []
+        held.append((r.item_id, r.term))
+    if held or found is None:
+        more = search(held) if held else docs.sparkSession.createDataFrame([], f"item_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, rank int")
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def _scored(docs: DataFrame, pairs: list[tuple], k: int) -> DataFrame:
+    """(item_id, doc_id, score): the best of every task."""
+    spark = docs.sparkSession
+    terms = sorted({t for _, t in pairs})
+    place = {t: i for i, t in enumerate(terms)}
+    items = sorted({i for i, _ in pairs})
+    at = {i: n for n, i in enumerate(items)}
+    asked = spark.sparkContext.broadcast(pa.array(terms, pa.string()))
+    tokenised = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
+
+    def wanted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes of a batch's documents, and (document, term, frequency) of wanted terms."""
+        lists = batch.column(batch.num_columns - 1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        ids = pc.index_in(lists.flatten(), value_set=asked.value)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        term = ids.fill_null(0).to_numpy().astype(np.int64)[known]
+        doc = np.repeat(np.arange(len(sizes)), sizes)[known]
+        pair, times = np.unique(doc * len(terms) + term, return_counts=True)
+        return sizes, pair // len(terms), pair % len(terms), times
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, df = 0, 0, np.zeros(len(terms), np.int64)
+        for batch in batches:
+            sizes, _, term, _ = wanted(batch)
+            n, total, df = n + len(sizes), total + int(sizes.sum()), df + np.bincount(term, minlength=len(terms))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *some.tolist()], pa.int64()), pa.array([n, total, *df[some].tolist()], pa.int64())], names=["term", "n"])
+
+    counts = {r.term: r.n for r in tokenised.select("tokens").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    n_docs, average = counts.get(-2, 0), counts.get(-1, 0) / max(counts.get(-2, 0), 1)
+    df = np.array([counts.get(i, 0) for i in range(len(terms))], np.float64)
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    # the queries of each term, one after the other
+    of_term = np.array(sorted((place[t], at[i]) for i, t in pairs), np.int64).reshape(-1, 2)
+    first = np.searchsorted(of_term[:, 0], np.arange(len(terms) + 1))
+    shared = spark.sparkContext.broadcast((idf, of_term[:, 1].copy(), first, np.array(items)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, of, first, ids = shared.value
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, np.int64))  # query, score, document
+        step = max(1, SCORES // len(ids))
+        for whole in batches:
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                sizes, doc, term, times = wanted(batch)
+                if not len(doc):
+                    continue
+                part = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[doc] / average))
+                many = first[term + 1] - first[term]
+                row = np.repeat(np.arange(len(doc)), many)
+                item = of[np.repeat(first[term] - (np.cumsum(many) - many), many) + np.arange(len(row))]
+                score = np.bincount(doc[row] * len(ids) + item, weights=part[row], minlength=len(sizes) * len(ids))
+                hit = np.flatnonzero(score)
+                own = batch.column(0).to_numpy()[hit // len(ids)]
+                kept = _k_best(np.concatenate([kept[0], hit % len(ids)]), np.concatenate([kept[1], score[hit]]), np.concatenate([kept[2], own]), k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[2]), pa.array(kept[1])], names=["item_id", "doc_id", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return tokenised.mapInArrow(best, f"item_id long, doc_id {kind}, score double").withColumn("score", F.round("score", 6))
+
+
+def _k_best(item: np.ndarray, score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each item with the best scores (of six digits), ties by document."""
+    order = np.lexsort((doc, -np.floor(score * 1e6 + 0.5), item))
+    item, score, doc = item[order], score[order], doc[order]
+    begin = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
+    place = np.arange(len(item)) - np.repeat(begin, np.diff(np.append(begin, len(item))))
+    keep = place < k
+    return item[keep], score[keep], doc[keep]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """(query_id, vec_id, dist, cosine) of the k vectors nearest by Euclidean distance.
 
     Blocks of queries go to every task, which keeps its own k best for each of them;
-    only those are shuffled."""
+    only those are shuffled. Vectors that are null or not as long as the queries are
+    never found."""
     spark = vectors.sparkSession
     rows = queries.select("query_id", "embedding").where("embedding is not null").toLocalIterator()
     found = None
@@ -93,11 +190,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 10
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for batch in batches:
-                keep = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not keep:
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]))
+                if not batch.num_rows:
                     continue
-                own = np.array(batch.column(0).to_pylist(), np.int64)[keep]
-                x = np.array([batch.column(1)[i].as_py() for i in keep], np.float64)
+                own = batch.column(0).to_numpy().astype(np.int64)
+                x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
                 square = np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0)
                 norm = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None, :]
                 cosine = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)

@@ -60,7 +60,7 @@ def layer1(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     rows = chunks.withColumn("relevance", T.lexical_overlap(F.col("text"), F.col("task"))).withColumn("__key", key)
     own = sides(chunks.select(key.alias("__key"), "text").dropDuplicates(["__key"]), "__key", "text", "a")
     both = rows.join(own, "__key").join(sides(sources, "source_id", "source", "b"), "source_id", "left").withColumn("b", F.coalesce("b", "a"))
-    bare = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""))
+    bare = T.stripped(F.coalesce("text", F.lit("")))
     early = F.when(F.length(bare) < SHORTEST, "short").when(F.col("relevance") < LEAST_RELEVANT, "irrelevant")
     item = F.struct(F.col("ord").cast("long").alias("ord"), "text", early.alias("early"), "relevance", F.col("a.g").alias("g"), F.col("distorted.score").alias("score"), F.col("distorted.reason").alias("late"))
     lists = distortion(both).groupBy("task_id").agg(F.array_sort(F.collect_list(item), lambda x, y: F.signum(x["ord"] - y["ord"]).cast("int")).alias("items"))

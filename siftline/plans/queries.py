@@ -320,7 +320,7 @@ def report_numbers(spark, sf_dir):
   r AS (SELECT number, unnest(regexp_extract_all(number, '\\d+\\.?\\d*')) AS run FROM n), rc AS (SELECT number, count(*) AS runs FROM r GROUP BY 1),
   e AS (SELECT number, min(ord) AS exact_in FROM n JOIN m ON contains(text, number) GROUP BY 1),
   p AS (SELECT number, ord, count(*) AS hit FROM r JOIN m ON contains(text, run) GROUP BY 1, 2), s AS (SELECT number, max(hit / runs) AS share FROM p JOIN rc USING (number) GROUP BY 1)
-SELECT number, exact_in, round(CASE WHEN exact_in IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END, 4) AS confidence FROM n LEFT JOIN e USING (number) LEFT JOIN s USING (number)""")
+SELECT number, exact_in, round(CASE WHEN exact_in IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END, 4) AS confidence, CASE WHEN exact_in IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END > 0.5 AS found FROM n LEFT JOIN e USING (number) LEFT JOIN s USING (number)""")
 def number_check(spark, sf_dir):
     docs, pages = read(spark, sf_dir, "documents", "pages")
     numbers = evidence.report_numbers(docs.select(F.col("doc_id").alias("id"), "text"))
