@@ -33,7 +33,7 @@ def in_blocks(rows: DataFrame, asked: DataFrame) -> DataFrame:
     texts = [c for c, kind in asked.dtypes if kind == "string"]
     size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16)))
     n, total = asked.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    blocks = asked.groupBy(F.pmod(F.xxhash64(*asked.columns), F.lit(-(-n // BLOCK_ROWS) or 1)).alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("asked")).drop("block")
+    blocks = asked.groupBy(F.pmod(F.xxhash64(*texts), F.lit(-(-n // BLOCK_ROWS) or 1)).alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("asked")).drop("block")
     blocks = F.broadcast(blocks) if total <= BROADCAST_BYTES else blocks
     return rows.crossJoin(blocks).withColumn("q", F.explode("asked")).drop("asked")
 

@@ -254,7 +254,7 @@ def test_layer1_against_a_plain_fold(spark):
 
 def test_anchor_strategies(spark):
     material = "The market grew by 12.5% in 2024, said 'the report'. 首页内容很多。核心观点在这里，别处没有。"
-    cases = [("grew by 12.5%", "exact"), ("The market， grew by 12.5% in 2024", "no punctuation"), ("market oranges nowhere", None), ("核心观点在这里！别处没有吧", "segments"), ("In 2024年 nothing", "entity"), ("abc", None)]
+    cases = [("grew by 12.5%", "exact"), ("The market， grew by 12.5% in 2024", "no punctuation"), ("market oranges nowhere", None), ("核心观点在这里！首页内容很多", "segments"), ("In 2024年 nothing", "entity"), ("abc", None)]
     for sentence, method in cases:
         got = one(spark, evidence.anchor(F.col("s"), F.lit(material)), s=sentence)
         assert (got and got.method) == method, sentence
