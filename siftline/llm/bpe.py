@@ -141,6 +141,16 @@ class Codec:
         return self.flat[shift + np.arange(total)].tobytes()
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """The codec of a vocabulary and its cache, one for all tasks of a Python worker."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
 def _parts(text: bytes, cut: int) -> bool:
     """Whether pre-tokens always part before ``cut``: a single space of ASCII
     text stands there, between bytes that are neither white space nor part of a
@@ -179,7 +189,7 @@ def encoded(path: str, decode: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
     """Batches of (key, text) to (key, ids[, decoded])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             for i, data, at in slices(batch.column(1)):
                 cuts, raw = cut_places(data, at), data.tobytes()

@@ -7,11 +7,15 @@ document, and starts from a fresh model.
 
 Within a block the ids are dealt into lanes of about STEPS ids that advance
 together; lanes have a range coder each and share one model, which learns from all
-of them after every step. An id is predicted by its two predecessors (order 2) and
-by the last one (order 1): each context remembers an id and how sure it is. Which
-of the predictions comes true, or none, is coded with frequencies that adapt for
-each combination of both confidences and their agreement; what neither foresaw is
-coded by the adaptive frequencies of all ids (order 0).
+of them after every step. The model mixes three distributions of the next id:
+
+    P(x) = w2 * P2(x | last two ids) + w1 * P1(x | last id) + w0 * P0(x).
+
+P2 and P1 hold up to two ids a context with their counts, P0 the adaptive
+frequencies of all ids. The weights belong to how much is known in the two contexts;
+each is its share of the probability of the ids that came, averaged with decay. An
+id is coded in one step by its interval in the mixture, whose parts are whole
+numbers in the order of the ids.
 
 A document's ids are those of its whole text and one end id. Null texts count as
 empty. Null document ids come last; rows that repeat an id are kept, in the order
@@ -36,65 +40,120 @@ from .words import CACHED_BYTES, mix, power, slices
 
 END_ID = 0
 BLOCK_TOKENS, STEPS = 1 << 20, 128
-MAGIC = b"SLT1"
+MAGIC = b"SLT2"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, documents, ids, alphabet, words of code, crc of the ids, crc of the rest
 _TOP, _BOTTOM, _WORD, _SHIFT = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16), np.uint64(48)
-_PAIRS, _SURE = 18, 3
+#: Bits of the table of pairs, of the frequencies of order 0, and of the mixture.
+_PAIRS, _CUM, _TOTAL = 18, 20, 28
 #: Steps between renewals of the order-0 frequencies, and what an id adds to its own.
 _RENEW, _ADD = 8, 32
-_MIX_LIMIT = 1 << 14
+#: What the weights keep of a step, and the share that order 0 has at least.
+_KEEP, _LEAST = 0.98, 2 / 256
+#: Classes of the sum of a context's two counts (15 at most each), and its reciprocal.
+_KNOWN = np.array([0, 1, 2, 3, 3, *[4] * 6, *[5] * 20], np.int64)
+_CLASSES = 6
+_SHARE = np.concatenate([[0.0], 1 / np.arange(1, 31)]).astype(np.float32)
 
 
 class Model:
-    """Predictions of orders 0 to 2 for ids under ``size``, for all lanes at once."""
+    """The mixture for ids under ``size`` (65,536 at most), for all lanes at once. A
+    slot of a context is an id times 16 and its count; of a context's two slots the
+    first has the greater count."""
 
     def __init__(self, size: int, lanes: int):
+        if size > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         self.size = size
-        # what each context remembers: an id times four, and how sure it is (-4: nothing yet)
-        self.one, self.two = np.full(size + 1, -4, np.int32), np.full(1 << _PAIRS, -4, np.int32)
-        self.counts = np.tile(np.array([4, 2, 4], np.int64), (32, 1))
+        self.two, self.one = [np.zeros(1 << _PAIRS, np.int32) for _ in range(2)], [np.zeros(size + 1, np.int32) for _ in range(2)]
+        known2, known1 = np.divmod(np.arange(_CLASSES**2), _CLASSES)
+        self.weight = np.stack([15.0 * (known2 > 0), 15.0 * (known1 > 0), np.full(_CLASSES**2, 50.0)])
         self.frequency = np.ones(size, np.int64)
         self.last = self.before = np.full(lanes, size, np.int32)
         self.step = 0
         self.waiting: list[np.ndarray] = []
+        self.every, self.names = np.arange(size + 1, dtype=np.int32), np.arange(size, dtype=np.uint16)
         self.renew()
 
     def renew(self) -> None:
+        """``below[x]``: the frequencies under x, scaled to 2**_CUM, 1 at least each."""
         if self.waiting:
             self.frequency += _ADD * np.bincount(np.concatenate(self.waiting), minlength=self.size)
             self.waiting = []
-        self.below = np.concatenate([[0], np.cumsum(self.frequency)]).astype(np.uint64)
-        self.narrow_below = self.below.astype(np.uint32)
+        below = np.concatenate([[0], np.cumsum(self.frequency)])
+        room = (1 << _CUM) - self.size
+        self.below = (below * (room / below[-1])).astype(np.int32)
+        self.below[-1] = room
+        self.below += self.every
+        self.places: np.ndarray | None = None
 
     def predict(self) -> None:
-        """Afterwards ``edge[k]`` holds, for outcome k, where it begins, and
-        ``edge[3]`` the total of the frequencies."""
-        self.at = (((self.before.view(np.uint32) * np.uint32(40503) + self.last.view(np.uint32)) * np.uint32(2654435761)) >> np.uint32(32 - _PAIRS)).astype(np.intp)
-        self.row = self.last.astype(np.intp)
-        two, one = self.two[self.at], self.one[self.row]
-        self.p2, self.s2, self.p1, self.s1 = two >> 2, two & 3, one >> 2, one & 3
-        self.context = ((self.s2 << 3) | (self.s1 << 1) | (self.p1 == self.p2)).astype(np.intp)
-        self.edge = np.concatenate([np.zeros((32, 1), np.int64), np.cumsum(self.counts, axis=1)], axis=1).astype(np.uint64)
-
-    def edges(self, k: int) -> np.ndarray:
-        """Where outcome k begins, for each lane; the total for 3."""
-        return np.ascontiguousarray(self.edge[:, k])[self.context]
-
-    def span(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, size) of each lane's outcome."""
-        at = self.context * 4 + outcome
-        flat = self.edge.reshape(-1)
-        begin = flat[at]
-        return begin, flat[at + 1] - begin
-
-    def learn(self, x: np.ndarray, outcome: np.ndarray) -> None:
-        """``outcome`` 0: order 2 foresaw x, 1: order 1 did, 2: neither."""
-        self.counts += 16 * np.bincount(self.context * 3 + outcome, minlength=96).reshape(32, 3)
-        if self.counts.max() > _MIX_LIMIT:
-            self.counts = (self.counts >> 1) + 1
-        for table, place, p, sure in ((self.two, self.at, self.p2, self.s2), (self.one, self.row, self.p1, self.s1)):
-            after = _NEXT[((p == x).view(np.int8) << 2) | sure]
-            table[place] = (np.where(sure == 0, x, p) << 2) | after
+        share = (self.weight * ((1 << _TOTAL) * (1 - _LEAST) / self.weight.sum(axis=0))).astype(np.float32)
+        self.pair = (((self.before.view(np.uint32) * np.uint32(40503) + self.last.view(np.uint32)) * np.uint32(2654435761)) >> np.uint32(32 - _PAIRS)).astype(np.intp)
+        self.single = self.last.astype(np.intp)
+        self.slots = [t.take(self.pair) for t in self.two] + [t.take(self.single) for t in self.one]
+        self.counts, self.ids = [s & 15 for s in self.slots], [s >> 4 for s in self.slots]
+        n2, n1 = self.counts[0] + self.counts[1], self.counts[2] + self.counts[3]
+        self.known = _KNOWN.take(n2) * _CLASSES + _KNOWN.take(n1)
+        each2, each1 = share[0].take(self.known) * _SHARE.take(n2), share[1].take(self.known) * _SHARE.take(n1)
+        self.mass = [(e * c.astype(np.float32)).astype(np.int32) for e, c in zip((each2, each2, each1, each1), self.counts, strict=True)]
+        # what the slots leave, in whole units of order 0's frequencies
+        mass = self.mass
+        self.rest = (1 << (_TOTAL - _CUM)) - ((mass[0] + mass[1] + mass[2] + mass[3] + ((1 << _CUM) - 1)) >> _CUM)
+
+    def span(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of each lane's id."""
+        first = self.below.take(x)
+        begin = self.rest * first
+        for y, m in zip(self.ids, self.mass, strict=True):
+            begin += m * (y < x)
+        self.same = [y == x for y in self.ids]
+        parts = [m * s for m, s in zip(self.mass, self.same, strict=True)]
+        self.parts = (parts[0] + parts[1], parts[2] + parts[3], self.rest * (self.below.take(x + 1) - first))
+        self.width = self.parts[0] + self.parts[1] + self.parts[2]
+        return begin, self.width
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """The id in whose interval each place lies: one of the slots', or after the
+        slots of smaller ids are taken off, that of order 0."""
+        if self.places is None:
+            self.places = np.repeat(self.names, np.diff(self.below))
+        ids, mass, rest = self.ids, self.mass, self.rest
+        under, equal = {}, {}
+        for i in range(4):
+            for j in range(i + 1, 4):
+                under[i, j], under[j, i] = ids[i] < ids[j], ids[j] < ids[i]
+                equal[i, j] = equal[j, i] = ids[i] == ids[j]
+        passed, found = np.zeros(len(at), np.int32), np.full(len(at), -1, np.int32)
+        for j in range(4):
+            begin, end = rest * self.below.take(ids[j]), rest * self.below.take(ids[j] + 1)
+            for i in range(4):
+                if i != j:
+                    part = mass[i] * under[i, j]
+                    begin += part
+                    end += part
+                    end += mass[i] * equal[i, j]
+            end += mass[j]
+            over = end <= at
+            passed += mass[j] * over
+            np.copyto(found, ids[j], where=(begin <= at) & ~over)
+        # both are under 2**53, so the quotient's whole part is exact
+        place = ((at - passed) / rest).astype(np.intp)
+        return np.where(found < 0, self.places.take(place, mode="clip").astype(np.int32), found)
+
+    def learn(self, x: np.ndarray) -> None:
+        one = 1.0 / self.width
+        self.weight = self.weight * _KEEP + np.stack([np.bincount(self.known, weights=p * one, minlength=_CLASSES**2) for p in self.parts])
+        new = (x << 4) | 1
+        for tables, place, k in ((self.two, self.pair, 0), (self.one, self.single, 2)):
+            a, b, n, m = self.slots[k], self.slots[k + 1], self.counts[k], self.counts[k + 1]
+            hit_a, hit_b = self.same[k] & (n > 0), self.same[k + 1] & (m > 0)
+            # a miss weakens the second slot, or takes its place
+            second = np.where(hit_b, b + 1, np.where(hit_a, b, np.where(m <= 1, new, b - 1)))
+            first = np.where(n == 0, new, np.where(hit_a, a + (n < 15), a))
+            second = np.where(n == 0, b, second)
+            swap, full = hit_b & (m >= n), hit_b & (m == 15)
+            tables[0][place] = np.where(full, b, np.where(swap, second, first))
+            tables[1][place] = np.where(full, a - 1, np.where(swap, first, second))
         self.before, self.last = self.last, x
         self.waiting.append(x)
         self.step += 1
@@ -102,10 +161,6 @@ class Model:
             self.renew()
 
 
-#: How sure a context is after a miss, and (from 4 on) after a hit.
-_NEXT = np.array([1, *range(_SURE), *(min(s + 1, _SURE) for s in range(_SURE + 1))], np.int32)
-
-
 class Coder:
     """What encoder and decoder share: a carry-less range coder a lane, whose low
     end and width are 64 bits and leave in words of 16."""
@@ -133,8 +188,8 @@ class Encoder(Coder):
         super().__init__(lanes)
         self.out, self.size = np.zeros(lanes * room, np.uint16), np.zeros(lanes, np.int64)  # word by word, lane by lane
 
-    def put(self, below: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
-        self.narrow(self.range // total, below, own)
+    def put(self, begin: np.ndarray, width: np.ndarray) -> None:
+        self.narrow(self.range >> np.uint64(_TOTAL), begin.astype(np.uint64), width.astype(np.uint64))
 
     def shift(self, lane: np.ndarray, low: np.ndarray) -> None:
         size = self.size[lane]
@@ -166,12 +221,12 @@ class Decoder(Coder):
             self.code = (self.code << _WORD) | self.words[self.next]
             self.next += len(size)
 
-    def place(self, total: np.ndarray) -> np.ndarray:
-        self.part = self.range // total
-        return np.minimum((self.code - self.low) // self.part, total - np.uint64(1))
+    def place(self) -> np.ndarray:
+        self.part = self.range >> np.uint64(_TOTAL)
+        return np.minimum((self.code - self.low) // self.part, np.uint64((1 << _TOTAL) - 1)).astype(np.int32)
 
-    def take(self, below: np.ndarray, own: np.ndarray) -> None:
-        self.narrow(self.part, below, own)
+    def take(self, begin: np.ndarray, width: np.ndarray) -> None:
+        self.narrow(self.part, begin.astype(np.uint64), width.astype(np.uint64))
 
     def shift(self, lane: np.ndarray, low: np.ndarray) -> None:
         at = self.next[lane]
@@ -179,9 +234,6 @@ class Decoder(Coder):
         self.next[lane] = at + len(self.low)
 
 
-_NONE, _ALL = np.uint64(0), np.uint64(1)
-
-
 def shape(n: int) -> tuple[int, int]:
     """(lanes, steps) of n ids."""
     lanes = -(-n // STEPS)
@@ -197,12 +249,8 @@ def compress(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     model, coder = Model(size, lanes), Encoder(lanes, 3 * steps + 8)
     for own in x:
         model.predict()
-        outcome = np.where(model.p2 == own, 0, np.where(model.p1 == own, 1, 2))
-        coder.put(*model.span(outcome), model.edges(3))
-        miss = outcome == 2
-        first = model.below[own]
-        coder.put(np.where(miss, first, _NONE), np.where(miss, model.below[own + 1] - first, _ALL), np.where(miss, model.below[-1], _ALL))
-        model.learn(own, outcome)
+        coder.put(*model.span(own))
+        model.learn(own)
     return coder.finish()
 
 
@@ -213,25 +261,16 @@ def expand(words: np.ndarray, number: np.ndarray, n: int, size: int) -> np.ndarr
     out = np.empty((steps, lanes), np.int32)
     for step in range(steps):
         model.predict()
-        at = coder.place(model.edges(3))
-        outcome = (at >= model.edges(1)).astype(np.intp) + (at >= model.edges(2))
-        coder.take(*model.span(outcome))
-        miss = outcome == 2
-        at = coder.place(np.where(miss, model.below[-1], _ALL))
-        x = np.where(outcome == 0, model.p2, model.p1)
-        lane = np.flatnonzero(miss)
-        x[lane] = np.searchsorted(model.narrow_below, at[lane].astype(np.uint32), "right") - 1
-        first = model.below[x]
-        coder.take(np.where(miss, first, _NONE), np.where(miss, model.below[x + 1] - first, _ALL))
-        model.learn(x, outcome)
-        out[step] = x
+        x = out[step] = model.find(coder.place())
+        coder.take(*model.span(x))
+        model.learn(x)
     return out.T.reshape(-1)[:n]
 
 
 def pack(keys: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray, size: int) -> bytes:
     """A block of documents: ids (``known`` says which aren't null), lengths, tokens."""
     words, number = compress(ids, size)
-    body = b"".join(a.tobytes() for a in (keys.astype("<i8"), known.astype(np.uint8), lengths.astype("<u4"), number.astype("<u4"), words.astype("<u2")))
+    body = b"".join(a.tobytes() for a in (keys.astype("<i8"), known.astype(np.uint8), lengths.astype("<u4"), number.astype("<u2"), words.astype("<u2")))
     head = (len(keys), len(ids), size, len(words), zlib.crc32(ids.astype("<u4").tobytes()))
     return _HEAD.pack(MAGIC, *head, zlib.crc32(body, zlib.crc32(struct.pack("<5I", *head)))) + body
 
@@ -251,7 +290,7 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         at += out.nbytes
         return out
 
-    keys, known, lengths, number = part("<i8", docs), part("u1", docs), part("<u4", docs), part("<u4", shape(n)[0])
+    keys, known, lengths, number = part("<i8", docs), part("u1", docs), part("<u4", docs), part("<u2", shape(n)[0])
     ids = expand(part("<u2", words), number.astype(np.int64), n, size).astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc_ids:
         raise ValueError("the ids of a block are not those that were written")
@@ -264,7 +303,7 @@ class Units:
     no white space). A unit is encoded once while the cache, of at most ``MOST``
     units, holds it."""
 
-    MOST = 600_000
+    MOST, SLOTS = 600_000, 1 << 21
     #: First bytes of longer characters among which there is white space.
     _DOUBTFUL = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
@@ -273,11 +312,41 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        # an open hash table of the units' hashes (0: free) and their rows
+        self.keys, self.rows = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.count = 0
         self.first, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def add(self, hashes: list[int], units: list[bytes]) -> None:
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(65 - self.SLOTS.bit_length())).astype(np.intp)
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The rows of hashes, -1 for those that aren't there."""
+        at = self._slot(h)
+        key = self.keys.take(at)
+        row = np.where(key == h, self.rows.take(at), -1)
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (self.SLOTS - 1)
+            key = self.keys[at[open_]]
+            hit = key == h[open_]
+            row[open_[hit]] = self.rows[at[open_[hit]]]
+            open_ = open_[~hit & (key != 0)]
+        return row
+
+    def _insert(self, h: np.ndarray, row: np.ndarray) -> None:
+        at = self._slot(h)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            self.keys[at[free]] = h[free]
+            done = self.keys[at[todo]] == h[todo]  # of several for one place, one has got it
+            self.rows[at[todo[done]]] = row[todo[done]]
+            todo = todo[~done]
+            at[todo] = (at[todo] + 1) & (self.SLOTS - 1)
+
+    def add(self, hashes: np.ndarray, units: list[bytes]) -> None:
         """Encode new units. Those that begin with a space are encoded as one text,
         in which pre-tokens part between them, and its ids are dealt out again."""
         inner = [k for k, u in enumerate(units) if u[0] == 32]
@@ -289,7 +358,7 @@ class Units:
         other = [k for k, u in enumerate(units) if u[0] != 32]
         alone = [self.codec._plain(units[k]) for k in other]
         ids = np.concatenate([ids, *alone])
-        n, at = len(self.row), self.used
+        n, at = self.count, self.used
         while n + len(units) > len(self.first):
             self.first, self.length = np.resize(self.first, 2 * len(self.first)), np.resize(self.length, 2 * len(self.length))
         while at + len(ids) > len(self.flat):
@@ -299,7 +368,8 @@ class Units:
         self.length[n : n + len(size)] = size
         self.first[n : n + len(size)] = at + np.cumsum(size) - size
         self.used += len(ids)
-        self.row.update(zip([hashes[k] for k in inner + other], range(n, n + len(size)), strict=True))
+        self.count += len(size)
+        self._insert(hashes[np.array(inner + other, np.int64)], np.arange(n, n + len(size), dtype=np.int32))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of a slice's texts one after the other, where each text's begin)."""
@@ -324,16 +394,17 @@ class Units:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(_UNIT[data] * power("r", n)[:n], out=total[1:])
-        h = mix((total[end] - total[begin]) * power("i", n)[begin])
-        unique, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.row) > self.MOST:
+        h = mix((total[end] - total[begin]) * power("i", n)[begin]) | np.uint64(1)
+        if self.count > self.MOST:
             self.clear()
-        keys = unique.tolist()
-        new = [k for k, x in enumerate(keys) if x not in self.row]
-        if new:
-            place = sample[new]
-            self.add([keys[k] for k in new], [raw[a:b] for a, b in zip(begin[place].tolist(), end[place].tolist(), strict=True)])
-        where = np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))[inverse]
+        where = self.look_up(h)
+        missing = np.flatnonzero(where < 0)
+        if len(missing):
+            keys, sample = np.unique(h[missing], return_index=True)
+            for low in range(0, len(keys), self.MOST):  # more than the table holds only if a slice has so many units
+                place = missing[sample[low : low + self.MOST]]
+                self.add(keys[low : low + self.MOST], [raw[a:b] for a, b in zip(begin[place].tolist(), end[place].tolist(), strict=True)])
+            where[missing] = self.look_up(h[missing])
         size = self.length[where]
         stop = np.cumsum(size)
         ids = self.flat[np.repeat(self.first[where] - (stop - size), size) + np.arange(stop[-1])]
@@ -341,6 +412,14 @@ class Units:
 
 
 _UNIT = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x7071))
+_units: dict[str, Units] = {}
+
+
+def units_of(path: str) -> Units:
+    """The units of a vocabulary that this Python worker has met, over all its tasks."""
+    if path not in _units:
+        _units[path] = Units(bpe.codec_of(path))
+    return _units[path]
 
 
 def blocks_of(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -351,8 +430,8 @@ def blocks_of(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
         context = TaskContext.get()
         part, seq = context.partitionId() if context else 0, 0
-        codec = bpe.Codec(path)
-        units, size = Units(codec), len(codec.size)
+        units = units_of(path)
+        size = len(units.codec.size)
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         count = 0

@@ -19,15 +19,35 @@ def test_round_trip_of_ids(n):
         assert (tokenfile.expand(words, number, n, size) == ids).all()
 
 
+def bits(ids, size=50257):
+    """Bits an id, lengths of the lanes included."""
+    words, number = tokenfile.compress(ids, size)
+    return 16 * (len(words) + len(number)) / len(ids)
+
+
+def entropy(ids):
+    p = np.bincount(ids)
+    p = p[p > 0] / len(ids)
+    return -(p * np.log2(p)).sum()
+
+
+def test_contexts_code_real_ids_in_less_than_their_entropy():
+    units = tokenfile.Units(bpe.Codec(bpe.vocabulary_path()))
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").combine_chunks().slice(0, 2000)
+    ids = np.concatenate([units.encode(data, at)[0] for _, data, at in tokenfile.slices(texts)])[: 1 << 20]
+    assert len(ids) > 900_000 and bits(ids) < entropy(ids) - 0.4
+
+
 def test_it_compresses_what_can_be_foreseen():
     rng = np.random.default_rng(1)
     text = rng.zipf(1.4, 200_000) % 50257
-    words, _ = tokenfile.compress(text, 50257)
-    count = np.bincount(text)
-    p = count[count > 0] / len(text)
-    assert 16 * len(words) / len(text) < -(p * np.log2(p)).sum() + 1
-    words, _ = tokenfile.compress(np.tile(text[:3000], 60), 50257)
-    assert 16 * len(words) / 180_000 < 5
+    assert bits(text) < entropy(text) + 1  # nothing but frequencies to learn
+    assert bits(np.tile(text[:3000], 60)) < 5
+    after = rng.integers(0, 300, 300)
+    chain = [0]
+    for noise in rng.random(200_000).tolist():  # half follows the last id, half doesn't
+        chain.append(int(after[chain[-1]]) if noise < 0.5 else int(noise * 1e6) % 300)
+    assert bits(np.array(chain), 300) < entropy(np.array(chain)) - 1.5
 
 
 def test_damage_is_seen():
@@ -54,6 +74,18 @@ def test_units_give_the_librarys_ids():
                 assert ids[begin[d] : begin[d + 1]].tolist() == library.encode(group[i + d] or "", add_special_tokens=False).ids
 
 
+def test_a_worker_keeps_its_codec_and_units():
+    path = bpe.vocabulary_path()
+    assert bpe.codec_of(path) is bpe.codec_of(path) is tokenfile.units_of(path).codec
+    codec = bpe.codec_of(path)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words that two tasks share " * 40] * 2)], names=["key", "text"])
+    run = bpe.encoded(path, False)
+    list(run(iter([batch])))
+    held = {k: id(v) for k, v in codec.cache.items()}
+    list(run(iter([batch])))
+    assert held and {k: id(codec.cache[k]) for k in held} == held  # the second task encoded nothing again
+
+
 def check(rows, got):
     library = Tokenizer.from_file(bpe.vocabulary_path())
     start, want = 0, []
