@@ -24,8 +24,9 @@ the item's best window, so that loses none of the items.
 Null and empty texts and items without words match nothing. Repeated documents
 give repeated results, repeated items count once, an empty table on either side
 gives an empty result. Columns other than the ids and texts are ignored. Items are
-read and broadcast in blocks of at most BLOCK_WORDS words, with one pass over the
-documents a block, so that the broadcast is bounded whatever the benchmark's size.
+read, indexed and broadcast in blocks of at most BLOCK_WORDS words, one after the
+other: with more than one, each block's result is written and its broadcast dropped
+before the next is built, so that memory is bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, drop_scratch, scratch
 from .words import ALNUM, SPACE, Words, mix, slices, split
 
 #: Edits allowed, as a share of the item's words.
@@ -255,6 +256,25 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
+def _by_blocks(benchmark: DataFrame, run: Callable, name: str) -> Iterator[tuple[DataFrame, bool]]:
+    """For each block of items, what ``run`` makes of the result before it (or None)
+    and the block's broadcast index, and whether that has been written: a single block
+    is left to be computed with what follows."""
+    spark = benchmark.sparkSession
+    indexes = (index for block in blocks(benchmark) if (index := build(block)))
+    index, before = next(indexes, None), None
+    while index is not None:
+        after = next(indexes, None)
+        shared = spark.sparkContext.broadcast(index)
+        part = run(before, shared)
+        written = after is not None or before is not None
+        if written:
+            part = scratch(part, name)
+            shared.destroy()
+        yield part, written
+        index, before = after, part
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, item_id, edits, item_words, start, end) of every document and item in
     it; start and end are code points of the text, end exclusive."""
@@ -262,11 +282,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFra
     bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, item_id long, edits long, item_words long, start long, end long"
-    parts = [
-        docs.select(F.col(key).alias("key"), F.col("text").alias("text")).mapInArrow(searched(spark.sparkContext.broadcast(index)), schema)
-        for block in blocks(benchmark)
-        if (index := build(block))
-    ]
+    rows = docs.select(F.col(key).alias("key"), F.col("text").alias("text"))
+    parts = [part for part, _ in _by_blocks(benchmark, lambda _, shared: rows.mapInArrow(searched(shared), schema), "leaks")]
     out = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
     return out.withColumnRenamed("key", key)
 
@@ -289,10 +306,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain an item; one pass, no shuffle."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for block in blocks(benchmark):
-        if index := build(block):
-            docs = docs.mapInArrow(without(spark.sparkContext.broadcast(index)), docs.schema)
-    return docs
+    out, held = docs, []
+    for out, written in _by_blocks(benchmark, lambda before, shared: (docs if before is None else before).mapInArrow(without(shared), docs.schema), "clean"):
+        drop_scratch(*held)
+        held = [out] if written else []
+    return out
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

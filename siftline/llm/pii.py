@@ -6,7 +6,14 @@ character of the copy the stretch of the source it stands for: homoglyphs and
 compatibility characters become ASCII and invisible characters vanish, runs of
 spelled digits become digits, and disguises of ``@`` and ``.`` become those. The
 same patterns run over the copy, and what they find is mapped back; a match is
-added where it overlaps no base match. Offsets are code points of the source,
+added where it overlaps no base match.
+
+Digits are rewritten where at least four in a row are spelled, or where spelled and
+plain ones together are nine or more. An ``at`` in bare words counts if a dot of the
+same language is disguised too and a known ending follows; or, with any ending and a
+plain dot too, if what stands before it looks like an address (a digit, dot, hyphen
+or underscore in it) or a word like "mail" or "contact" comes shortly before. So "look
+at example.com" and "at this point in time" stay. Offsets are code points of the source,
 ends exclusive.
 
 Null texts count as empty. Texts are searched whole, in time linear in their
@@ -98,7 +105,11 @@ DIGIT_WORDS = (
     "null eins zwei drei vier fünf sechs sieben acht neun",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
-AT_WORDS, DOT_WORDS, PLUS_WORDS = "at arobase arroba", "dot point punkt punto", "plus"
+# At and the dots that go with it, by language; plus.
+AT_DOTS = {"at": "dot punkt", "arobase": "dot point", "arroba": "dot punto"}
+PLUS_WORDS = "plus"
+# Words that announce an address.
+CUES = "mail email e-mail mailto contact contacts kontakt contacto correo courriel adresse address write schreib escribe écris reach"
 # Endings of domains that a disguise in bare words must have.
 ENDINGS = "com org net edu gov mil int info biz name io co ai app dev me tv de fr es uk eu us ca ch at it nl be pt se no fi pl ru jp cn in br mx au example test"
 
@@ -118,16 +129,28 @@ def _character_map() -> dict[int, str]:
 CHARACTERS = _character_map()
 _VALUE = {w: str(d) for line in DIGIT_WORDS for d, w in enumerate(line.split())} | {"oh": "0"}
 _NUMBER = "|".join(sorted(_VALUE, key=len, reverse=True))
-_DOT = "|".join(DOT_WORDS.split())
-_SPELLED = re.compile(rf"(?<![^\W_])(?:{PLUS_WORDS}[ \-,]+)?(?:{_NUMBER})(?:(?:[ ,]{{1,3}}|-)(?:{_NUMBER}|{_DOT}))*(?![^\W_])", re.I)
+_DOTS = sorted({d for dots in AT_DOTS.values() for d in dots.split()})
+_DOT, _AT = "|".join(_DOTS), "|".join(AT_DOTS)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{PLUS_WORDS}[ \-,]+)?(?:{_NUMBER}|[0-9]+)(?:(?:[ ,]{{1,3}}|-)(?:{_NUMBER}|{_DOT}|[0-9]+))+(?![^\W_])", re.I)
 _SPELLED_TOKEN = re.compile(r"[^\W_]+")
-_BRACKETED_AT = re.compile(rf"[ ]{{0,3}}[\[({{<][ ]{{0,3}}(?:{'|'.join(AT_WORDS.split())}|@)[ ]{{0,3}}[\])}}>][ ]{{0,3}}", re.I)
+_BRACKETED_AT = re.compile(rf"[ ]{{0,3}}[\[({{<][ ]{{0,3}}(?:{_AT}|@)[ ]{{0,3}}[\])}}>][ ]{{0,3}}", re.I)
 _BRACKETED_DOT = re.compile(rf"[ ]{{0,3}}[\[({{<][ ]{{0,3}}(?:{_DOT}|\.)[ ]{{0,3}}[\])}}>][ ]{{0,3}}", re.I)
-_BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:[ ]{{1,3}}(?:{_DOT})[ ]{{1,3}}|[ ]\.[ ])(?=[A-Za-z0-9])", re.I)
-#: Stands for a dot that a bare word or a spaced dot disguised, until the at is settled.
-_BARE = "\ue000"
+_BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:[ ]{{1,3}}({_DOT})[ ]{{1,3}}|[ ]\.[ ])(?=[A-Za-z0-9])", re.I)
+#: Stand for a dot that a spaced dot or each of the words disguised until the at is
+#: settled, and for an at that what is before it makes sure.
+_SPACED, _SURE = "\ue000", "\ue001"
+_WORD_DOT = {d: chr(0xE002 + k) for k, d in enumerate(_DOTS)}
+_BARE = _SPACED + "".join(_WORD_DOT.values())
 _ENDS = rf"(?:[A-Za-z0-9-]+[.{_BARE}])+(?:{'|'.join(ENDINGS.split())})(?![A-Za-z0-9-])"
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,3}}(?:{'|'.join(AT_WORDS.split())})[ ]{{1,3}}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_BARE})(?={_ENDS})|(?<=[A-Za-z0-9])[ ]{{1,3}}@[ ]{{0,3}}(?={_ENDS})|@[ ]{{1,3}}(?={_ENDS})", re.I)
+_ANY_END = rf"(?:[A-Za-z0-9-]+[.{_BARE}])+[A-Za-z]{{2,24}}(?![A-Za-z0-9-])"
+_BARE_AT = re.compile(
+    "|".join(rf"(?<=[A-Za-z0-9])[ ]{{1,3}}{at}[ ]{{1,3}}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*[{_SPACED}{''.join(_WORD_DOT[d] for d in dots.split())}])(?={_ENDS})" for at, dots in AT_DOTS.items())
+    + rf"|(?<=[A-Za-z0-9])[ ]{{1,3}}@[ ]{{0,3}}(?={_ENDS})|@[ ]{{1,3}}(?={_ENDS})",
+    re.I,
+)
+_SURE_AT = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,3}}(?:{_AT})[ ]{{1,3}}(?={_ANY_END})", re.I)
+_CUE = re.compile(rf"(?<![^\W_])(?:{'|'.join(CUES.split())})(?![^\W_])[^.!?\n]{{0,30}}$", re.I)
+_PLAIN = dict.fromkeys(map(ord, _BARE), ".") | {ord(_SURE): "@"}
 
 
 class Copy:
@@ -166,13 +189,28 @@ class Copy:
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
-    out, numbers = [], 0
+    out, spelled, digits = [], 0, 0
     for t in _SPELLED_TOKEN.finditer(m.group()):
-        word = t.group().lower()
-        c = _VALUE.get(word, "+" if word == PLUS_WORDS else ".")
-        numbers += word in _VALUE
-        out.append((c, m.start() + t.start(), m.start() + t.end()))
-    return out if numbers >= 4 else None
+        word, begin = t.group().lower(), m.start() + t.start()
+        if word[0].isdigit():
+            out += [(c, begin + k, begin + k + 1) for k, c in enumerate(word)]
+            digits += len(word)
+            continue
+        out.append((_VALUE.get(word, "+" if word == PLUS_WORDS else "."), begin, begin + len(word)))
+        spelled += word in _VALUE
+    return out if spelled >= 4 or (spelled and spelled + digits >= 9) else None
+
+
+def _dot(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(_WORD_DOT[m[1].lower()] if m[1] else _SPACED, m.start(), m.end())]
+
+
+def _sure(m: re.Match) -> list[tuple[str, int, int]] | None:
+    before = m.string[max(0, m.start() - 100) : m.start()]
+    local = before[len(before.rstrip(_LOCAL)) :]
+    if any(not c.isalpha() for c in local[1:-1]) or local[-1:].isdigit() or _CUE.search(before[: len(before) - len(local)]):
+        return [(_SURE, m.start(), m.end())]
+    return None
 
 
 def normalised(text: str) -> Copy:
@@ -183,26 +221,30 @@ def normalised(text: str) -> Copy:
     copy.rewrite(_SPELLED, _digits)
     copy.rewrite(_BRACKETED_DOT, whole("."))
     copy.rewrite(_BRACKETED_AT, whole("@"))
-    copy.rewrite(_BARE_DOT, whole(_BARE))
+    copy.rewrite(_BARE_DOT, _dot)
     copy.rewrite(_BARE_AT, whole("@"))
+    copy.rewrite(_SURE_AT, _sure)
     return copy
 
 
 _BARE_DOMAIN = re.compile(rf"@{_ENDS}", re.I)
+_ANY_BARE = re.compile(f"[{_BARE}]")
 
 
 def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Matches of the rewritten copy, mapped back, that overlap no base match."""
     copy = normalised(text)
-    dotted = copy.text.replace(_BARE, ".")
+    dotted = copy.text.translate(_PLAIN)
     if dotted == text:
         return {}
     taken = sorted(s for spans in base.values() for s in spans)
     out: dict[str, list[Span]] = {}
     for kind, find in FINDERS.items():
         for span in find(dotted):
-            if kind == "email" and _BARE in copy.text[slice(*span)] and not _BARE_DOMAIN.match(copy.text, dotted.index("@", span[0])):
-                continue  # a bare word made the dot, but no domain ends there
+            if kind == "email" and _ANY_BARE.search(copy.text, *span):
+                at = dotted.index("@", span[0])
+                if copy.text[at] != _SURE and not _BARE_DOMAIN.match(copy.text, at):
+                    continue  # a bare word made the dot, but no domain ends there
             a, b = copy.source(span)
             if text[a:b] != dotted[slice(*span)] and not any(x < b and a < y for x, y in taken):
                 out.setdefault(kind, []).append((a, b))
@@ -223,7 +265,7 @@ _ANY_DIGIT = re.compile("[0-9]")
 _CLASS = "".join(f"\\x{{{c:x}}}" for c in sorted(CHARACTERS))
 #: What a text needs for any match, in RE2's spelling: a base character, a
 #: character to rewrite, a bracketed disguise, bare words for at and dot, or spelled digits.
-TRIGGER = rf"[@0-9]|[{_CLASS}]|(?i:[\[({{<][ ]{{0,3}}(?:at|arobase|arroba|{_DOT}|\.)[ ]{{0,3}}[\])}}>]|(?:^|[^\pL])(?:{_NUMBER})[ ,-]{{1,3}}(?:{_NUMBER}|{_DOT})(?:[^\pL]|$)|[ ](?:at|arobase|arroba)[ ](?s:.)*[ ](?:{_DOT}|\.)[ ])"
+TRIGGER = rf"[@0-9]|[{_CLASS}]|(?i:[\[({{<][ ]{{0,3}}(?:{_AT}|{_DOT}|\.)[ ]{{0,3}}[\])}}>]|(?:^|[^\pL])(?:{_NUMBER})[ ,-]{{1,3}}(?:{_NUMBER}|{_DOT})(?:[^\pL]|$)|[ ](?:{_AT})[ ]{{1,3}}[A-Za-z0-9-]+\.[A-Za-z]|[ ](?:{_AT})[ ](?s:.)*[ ](?:{_DOT}|\.)[ ])"
 
 
 def joined(found: dict[str, list[Span]]) -> str:

@@ -5,8 +5,9 @@ path starts with the rule's, and the longest fitting rule decides. What no rule
 fits is judged by trees fitted on labelled URLs (for the query: those that a rule
 decides): length, depth, digit ratio, entropy, counts of parameters, labels and
 hyphens, and the share of blocked URLs with the same host suffixes and first path
-segment. The trees are fitted on a bounded sample of SAMPLE labelled URLs, those
-with the smallest hashes.
+segment. Those shares are counted over all labelled URLs and joined to the URLs; the
+trees are fitted on a bounded sample of SAMPLE labelled URLs, those with the smallest
+hashes. Of rules of equal length that fit one URL, the last listed decides.
 
 Null and empty URLs have an empty host and path and are judged like any other. Where
 nothing or one verdict was learned, that verdict (or allow) is given. Repeated rows
@@ -55,39 +56,36 @@ def lexical(url: str) -> list[float]:
     ]
 
 
-def suffixes(url: str) -> list[str]:
-    """What statistics are kept of: the last one, two and three labels of the
-    host, and the first segment of the path."""
-    _, _, rest = url.partition("://")
-    host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
-    labels = host.lower().split(".")
-    return [f"{n}:{'.'.join(labels[-n:])}" for n in (1, 2, 3)] + [f"p:{path.split('/')[1] if '/' in path else ''}"]
+def suffixes(host: Column, path: Column) -> Column:
+    """What statistics are kept of: the last one, two and three labels of the host,
+    and the first segment of the path."""
+    last = [F.concat(F.lit(f"{n}:"), F.substring_index(host, ".", -n)) for n in (1, 2, 3)]
+    return F.array(*last, F.concat(F.lit("p:"), F.coalesce(F.get(F.split(path, "/"), F.lit(1)), F.lit(""))))
 
 
 @dataclass
 class Trees:
     base: float
-    share: float
-    rates: dict[str, float]
     edges: list[np.ndarray] = field(default_factory=list)
     #: (feature, bin, values of the leaves): complete trees, level by level.
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def features(self, urls: list[str]) -> np.ndarray:
-        return np.array([lexical(u) + [self.rates.get(s, self.share) for s in suffixes(u)] for u in urls], np.float64)
-
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1)
 
-    def margin(self, urls: list[str]) -> np.ndarray:
+    def margin(self, urls: list[str], rates: list[list[float]]) -> np.ndarray:
         out = np.full(len(urls), self.base)
         if urls and self.trees:
-            b = self.binned(self.features(urls))
+            b = self.binned(features(urls, rates))
             for feature, cut, leaf in self.trees:
                 out += leaf[descend(b, feature, cut)]
         return out
 
 
+def features(urls: list[str], rates: list[list[float]]) -> np.ndarray:
+    return np.array([[*lexical(u), *r] for u, r in zip(urls, rates, strict=True)], np.float64)
+
+
 def descend(b: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The leaf of each row; a cut of BINS sends all rows left."""
     node = np.zeros(len(b), np.int64)
@@ -125,21 +123,15 @@ def grow(b: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> tuple[np.n
     return feature, cut, RATE * g / (h + 1)
 
 
-def fit(rows: list[tuple[str, bool]]) -> Trees:
-    """Trees of (url, blocked) rows."""
+def fit(rows: list[tuple[str, bool, list[float]]]) -> Trees:
+    """Trees of (url, blocked, shares of its suffixes) rows."""
     rows = sorted(rows)
-    y = np.array([b for _, b in rows], float)
+    y = np.array([b for _, b, _ in rows], float)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
-        return Trees(9.0 if share else -9.0, share, {})
-    seen, blocked = Counter(), Counter()
-    for url, bad in rows:
-        for s in suffixes(url):
-            seen[s] += 1
-            blocked[s] += bad
-    model = Trees(math.log(share / (1 - share)), share, {s: (blocked[s] + PRIOR * share) / (n + PRIOR) for s, n in seen.items()})
-    urls = [u for u, _ in rows]
-    x = model.features(urls)
+        return Trees(9.0 if share else -9.0)
+    model = Trees(math.log(share / (1 - share)))
+    x = features([u for u, _, _ in rows], [r for _, _, r in rows])
     model.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
     b = model.binned(x)
     margin = np.full(len(y), model.base)
@@ -152,12 +144,12 @@ def fit(rows: list[tuple[str, bool]]) -> Trees:
 
 
 def judged(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the probability of block to batches with a column ``url``."""
+    """Adds the probability of block to batches with columns ``url`` and ``rates``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls = [u or "" for u in batch.column(batch.schema.get_field_index("url")).to_pylist()]
-            p = 1 / (1 + np.exp(-shared.value.margin(urls)))
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            p = 1 / (1 + np.exp(-shared.value.margin([u or "" for u in column("url")], column("rates"))))
             yield batch.append_column("blocked", pa.array(p, pa.float64()))
 
     return run
@@ -172,10 +164,35 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def sample(labelled: DataFrame) -> list[tuple[str, bool]]:
+def parts(urls: DataFrame) -> DataFrame:
+    """``urls`` with the host and path that suffixes are taken of."""
+    return urls.withColumns({"__host": host_of(F.col("url")), "__path": path_of(F.col("url"))})
+
+
+def statistics(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """((key, rate), share): the share of blocked URLs of each suffix, drawn towards
+    that of all distinct labelled URLs, and the latter."""
+    distinct = labelled.select(F.coalesce("url", F.lit("")).alias("url"), "blocked").distinct()
+    share = distinct.agg(F.avg(F.col("blocked").cast("double"))).first()[0] or 0.0
+    keys = parts(distinct).select(F.explode(suffixes(F.col("__host"), F.col("__path"))).alias("key"), "blocked")
+    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad"))
+    return counted.select("key", ((F.col("bad") + PRIOR * share) / (F.col("n") + PRIOR)).alias("rate")), share
+
+
+def rated(urls: DataFrame, rates: DataFrame, share: float) -> DataFrame:
+    """``urls`` with the shares of their suffixes (``rates``, in order; the overall one
+    for suffixes without labels). Each suffix is looked up once for all URLs of one
+    host and first segment."""
+    keyed = parts(urls).withColumn("__keys", suffixes(F.col("__host"), F.col("__path"))).withColumn("__group", F.array_join("__keys", " ")).drop("__host", "__path")
+    each = keyed.select("__group", "__keys").dropDuplicates(["__group"]).select("__group", F.posexplode("__keys").alias("at", "key"))
+    found = each.join(rates, "key", "left").groupBy("__group").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("rate", F.lit(share)).alias("rate"))))["rate"].alias("rates"))
+    return keyed.join(found, "__group").drop("__group", "__keys")
+
+
+def sample(labelled: DataFrame) -> DataFrame:
     """The bounded sample of (url, blocked) rows."""
     distinct = labelled.select(F.coalesce("url", F.lit("")).alias("url"), "blocked").distinct()
-    return [(r.url, r.blocked) for r in distinct.orderBy(F.xxhash64("url"), "url", "blocked").limit(SAMPLE).collect()]
+    return distinct.orderBy(F.xxhash64("url"), "url", "blocked").limit(SAMPLE)
 
 
 def verdicts(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
@@ -188,9 +205,11 @@ def verdicts(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
     if labelled is None:
         labelled = rows.where("ruled is not null").select("url", (F.col("ruled") == "block").alias("blocked"))
-    shared = pages.sparkSession.sparkContext.broadcast(fit(sample(labelled)))
+    rates, share = statistics(labelled)
+    learned = rated(sample(labelled), rates, share).select("url", "blocked", "rates").collect()
+    shared = pages.sparkSession.sparkContext.broadcast(fit([(r.url, r.blocked, list(r.rates)) for r in learned]))
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = rows.mapInArrow(judged(shared), f"page_id {kind}, url string, host string, path string, rule string, ruled string, blocked double")
+    out = rated(rows, rates, share).mapInArrow(judged(shared), f"page_id {kind}, url string, host string, path string, rule string, ruled string, rates array<double>, blocked double")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("blocked") >= 0.5, "block").otherwise("allow")).alias("verdict"), "blocked")
 
 

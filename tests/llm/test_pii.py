@@ -90,3 +90,19 @@ def test_query_columns(spark):
         want = brute(docs[r.doc_id])
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(want.get(k, [])) for k in pii.KINDS)
         assert r.base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+
+
+def test_bare_words_need_a_sign_of_an_address():
+    from siftline.llm.pii import find
+
+    def more(text):
+        return [(k, text[a:b]) for k, spans in find(text)[1].items() for a, b in spans]
+
+    assert more("mail jane at example.com now") == [("email", "jane at example.com")]
+    assert more("jane_doe at example.com") == [("email", "jane_doe at example.com")]
+    assert more("contact: jane at firma dot swiss") == [("email", "jane at firma dot swiss")]
+    assert more("jane at firma dot com") == [("email", "jane at firma dot com")]
+    assert more("escribe a ana arroba casa punto museum") == [("email", "ana arroba casa punto museum")]
+    for clean in ("look at example.com", "we are at this point in time", "look at polka dot patterns", "one 2 3 and 4", "arrive at station.Then go"):
+        assert more(clean) == [], clean
+    assert more("card 4 one 1 1 1111 1111 1111 ok") == [("card", "4 one 1 1 1111 1111 1111")]

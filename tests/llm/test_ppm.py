@@ -76,3 +76,19 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert ppm.identify(empty, ppm.trained(empty)).count() == 0
     assert {r.lang_pred for r in ppm.identify(docs, None).collect()} == {"und"}
+
+
+def test_no_id_and_ties(spark, monkeypatch):
+    text = "the same words in both of the languages"
+    rows = [(k, text, lang) for k, lang in enumerate(["b", "a"] * 20)] + [(None, text, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(ppm, "PER_LANGUAGE", 3)
+    model = ppm.trained(docs)
+    found = ppm.identify(docs.limit(1), model).first()
+    assert found.lang_pred == "a" and abs(found.score - 0.5) < 0.2  # the first by name
+    path = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ppm, "MOST_LANGUAGES", 1)
+    assert set(ppm.sample(docs)) == {"a"} or set(ppm.sample(docs)) == {"b"}
+    monkeypatch.setattr(ppm, "SAMPLE_CHARS", len(text) * 2)
+    assert [len(v) for v in ppm.sample(docs).values()] == [2]
+    assert not any(r.held_out is None for r in ppm.op6_ppm(spark, path).collect())

@@ -51,7 +51,73 @@ def test_trees_learn_lexical_signs():
         return f"http://{host}/{rng.choice(['x', 'y'])}/{rng.randrange(100)}" + ("?a=1&b=2&c=3" if bad and rng.random() < 0.5 else "")
 
     rows = [(url(k % 3 == 0), k % 3 == 0) for k in range(3000)]
-    model = urls.fit(rows[:2000])
-    right = sum((m > 0) == bad for m, (_, bad) in zip(model.margin([u for u, _ in rows[2000:]]), rows[2000:]))
+    none = [0.5] * 4
+    model = urls.fit([(u, bad, none) for u, bad in rows[:2000]])
+    margins = model.margin([u for u, _ in rows[2000:]], [none] * 1000)
+    right = sum((m > 0) == bad for m, (_, bad) in zip(margins, rows[2000:]))
     assert right / 1000 > 0.97
-    assert urls.fit([]).margin(["x"])[0] < 0 and urls.fit([("u", True)]).margin(["x"])[0] > 0
+    assert urls.fit([]).margin(["x"], [none])[0] < 0 and urls.fit([("u", True, none)]).margin(["x"], [none])[0] > 0
+
+
+def test_suffix_shares_cover_all_labelled_urls(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(urls, "SAMPLE", 3)  # the sample is for the trees alone
+    rows = [(f"http://{h}.example.org/{p}/{k}", (h == "a") ^ (k % 5 == 0)) for h in "ab" for p in ("x", "") for k in range(20)] + [(None, True), ("", True), ("http://solo", False)]
+    labelled = spark.createDataFrame(rows + rows[:7], "url string, blocked boolean")
+    rates, share = urls.statistics(labelled)
+    n, bad = Counter(), Counter()
+    distinct = {(u or "", b) for u, b in rows}
+    for u, b in distinct:
+        host, path, _ = plain(u)
+        labels = host.split(".")
+        for key in [*(f"{k}:{'.'.join(labels[-k:])}" for k in (1, 2, 3)), f"p:{path.split('/')[1] if '/' in path else ''}"]:
+            n[key] += 1
+            bad[key] += b
+    want_share = sum(b for _, b in distinct) / len(distinct)
+    assert abs(share - want_share) < 1e-12
+    want = {k: (bad[k] + urls.PRIOR * want_share) / (n[k] + urls.PRIOR) for k in n}
+    got = {r.key: r.rate for r in rates.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    asked = spark.createDataFrame([("http://a.example.org/x/1",), ("http://new.net/q",)], "url string")
+    found = {r.url: r.rates for r in urls.rated(asked, rates, share).collect()}
+    assert found["http://new.net/q"] == [share] * 4
+    assert [round(x, 12) for x in found["http://a.example.org/x/1"]] == [round(want[k], 12) for k in ("1:org", "2:example.org", "3:a.example.org", "p:x")]
+
+
+def test_verdicts_without_a_rule_by_a_plain_walk(spark):
+    """The trees' sums over all pages, walked node by node."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in urls.verdicts(pages).collect()}
+    rows = pages.select("url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    labelled = [(r.url, plain(r.url)[2][0] == "block") for r in rows.collect() if plain(r.url)[2]]
+    frame = spark.createDataFrame(labelled, "url string, blocked boolean")
+    rates, share = urls.statistics(frame)
+    model = urls.fit([(r.url, r.blocked, list(r.rates)) for r in urls.rated(urls.sample(frame), rates, share).collect()])
+    of = {r.url: list(r.rates) for r in urls.rated(pages.select("url"), rates, share).collect()}
+    unruled = 0
+    for i, url in pages.select("page_id", "url").collect():
+        x = [*urls.lexical(url or ""), *of[url]]
+        margin = model.base
+        for feature, cut, leaf in model.trees:
+            node = 0
+            for _ in range(urls.DEPTH):
+                j = feature[node]
+                node = 2 * node + 1 + (sum(e < x[j] for e in model.edges[j]) > cut[node])
+            margin += leaf[node - (2**urls.DEPTH - 1)]
+        assert math.isclose(got[i].blocked, 1 / (1 + math.exp(-margin)), abs_tol=1e-9)
+        if got[i].rule is None:
+            unruled += 1
+            assert got[i].verdict == ("block" if margin >= 0 else "allow")
+    assert unruled
+
+
+def test_of_rules_of_one_length_the_last_decides(spark):
+    rules = (("allow", "a.com", "/x"), ("block", "com", "/xyz"), ("allow", "com", "/xy"))
+    got = urls.verdicts(spark.createDataFrame([(1, "http://a.com/xyz")], "page_id long, url string"), (("allow", "a.com", "/x"), ("block", "com", "/xyz"))).first()
+    assert (got.rule, got.verdict) == ("com/xyz", "block")
+    assert urls.verdicts(spark.createDataFrame([(1, "http://a.com/xyz")], "page_id long, url string"), rules).first().verdict == "block"
