@@ -261,7 +261,7 @@ def _by_blocks(benchmark: DataFrame, run: Callable, name: str) -> Iterator[tuple
     and the block's broadcast index, and whether that has been written: a single block
     is left to be computed with what follows."""
     spark = benchmark.sparkSession
-    indexes = (index for block in blocks(benchmark) if (index := build(block)))
+    indexes = filter(None, map(build, blocks(benchmark)))
     index, before = next(indexes, None), None
     while index is not None:
         after = next(indexes, None)
