@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
-from siftline.functions.text import is_advert, is_header_or_footer, normalised, replaced_characters, squeezed, stripped
+from siftline.functions.text import is_header_or_footer, normalised, replaced_characters, squeezed, stripped
 
 SENTENCE_END = r"[。！？」』\"'）］》】]$"
 
@@ -90,32 +90,6 @@ def crawled_chunks(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.posexplode("chunks").alias("chunk_no", "text"))
 
 
-def paragraphs(pages: DataFrame) -> DataFrame:
-    """(page_id, url, para_no, text): the paragraphs of pages, without scripts,
-    styles, navigation, asides, footers and elements of class ad."""
-    t = F.regexp_replace("html", r"(?is)<(script|style|nav|aside|footer)\b[^>]*>.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<div class=\"(?:ad|ads|advert|advertisement|banner|sidebar|widget|comment)\">.*?</div>", " ")
-    parts = F.slice(F.split(t, r"(?i)<p\b[^>]*>"), F.lit(2), F.lit(1 << 30))
-    text = F.transform(parts, lambda p: squeezed(decoded(F.regexp_replace(F.regexp_replace(p, r"(?is)</p>.*|</article>.*", ""), r"(?s)<[^>]*>", " "))))
-    return pages.select("page_id", "url", F.posexplode(F.filter(text, lambda x: x != "")).alias("para_no", "text"))
-
-
-def decoded(text: Column) -> Column:
-    """The five common character references and the no-break space."""
-    for ref, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(ref), F.lit(c))
-    return text
-
-
-def page_text(pages: DataFrame, least: int = 20, whole_words: bool = False) -> DataFrame:
-    """(page_id, url, text, n_paragraphs): paragraphs that are long enough and no
-    adverts, joined in order; pages without any have an empty text."""
-    kept = paragraphs(pages).where((F.length("text") >= least) & ~is_advert(F.col("text"), whole_words))
-    joined = kept.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("para_no", "text"))).alias("p"))
-    text = joined.select("page_id", F.array_join("p.text", " ").alias("text"), F.size("p").cast("long").alias("n_paragraphs"))
-    return pages.select("page_id", "url").join(text, "page_id", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"))
-
-
 def chunk_verdict(text: Column, url: Column) -> Column:
     """struct(passed, score, reason) of a web chunk: its length, the white space at
     its ends, its source, and words no complete chunk begins or ends with."""

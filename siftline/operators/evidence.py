@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed
 from siftline.functions.report import entities, sentence_about
 from siftline.functions.text import CJK, WHITE, context, parsed_number, relative_difference
-from siftline.operators.retrieve import nearest
+from siftline.operators.retrieve import in_blocks, nearest
 
 
 def placed(matches: Column, pattern: int, names: tuple[str, ...]) -> Column:
@@ -243,29 +243,16 @@ def anchor(sentence: Column, material: Column) -> Column:
 METHODS = ("exact", "no punctuation", "segments", "head", "entity")
 
 
-#: Bytes of what sentences look for that go to the tasks at once.
-NEEDLE_BYTES = 32 << 20
-
-
 def anchors(sentences: DataFrame, materials: DataFrame) -> DataFrame:
     """(item_id, method, doc_id) of each sentence (item_id, text) of a stated set: the
     strongest method that finds it, and the smallest document in which it does.
 
     What all sentences look for goes to the tasks as one automaton (in blocks of
-    NEEDLE_BYTES), which reads each text once; a task hands on the best document of
+    bounded bytes), which reads each text once; a task hands on the best document of
     each sentence."""
     asked = sentences.select("item_id", looked_for(F.col("text")).alias("q")).where("length(q.clean) >= 5")
-    found, held, size = None, [], 0
-
-    def search(held: list) -> DataFrame:
-        return materials.select("doc_id", "text").mapInArrow(_finder(held), "item_id long, rank int, doc_id long")
-
-    for r in asked.toLocalIterator():
-        if size > NEEDLE_BYTES:
-            found, held, size = search(held) if found is None else found.union(search(held)), [], 0
-        held.append((r.item_id, r.q.clean, r.q.bare, r.q.parts, r.q.head, r.q.entities))
-        size += 4 * (len(r.q.clean) + len(r.q.bare))
-    found = search(held) if found is None else found.union(search(held))
+    flat = asked.select("item_id", "q.clean", "q.bare", "q.parts", "q.head", "q.entities")
+    found = in_blocks(flat, lambda r: 4 * (len(r[1]) + len(r[2])), lambda held: materials.select("doc_id", "text").mapInArrow(_finder(held), "item_id long, rank int, doc_id long"))
     best = found.groupBy("item_id").agg(F.min(F.struct("rank", "doc_id")).alias("best"))
     return best.select("item_id", F.get(F.array(*map(F.lit, METHODS)), F.col("best.rank")).alias("method"), F.col("best.doc_id").alias("doc_id"))
 

@@ -7,7 +7,7 @@ tokens, and rows without tokens are never found."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,27 +15,100 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.text import tokens
+from siftline.functions.text import CJK, tokens
 
 K1, B = 1.5, 0.75
 
 
-#: Rows of a query set that go to the data as one array, and bytes up to which the
-#: whole set is broadcast.
-BLOCK_ROWS, BROADCAST_BYTES = 256, 64 << 20
+#: Bytes of a query set that go to the tasks at once.
+NEEDLE_BYTES = 32 << 20
 
 
-def in_blocks(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Every row beside every query (a struct ``q``) of a stated set, which goes to the
-    rows in arrays of about BLOCK_ROWS, so that a row is copied once a block and only
-    what is found need leave the task. A set of more than BROADCAST_BYTES isn't
-    broadcast; its blocks and the rows then meet partition by partition."""
-    texts = [c for c, kind in asked.dtypes if kind == "string"]
-    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(16)))
-    n, total = asked.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    blocks = asked.groupBy(F.pmod(F.xxhash64(*texts), F.lit(-(-n // BLOCK_ROWS) or 1)).alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("asked")).drop("block")
-    blocks = F.broadcast(blocks) if total <= BROADCAST_BYTES else blocks
-    return rows.crossJoin(blocks).withColumn("q", F.explode("asked")).drop("asked")
+def in_blocks(asked: DataFrame, size: Callable[[tuple], int], search: Callable[[list[tuple]], DataFrame]) -> DataFrame:
+    """The union of what ``search`` finds for blocks of the rows of a stated set, each
+    of about NEEDLE_BYTES; there is one block at least."""
+    found, held, total = None, [], 0
+    for row in asked.toLocalIterator():
+        if total > NEEDLE_BYTES:
+            found, held, total = search(held) if found is None else found.unionByName(search(held)), [], 0
+        held.append(tuple(row))
+        total += size(row)
+    return search(held) if found is None else found.unionByName(search(held))
+
+
+def occurrences(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(item_id, doc_id, n): how often each needle (item_id, key) of a stated set
+    occurs in each text (doc_id, text), without overlaps, where it does. One automaton
+    of all needles reads each text once."""
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((needles, "item_id"), (texts, "doc_id"))]
+
+    def search(asked: list[tuple]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            of: dict[str, list] = {}
+            for item, key in asked:
+                of.setdefault(key, []).append(item)
+            machine = ahocorasick.Automaton()
+            for key in of:
+                machine.add_word(key, key)
+            machine.make_automaton()
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    counts: dict[str, int] = {}
+                    free: dict[str, int] = {}  # where the next occurrence may begin
+                    for end, key in machine.iter(text) if text and len(machine) else ():
+                        if end + 1 - len(key) >= free.get(key, 0):
+                            counts[key] = counts.get(key, 0) + 1
+                            free[key] = end + 1
+                    rows += [(item, doc, n) for key, n in counts.items() for item in of[key]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((None, batch.schema.field(0).type, pa.int64()))] if rows else [pa.nulls(0, pa.int64()), batch.column(0).slice(0, 0), pa.nulls(0, pa.int64())], names=["item_id", "doc_id", "n"])
+
+        return texts.select("doc_id", "text").mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}, n long")
+
+    return in_blocks(needles.select("item_id", "key").where("key <> ''"), lambda r: 4 * len(r[1]) + 16, search)
+
+
+def overlapping(docs: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(item_id, doc_id, score) of the pairs whose lexical overlap (0.7 of the share of
+    the query's CJK characters and 0.3 of its words that the text has) is at least
+    ``least``, which is over 0. Each text's words are looked up once for all queries."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"[{CJK}]|[a-z0-9]+"), F.lit(0)))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "item_id"), (docs, "doc_id"))]
+
+    def search(asked: list[tuple]) -> DataFrame:
+        ids = [item for item, _ in asked]
+        terms = sorted({t for _, own in asked for t in own})
+        place = {t: n for n, t in enumerate(terms)}
+        pairs = np.array(sorted((place[t], k) for k, (_, own) in enumerate(asked) for t in own), np.int64).reshape(-1, 2)
+        first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+        wide = np.array([not t.isascii() for t in terms], bool)
+        sizes = [np.bincount(pairs[wide[pairs[:, 0]] == side, 1], minlength=len(ids)) + 0.001 for side in (True, False)]
+        worth = np.where(wide[pairs[:, 0]], 0.7 / sizes[0][pairs[:, 1]], 0.3 / sizes[1][pairs[:, 1]])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked_terms, step = pa.array(terms, pa.string()), max(1, SCORES // max(len(ids), 1))
+            for whole in batches:
+                for low in range(0, whole.num_rows, step):
+                    batch = whole.slice(low, step)
+                    lists = batch.column(1)
+                    found = pc.index_in(lists.flatten(), value_set=asked_terms)
+                    known = found.is_valid().to_numpy(zero_copy_only=False)
+                    term = found.fill_null(0).to_numpy().astype(np.int64)[known]
+                    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[known]
+                    many = first[term + 1] - first[term]
+                    row = np.repeat(np.arange(len(term)), many)
+                    at = np.repeat(first[term] - (np.cumsum(many) - many), many) + np.arange(len(row))
+                    score = np.bincount(doc[row] * len(ids) + pairs[at, 1], weights=worth[at], minlength=len(lists) * len(ids))
+                    hit = np.flatnonzero(score >= least - 1e-9)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in (hit % len(ids)).tolist()], None if len(hit) else pa.int64()), batch.column(0).take(pa.array(hit // max(len(ids), 1))), pa.array(score[hit])], names=["item_id", "doc_id", "score"])
+
+        rows = docs.select("doc_id", words(F.col("text")).alias("w"))
+        return rows.mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+    asked = queries.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+    return in_blocks(asked, lambda r: 16 * sum(len(t) + 4 for t in r[1]), search).withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -259,11 +332,9 @@ def exact_prefix(docs: DataFrame, queries: DataFrame, answered: DataFrame, prefi
     """(item_id, doc_id, hits, score) for queries without an answer: documents that
     contain the query's first characters, in any case.
 
-    The prefixes (of the stated query set) are searched in one pass over each text;
-    the score is least(0.75 + least(hits / 10, 0.15), 0.95)."""
+    The prefixes (of the stated query set) are searched in one pass over each text; the
+    score is least(0.75 + least(hits / 10, 0.15), 0.95)."""
     left = queries.join(answered.select("item_id").distinct(), "item_id", "left_anti")
     keys = left.select("item_id", F.substring(F.lower("text"), 1, prefix).alias("key")).where("key <> ''")
-    each = in_blocks(docs.select("doc_id", F.lower("text").alias("low")), keys)
-    hit = each.where(F.contains("low", F.col("q.key")))
-    count = ((F.length("low") - F.length(F.replace("low", F.col("q.key"), F.lit("")))) / F.length("q.key")).cast("long")
-    return hit.select("q.item_id", "doc_id", count.alias("hits")).withColumn("score", F.round(F.least(0.75 + F.least(F.col("hits") / 10, F.lit(0.15)), F.lit(0.95)), 6))
+    hits = occurrences(docs.select("doc_id", F.lower("text").alias("text")), keys).withColumnRenamed("n", "hits")
+    return hits.withColumn("score", F.round(F.least(0.75 + F.least(F.col("hits") / 10, F.lit(0.15)), F.lit(0.95)), 6))

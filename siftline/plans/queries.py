@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from siftline.functions import fixed, report
 from siftline.functions import text as T
-from siftline.operators import clean, dedup, evidence, retrieve, rules
+from siftline.operators import clean, dedup, evidence, pagebody, retrieve, rules
 from siftline.plans import pipeline
-from siftline.sources import search
+from siftline.sources import collections, search
 from siftline.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,7 +127,11 @@ def normalize_text(spark, sf_dir):
     return clean.comparable(read(spark, sf_dir, "documents"))
 
 
-@query()
+_CHARACTERS = "translate({t}, '" + fixed.REPLACED_FROM + "', '" + fixed.REPLACED_TO.replace("'", "''") + "')"
+PLAIN = r"regexp_replace({t}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}\x{{fff0}}-\x{{ffff}}\x{{200b}}-\x{{200f}}\x{{2028}}-\x{{202f}}\x{{2060}}-\x{{206f}}\x{{ad}}\x{{feff}}]', '', 'g')".format(t=_CHARACTERS.format(t="text"))
+
+
+@query(f"SELECT doc_id, {PLAIN} AS text FROM documents")
 def clean_text_chars(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.replaced_characters(F.col("text")).alias("text"))
 
@@ -140,7 +144,17 @@ def header_footer_lines(spark, sf_dir):
     return clean.lines(read(spark, sf_dir, "documents"))
 
 
-@query()
+_REPEATED = "(" + " OR ".join(f"regexp_matches({{t}}, '{p}')" for p in fixed.HEADER_LINES) + r" OR (length({t}) < 8 AND regexp_matches({t}, '^[\d\s\-=/\\|]+$')))"
+
+
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id, string_split(regexp_replace({PLAIN}, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM documents),
+  ln AS (SELECT doc_id, i, trim(ls[i]) AS t, len(ls) AS n FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM src)),
+  m AS (SELECT *, t <> '' AND {_REPEATED.replace("{t}", "t")} AS skip FROM ln),
+  f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS held, CAST([] AS VARCHAR[]) AS done FROM src
+    UNION ALL SELECT f.doc_id, m.i, CASE WHEN t = '' THEN '' WHEN skip THEN held WHEN held = '' THEN t WHEN regexp_matches(held, '[。！？」』"''）］》】]$') THEN t WHEN ends_with(held, '-') THEN left(held, length(held) - 1) || t ELSE held || t END,
+      CASE WHEN held <> '' AND (t = '' OR (NOT skip AND regexp_matches(held, '[。！？」』"''）］》】]$'))) THEN list_append(done, held) ELSE done END FROM f JOIN m ON m.doc_id = f.doc_id AND m.i = f.i + 1),
+  e AS (SELECT doc_id, array_to_string(CASE WHEN held = '' THEN done ELSE list_append(done, held) END, chr(10)) AS x FROM f JOIN (SELECT doc_id AS d, len(ls) AS n FROM src) ON d = f.doc_id AND n = f.i)
+SELECT doc_id, trim(regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM e""")
 def merge_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", clean.cleaned(F.col("text")).alias("text"))
 
@@ -156,19 +170,24 @@ def chunk_stride(spark, sf_dir):
     return clean.strided(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, text, length(text) AS n, CAST(0 AS BIGINT) AS s, CAST(-1 AS BIGINT) AS e, CAST(-1 AS BIGINT) AS k FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, n, s2, CASE WHEN e2 < n AND cut > s2 THEN cut ELSE e2 END, k + 1 FROM (
+    SELECT *, CASE WHEN e2 < n AND strpos(part, chr(10)) > 0 THEN s2 + length(part) - strpos(reverse(part), chr(10)) ELSE -1 END AS cut FROM (
+      SELECT *, least(s2 + 500, n) AS e2, substring(text, s2 + 1, 500) AS part FROM (SELECT *, CASE WHEN e < 0 THEN 0 ELSE greatest(e - 50, s + 1) END AS s2 FROM w WHERE e < n)))),
+  c AS (SELECT doc_id, k, regexp_replace(regexp_replace(substring(text, s + 1, e - s), '^{WHITE}+', ''), '{WHITE}+$', '') AS text FROM w WHERE k >= 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_no, text FROM c WHERE text <> ''""")
 def chunk_reference(spark, sf_dir):
     return clean.crawled_chunks(read(spark, sf_dir, "documents"))
 
 
 @query()
 def page_paragraphs(spark, sf_dir):
-    return clean.paragraphs(read(spark, sf_dir, "pages"))
+    return pagebody.paragraphs(read(spark, sf_dir, "pages"))
 
 
 @query()
 def page_clean(spark, sf_dir):
-    return clean.page_text(read(spark, sf_dir, "pages"))
+    return pagebody.body_text(read(spark, sf_dir, "pages"))
 
 
 def _words(words) -> str:
@@ -187,14 +206,21 @@ def chunk_validate_ladder(spark, sf_dir):
     return chunks.select("doc_id", "chunk_no", v.alias("v")).select("doc_id", "chunk_no", "v.passed", "v.score", "v.reason")
 
 
-@query()
+@query("""WITH d AS (SELECT text, min(doc_id) AS id FROM documents WHERE length(text) >= 5 GROUP BY text),
+  g AS (SELECT id, list_distinct(list_transform(generate_series(1, length(text) - 4), lambda i: substring(text, i, 5))) AS own FROM d),
+  s AS (SELECT id, len(own) AS n, list_sort(list_transform(own, lambda x: hash(x))) AS h FROM g),
+  k AS (SELECT id, n, unnest(h[1 : n - CAST(ceil(0.85 * n) AS INTEGER) + 1]) AS x FROM s),
+  c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
+  p AS (SELECT a, b, len(list_intersect(x.own, y.own)) / greatest(len(x.own), len(y.own)) AS o FROM c JOIN g x ON x.id = a JOIN g y ON y.id = b)
+SELECT a, b, round(o, 6) AS overlap FROM p WHERE round(o, 6) >= 0.85
+UNION ALL SELECT d.id, e.doc_id, 1.0 FROM documents e JOIN d USING (text) WHERE e.doc_id <> d.id""")
 def ngram_overlap_pairs(spark, sf_dir):
     return dedup.overlap_links(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query()
 def dedup_greedy(spark, sf_dir):
-    paras = clean.paragraphs(read(spark, sf_dir, "pages"))
+    paras = pagebody.paragraphs(read(spark, sf_dir, "pages"))
     grouped = paras.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("para_no", "text"))).alias("p"))
     return grouped.select("page_id", F.posexplode(dedup.keep_first(F.col("p.text"))).alias("kept_no", "text"))
 
@@ -204,9 +230,7 @@ def dedup_greedy(spark, sf_dir):
 SELECT * FROM o WHERE score >= 0.25""")
 def lexical_overlap_hits(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents", "benchmark")
-    each = retrieve.in_blocks(docs.select("doc_id", "text"), items)
-    out = each.select("q.item_id", "doc_id", F.round(T.lexical_overlap(F.col("text"), F.col("q.text")), 6).alias("score"))
-    return out.where("score >= 0.25")
+    return retrieve.overlapping(docs, items, 0.25)
 
 
 TIER_TRUSTED, TIER_LOW = ["example.org"], ["spam-farm", "cheap-pills"]
@@ -280,7 +304,19 @@ def reconcile_status_counts(spark, sf_dir):
     return reconcile_sources(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+_LABEL = r"[\x{4e00}-\x{9fff}\w]{2,10}"
+_VALUE = r"[0-9]+(?:\.[0-9]+)?%?"
+_KEY_PATTERNS = [rf"({_LABEL})(?:为|达到|是|约|有|增长|下降|占比)({_VALUE})", rf"({_LABEL})\s*[：:]\s*({_VALUE})", rf"({_VALUE})\s*(?:的|之)?({_LABEL})"]
+
+
+def _key_numbers(side: str) -> str:
+    each = " UNION ALL ".join(f"SELECT id, {k} AS p, unnest(regexp_extract_all(text, '{x}', 1)) AS label, unnest(regexp_extract_all(text, '{x}', 2)) AS value, generate_subscripts(regexp_extract_all(text, '{x}', 1), 1) AS i FROM {side}" for k, x in enumerate(_KEY_PATTERNS))
+    return f"SELECT label, arg_max(value, {{'p': p, 'id': id, 'i': i}}) AS v FROM ({each}) WHERE length(label) >= 2 GROUP BY label"
+
+
+@query(f"""WITH {SIDE_ROWS}, a AS ({_key_numbers('l')}), b AS ({_key_numbers('r')}),
+  c AS (SELECT label, a.v AS left_value, b.v AS right_value, try_cast(regexp_replace(a.v, '[^0-9.-]', '', 'g') AS DOUBLE) AS x, try_cast(regexp_replace(b.v, '[^0-9.-]', '', 'g') AS DOUBLE) AS y FROM a JOIN b USING (label) WHERE a.v <> b.v)
+SELECT label, left_value, right_value FROM c WHERE NOT coalesce(abs(x - y) / greatest(abs(x), abs(y), 0.01) < 0.05, false)""")
 def key_number_conflicts(spark, sf_dir):
     return evidence.number_conflicts(*_sides(spark, sf_dir))
 
@@ -354,6 +390,19 @@ def session_ttl(spark, sf_dir):
     return sessions.live_sessions(read(spark, sf_dir, "events"), "2024-01-02 12:00:00")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events), s AS (SELECT user_id, min(ms) AS c FROM e GROUP BY 1
+  UNION ALL SELECT user_id, nxt FROM (SELECT s.user_id, min(e.ms) AS nxt FROM s JOIN e ON e.user_id = s.user_id AND e.ms > s.c + 86400000 GROUP BY s.user_id, s.c))
+SELECT s.user_id, c AS created_ms, max(ms) AS last_ms, count(*) AS n_events FROM s JOIN e ON e.user_id = s.user_id AND ms BETWEEN c AND c + 86400000 GROUP BY s.user_id, c""")
+def session_stream(spark, sf_dir):
+    """The events as a stream of files."""
+    import uuid
+
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+    events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return sessions.sessions_of(events.select("user_id", "ts"), f"{base}/sessions-{uuid.uuid4().hex}")
+
+
 def _controls(spark, sf_dir):
     """Control rows made from orders."""
     k = F.col("o_orderkey")
@@ -415,7 +464,11 @@ def redact_secrets(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("text"))
 
 
-@query()
+_BOLD = r"regexp_replace(regexp_replace(regexp_replace('**b** *i* `c` ~~s~~ [t](u) ![a](v)' || chr(10) || '* ' || text, '!\[([^\]]*)\]\([^)]+\)', '[图片: \1]', 'g'), '\[([^\]]+)\]\(([^)]+)\)', '\1（\2）', 'g'), '\*\*([^*]+)\*\*', '\1', 'g')"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_BOLD}, '(^|[^*])\*([^*]+)\*($|[^*])', '\1\2\3', 'g'), '`([^`]+)`', '\1', 'g'), '~~([^~]+)~~', '\1', 'g') AS t FROM documents)
+SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN trim(x) = '' THEN '' WHEN starts_with(trim(x), '* ') THEN '- ' || substring(trim(x), 3) ELSE x END), chr(10)) AS text FROM b""")
 def strip_markdown(spark, sf_dir):
     text = F.concat(F.lit("**b** *i* `c` ~~s~~ [t](u) ![a](v)\n* "), F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", T.list_markers(T.plain_markdown(text)).alias("text"))
@@ -464,19 +517,30 @@ def web_query(spark, sf_dir):
 SELECT item_id, CAST(n AS BIGINT) AS n FROM c WHERE n < 2""")
 def missing_subtopics(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents", "benchmark")
-    each = retrieve.in_blocks(docs.select("text"), items.select("item_id", F.substring("text", 1, 20).alias("k"))).where(F.contains("text", F.col("q.k")))
-    n = each.select("q.item_id", ((F.length("text") - F.length(F.replace("text", F.col("q.k"), F.lit("")))) / F.length("q.k")).alias("n")).groupBy("item_id").agg(F.sum("n").cast("long").alias("n"))
+    found = retrieve.occurrences(docs.select("doc_id", "text"), items.select("item_id", F.substring("text", 1, 20).alias("key")))
+    n = found.groupBy("item_id").agg(F.sum("n").alias("n"))
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n")).where("n < 2")
 
 
-@query("""SELECT lang, substring(md5(string_agg(text, '' ORDER BY doc_id)), 1, 16) AS hash FROM documents GROUP BY lang""")
+@query(f"""WITH {CHUNKS} SELECT doc_id AS collection, 'pdf-' || substring(md5(string_agg(text, '' ORDER BY chunk_no)), 1, 16) AS name FROM chunks GROUP BY doc_id""")
 def content_hash(spark, sf_dir):
-    """A digest of each language's texts in order; the aggregate holds one language's
-    text, so it is for collections of bounded size."""
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "text")))["text"], "").alias("t")).select("lang", F.substring(F.md5(F.col("t").cast("binary")), 1, 16).alias("hash"))
+    """The collection names of all documents, from their chunks."""
+    chunks = clean.strided(read(spark, sf_dir, "documents"))
+    return collections.content_name(chunks.select(F.col("doc_id").alias("collection"), F.col("chunk_no").alias("ord"), "text"))
 
 
-@query()
+@query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10),
+  l AS (SELECT t.item_id, t.doc_id, t.rank, CASE WHEN quality = 1 THEN 'relevant' WHEN labels.doc_id IS NOT NULL THEN 'irrelevant' ELSE 'partly' END AS label FROM t LEFT JOIN labels USING (doc_id)),
+  w AS (SELECT *, CASE label WHEN 'relevant' THEN 3.0 WHEN 'partly' THEN 2.0 ELSE 1.0 END AS s, count(*) FILTER (label <> 'irrelevant') OVER (PARTITION BY item_id) AS good FROM l),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, rank) AS n FROM w), k AS (SELECT * FROM r WHERE (CASE WHEN good > 0 THEN label <> 'irrelevant' ELSE n = 1 END) AND n <= 5),
+  o AS (SELECT k.item_id, k.doc_id, d.text, round(0.3 * len(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')))) / (len(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))) + 0.001), 6) AS v FROM k JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = k.item_id),
+  f AS (SELECT * FROM o WHERE v >= 0.1 AND length(trim(text)) >= 15),
+  {NUMBERS.replace('tok', 'ntok')}, own AS (SELECT num.* FROM num JOIN (SELECT DISTINCT doc_id FROM f) ON doc_id = id), u AS (SELECT DISTINCT number FROM own), x AS (SELECT DISTINCT number FROM u JOIN documents ON contains(text, number)),
+  runs AS (SELECT number, unnest(regexp_extract_all(number, '\\d+\\.?\\d*')) AS run FROM u WHERE number NOT IN (SELECT number FROM x)), h AS (SELECT number, doc_id, count(*) AS c FROM runs JOIN documents ON contains(text, run) GROUP BY ALL),
+  g AS (SELECT number, max(c) AS c FROM h GROUP BY 1), z AS (SELECT number, count(*) AS c FROM runs GROUP BY 1), bad AS (SELECT number FROM u WHERE number NOT IN (SELECT number FROM x) AND number NOT IN (SELECT number FROM g JOIN z USING (number) WHERE g.c / z.c > 0.5)),
+  p AS (SELECT id AS doc_id, count(*) AS n_numbers, count(*) FILTER (number IN (SELECT number FROM bad)) AS unsupported FROM own GROUP BY 1),
+  a AS (SELECT item_id, count(*) AS n, coalesce(sum(n_numbers), 0) AS n_numbers, coalesce(sum(unsupported), 0) AS unsupported FROM f LEFT JOIN p USING (doc_id) GROUP BY 1)
+SELECT item_id, CASE WHEN coalesce(n, 0) < 2 THEN 'end' ELSE 'write' END AS next_stage, coalesce(n, 0) AS n_materials, CASE WHEN n IS NULL THEN 'irrelevant' ELSE 'relevant' END AS relevance, CAST(coalesce(n_numbers, 0) AS BIGINT) AS n_numbers, CAST(coalesce(unsupported, 0) AS BIGINT) AS unsupported FROM benchmark LEFT JOIN a USING (item_id)""")
 def research_pipeline(spark, sf_dir):
     docs, items, labels = read(spark, sf_dir, "documents", "benchmark", "labels")
     label = F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")
@@ -495,7 +559,10 @@ def key_segments(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.explode(report.segments(F.col("text"))).alias("segment"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT doc_id, text AS rest, '' AS part, -1 AS k FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, substring(rest, cut + 1), left(rest, cut), k + 1 FROM (SELECT *, CASE WHEN length(rest) <= 6000 THEN length(rest) WHEN nl > 3000 THEN nl ELSE 6000 END AS cut FROM (
+    SELECT *, CASE WHEN contains(left(rest, 6000), chr(10)) THEN 6000 - strpos(reverse(left(rest, 6000)), chr(10)) + 1 ELSE 0 END AS nl FROM c WHERE k < 2 AND length(rest) > 0)))
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, part AS text FROM c WHERE k >= 0""")
 def report_chunks(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(report.report_chunks(F.col("text"), 6000, 3)).alias("chunk_no", "text"))
 

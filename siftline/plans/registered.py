@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, prompts, tasks, web
+from . import checks, prompts, tasks, web, workflow
 from .queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "checks", "prompts", "tasks", "web"]
+__all__ = ["QUERIES", "SQL", "checks", "prompts", "tasks", "web", "workflow"]

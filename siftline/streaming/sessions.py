@@ -23,9 +23,13 @@ def conversation_window(turns: DataFrame, n: int = 10) -> DataFrame:
     return joined.select("conv_id", F.array_join("t.line", "\n").alias("text"))
 
 
-def session_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """The same over a stream: events of a user within ``ttl`` of the session's first
-    belong to it; a later one opens a new session. State goes when its time is over."""
+def session_stream(events: DataFrame, ttl: int = TTL_SECONDS, expire: bool = True) -> DataFrame:
+    """(user_id, created_ms, last_ms, n_events) of a stream of (user_id, ts): events of
+    a user within ``ttl`` of a session's first belong to it, a later one opens a new
+    session. A batch gives a row for each session that it met; of several rows of one
+    session the one with the most events is the last. State goes when no event comes
+    for the time a session lives, unless ``expire`` is false: a stream that ends would
+    wait for that time."""
     import pandas as pd
 
     def step(key, frames, state):
@@ -33,14 +37,30 @@ def session_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
             state.remove()
             return
         created, last, n = state.get if state.exists else (None, None, 0)
-        for f in frames:
-            for ts in sorted(f["ts"]):
-                ms = int(pd.Timestamp(ts).timestamp() * 1000)
-                if created is None or ms - created > ttl * 1000:
-                    created, n = ms, 0
-                last, n = ms if last is None else max(last, ms), n + 1
-        state.update((created, last, n))
-        state.setTimeoutDuration(ttl * 1000)
-        yield pd.DataFrame({"user_id": [key[0]], "created_ms": [created], "last_ms": [last], "n_events": [n]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, created_ms long, last_ms long, n_events long", "created long, last long, n long", "update", "ProcessingTimeTimeout")
+        rows = []
+        for ms in sorted(pd.Timestamp(ts).value // 1_000_000 for f in frames for ts in f["ts"].dropna()):
+            if created is None or ms - created > ttl * 1000:
+                if created is not None:
+                    rows.append((created, last, n))
+                created, last, n = ms, ms, 0
+            last, n = max(last, ms), n + 1
+        if created is not None:
+            rows.append((created, last, n))
+            state.update((created, last, n))
+            if expire:
+                state.setTimeoutDuration(ttl * 1000)
+        yield pd.DataFrame({"user_id": [key[0]] * len(rows), "created_ms": [r[0] for r in rows], "last_ms": [r[1] for r in rows], "n_events": [r[2] for r in rows]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, created_ms long, last_ms long, n_events long", "created long, last long, n long", "update", "ProcessingTimeTimeout" if expire else "NoTimeout")
+
+
+def sessions_of(events: DataFrame, path: str, ttl: int = TTL_SECONDS) -> DataFrame:
+    """All sessions of a stream that has an end, written under ``path`` (which driver
+    and executors share) as its batches are done."""
+    spark = events.sparkSession
+    rows = session_stream(events, ttl, expire=False)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+    rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    last = Window.partitionBy("user_id", "created_ms").orderBy(F.desc("n_events"))
+    return found.withColumn("rank", F.row_number().over(last)).where("rank = 1").select(*rows.columns)

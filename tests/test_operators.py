@@ -275,3 +275,130 @@ def test_wrapped_lines(spark):
 
     assert one(spark, prompts.wrapped(F.col("t"), 2), t="市场abcde增\nx") == ["市场", "abcd", "e增", "x"]
     assert one(spark, prompts.wrapped(F.col("t"), 2), t=None) == [""]
+
+
+def test_body_of_pages():
+    from siftline.operators.pagebody import candidates
+
+    page = """<html><body><nav><p>menu</p></nav><div class="x shadow"><p>a class with ad in it</p></div><div id=headline><p>an id too</p></div><span class="share">s</span>
+<article><p>One <b>two</b> three<p>nested four</p></p><script>var x;</script><!-- c --><div>Long enough text of a div that is more than forty characters</div><div>short</div></article></body></html>"""
+    assert candidates(page) == ["Onetwothreenested four", "nested four", "Long enough text of a div that is more than forty characters"]
+    assert candidates('<main><p>a</p><p>b</p><p>c</p><div>' + "x" * 50 + "</div></main><p>outside</p>") == ["a", "b", "c"]
+    assert candidates("") == [] and candidates("<p>x<br>y</p><p class='AD ad'>no</p><footer><p>f</footer>") == ["xy"]
+    twice = "word " * 12
+    assert candidates(f"<body><section><span>{twice}</span></section></body>") == [twice.strip()]  # the span's text lies in the section's
+
+
+def test_clean_body_of_pages(spark):
+    from siftline.operators.pagebody import body_text
+
+    long, other = "A sentence that is long enough to stay. " * 3, "Quite another one, which nothing else repeats here. " * 3
+    rows = [(1, "u", f"<article><p>{long}</p><p>{long}x</p><p>{other}</p><p>too short</p><p>Please subscribe to the copyright newsletter</p></article>"), (2, "v", None), (3, None, "")]
+    got = {r.page_id: (r.text, r.n_paragraphs) for r in body_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (f"{long.strip()} {other.strip()}", 2), 2: ("", 0), 3: ("", 0)}
+
+
+def test_files_are_cut_once(spark, tmp_path):
+    from siftline.sources import collections
+
+    folder, cache = tmp_path / "in", str(tmp_path / "cache")
+    folder.mkdir()
+    for name, text in (("a.txt", "x" * 600), ("b.txt", "x" * 600), ("c.txt", "short text")):
+        (folder / name).write_text(text)
+    (folder / "d.txt").write_bytes(b"\xff\xfe")
+    cuts = []
+
+    def cut(docs):
+        cuts.append(docs.count())
+        return clean.strided(docs)
+
+    rows = collections.files(spark, str(folder))
+    assert rows.where("text is null").count() == 1
+    first = collections.ingested(spark, cache, rows, cut)
+    assert first.groupBy("key").count().count() == 2 and first.count() == 3
+    (folder / "e.txt").write_text("new text")
+    again = collections.ingested(spark, cache, collections.files(spark, str(folder)), cut)
+    assert again.count() == 4 and cuts == [2, 1]
+
+
+def test_collections_prompts_and_models(spark, tmp_path):
+    from hashlib import md5
+
+    from siftline.sources import collections
+
+    chunks = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd"), (2, 0, "x")], "collection long, ord long, text string")
+    assert {r.collection: r.name for r in collections.content_name(chunks).collect()} == {k: "pdf-" + md5(t).hexdigest()[:16] for k, t in ((1, b"abcd"), (2, b"x"))}
+    embed = lambda df: df.withColumn("embedding", collections.hashed_embedding(F.col("text"), 8))
+    made, why = collections.collected(spark, str(tmp_path), "pdf-1", chunks, embed)
+    assert made.count() == 3 and why == "" and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in made.collect())
+    assert collections.collected(spark, str(tmp_path), "pdf-1", chunks.limit(0), embed)[0].count() == 3  # made once
+    assert collections.collected(spark, str(tmp_path), "pdf-2", chunks)[1] and collections.collected(spark, str(tmp_path), "pdf-3", chunks, lambda df: df.select("nothing"))[1]
+    (tmp_path / "p.txt").write_text("== system ==\nSay {what}.\n\n== other ==\nplain {}\n")
+    assert collections.prompt(str(tmp_path), "system", what="it") == "Say it." and collections.prompt(str(tmp_path), "other", "p.txt") == "plain {}"
+    with pytest.raises(KeyError):
+        collections.prompt(str(tmp_path), "none")
+    with pytest.raises(FileNotFoundError):
+        collections.prompt(str(tmp_path), "system", "q.txt")
+    collections.register_model("Local", lambda p: F.upper(p))
+    assert one(spark, collections.model("cloud", "local")(F.col("t")), t="hi") == "HI"
+    with pytest.raises(ValueError):
+        collections.model("cloud")
+
+
+def test_occurrences_and_overlaps_on_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "aaaa ab"), (2, None), (3, ""), (4, "市场 AB b")], "doc_id long, text string")
+    needles = spark.createDataFrame([(1, "aa"), (2, "a"), (3, ""), (4, "aa"), (5, "zz")], "item_id long, key string")
+    got = {(r.item_id, r.doc_id): r.n for r in retrieve.occurrences(docs, needles).collect()}
+    assert got == {(1, 1): 2, (4, 1): 2, (2, 1): 5}
+    assert retrieve.occurrences(docs, needles.limit(0)).count() == 0 == retrieve.occurrences(docs.limit(0), needles).count()
+    queries = spark.createDataFrame([(1, "市 ab"), (2, "..."), (3, None), (4, "ab aaaa")], "item_id long, text string")
+    got = {(r.item_id, r.doc_id): r.score for r in retrieve.overlapping(docs, queries, 0.2).collect()}
+    assert got == {(1, 1): round(0.3 / 1.001, 6), (1, 4): round(0.7 / 1.001 + 0.3 / 1.001, 6), (4, 1): round(0.6 / 2.001, 6)}
+    assert retrieve.overlapping(docs, queries.limit(0), 0.2).count() == 0
+
+
+def test_scores_of_many_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 7}x common y{k % 3}z " * (k % 4 + 1)) for k in range(60)] + [(99, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(k, f"w{k}x common y1z") for k in range(9)], "item_id long, text string")
+    want = sorted(map(tuple, retrieve.bm25_topk(docs, queries, 5).collect()))
+    plain = retrieve.top(retrieve.bm25(docs, queries), "item_id", [F.desc("score"), F.asc("doc_id")], 5)
+    assert sorted((r.item_id, r.doc_id, r.score, r.rank) for r in plain.collect()) == sorted((r[0], r[1], r[2], r[3]) for r in want)
+    monkeypatch.setattr(retrieve, "QUERY_TERMS", 2)
+    assert sorted(map(tuple, retrieve.bm25_topk(docs, queries, 5).collect())) == want
+    assert retrieve.bm25_topk(docs.limit(0), queries).count() == 0 == retrieve.bm25_topk(docs, queries.limit(0)).count()
+
+
+def test_supported_numbers_against_plain_search(spark):
+    import random
+    import re
+
+    rng = random.Random(6)
+    pieces = ["1,234", "234", "12万", "12", "5.5", "5", "99", "1,000,000", "000", "7亿"]
+    numbers = [(k, rng.choice(pieces + ["8,765", "3.25", "4,321,000万"])) for k in range(40)]
+    texts = [(k, " x ".join(rng.choice(pieces) for _ in range(rng.randint(0, 3)))) for k in range(12)] + [(50, None), (51, "9" * 700 + "12万")]
+    got = {r.number: (r.exact_in, r.confidence) for r in evidence.supported(spark.createDataFrame(numbers, "id long, number string"), spark.createDataFrame(texts, "ord long, text string")).collect()}
+    for number in {n for _, n in numbers}:
+        exact = min((o for o, t in texts if t and number in t), default=None)
+        runs = re.findall(r"\d+\.?\d*", number)
+        share = max((sum(r in t for r in runs) / len(runs) for _, t in texts if t), default=0)
+        assert got[number] == (exact, round(1.0 if exact is not None else share, 4)), number
+
+
+def test_rounds_of_searching_end(spark):
+    from siftline.operators import workflow
+
+    tasks = spark.createDataFrame([(1, "auto"), (2, "disabled"), (3, "auto"), (4, "enabled")], "task_id long, mode string")
+    subs = spark.createDataFrame([(t, p, f"sub topic {p} of {t}") for t in (1, 2, 3, 4) for p in range(3)], "task_id long, pos int, sub_query string")
+    materials = spark.createDataFrame([(1, 0, "one", "http://a/0"), (3, 0, "x", "http://b/0"), (3, 1, "y", "http://b/1")], "task_id long, ord long, text string, url string")
+    calls = []
+
+    def search(asked):
+        calls.append(sorted((r.task_id, r.query) for r in asked.collect()))
+        hits = F.array(*(F.struct(F.lit(p).alias("pos"), F.lit(u).alias("url"), F.concat("query", F.lit(f" hit {p}")).alias("content")) for p, u in enumerate(("http://a/0", "http://spam/1", "http://c/2", "http://c/3"))))
+        return asked.dropDuplicates(["task_id"]).select("task_id", F.inline(hits)).where("task_id <> 4")
+
+    got = workflow.searched_again(tasks, subs, materials, search, ["a"], ["spam"])
+    rows = sorted((r.task_id, r.ord, r.url) for r in got.collect())
+    assert rows == [(1, 0, "http://a/0"), (1, 1, "http://c/2"), (3, 0, "http://b/0"), (3, 1, "http://b/1")]
+    assert calls[0] == [(t, f"sub topic {p} of {t}") for t in (1, 4) for p in (0, 1)]  # the first two missing topics
+    assert [c[0][0] for c in calls] == [1, 4]  # then the task that has found nothing, and no third round

@@ -17,18 +17,6 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-#: All pairs: too slow in DuckDB for more than the smallest tables.
-PAIRS = """WITH d AS (SELECT text, min(doc_id) AS id FROM documents WHERE length(text) >= 5 GROUP BY text),
-  g AS (SELECT id, list_distinct(list_transform(generate_series(1, length(text) - 4), lambda i: substring(text, i, 5))) AS own FROM d),
-  p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.own, b.own)) / greatest(len(a.own), len(b.own)) AS o FROM g a JOIN g b ON a.id < b.id AND least(len(a.own), len(b.own)) >= 0.85 * greatest(len(a.own), len(b.own)))
-SELECT a, b, round(o, 6) AS overlap FROM p WHERE round(o, 6) >= 0.85
-UNION ALL SELECT d.id, e.doc_id, 1.0 FROM documents e JOIN d USING (text) WHERE e.doc_id <> d.id"""
-
-
-def test_overlap_pairs_against_all_pairs(spark):
-    assert not compare(spark, QUERIES["ngram_overlap_pairs"], PAIRS, SF)
-
-
 def test_report_chunks_keep_what_the_reference_keeps(spark):
     sf = "/root/testdata/sf0.01"
     parts = {}
