@@ -25,6 +25,8 @@ from .shared import numbered, scratch
 SEEDS = (20_011, 70_001)
 #: Stands for a null doc_id in the order.
 LAST = (1 << 63) - 1
+#: Parts of a bucket, so that no task meets all copies of one text.
+SALTS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -101,8 +103,9 @@ def order(first: DataFrame) -> DataFrame:
     """For each key: the next key with its hash and content, half the key's
     longest text, whether the next key has several rows, and whether the key's hash is
     in a bucket with others."""
-    bucket = first.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1").select("hash")
-    shared = first.join(bucket, "hash", "left_semi").select("k").distinct().withColumn("shared", F.lit(True))
+    bucket = first.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1").select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = first.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
+    shared = salted.join(bucket, ["hash", "salt"], "left_semi").select("k").distinct().withColumn("shared", F.lit(True))
     keys = first.groupBy("k").agg(F.max("n").alias("n"), F.min(F.struct("hash", "content")).alias("own"), (F.count("*") > 1).alias("several")).select("k", F.floor(F.col("n") / 2).cast("int").alias("half"), "own", "several")
     at = scratch(numbered(keys, ["k"]), "numbered")
     total = at.agg(F.count("*").alias("total"))
