@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import grams, overlap
 
+#: Counters of how many texts have a gram (16 MB).
+COUNTERS = 1 << 22
+
 
 def keep_first(texts: Column, most: float = 0.85, n: int = 5) -> Column:
     """The texts of an array that overlap no kept text before them by more than
@@ -21,24 +29,97 @@ def keep_first(texts: Column, most: float = 0.85, n: int = 5) -> Column:
     return F.aggregate(items, start, step, lambda acc: F.transform(acc, lambda x: x["text"]))
 
 
+def kept(texts: list[str], most: float = 0.85, n: int = 5) -> list[str]:
+    """``keep_first`` over a list."""
+    out: list[tuple[str, set[str]]] = []
+    for text in texts:
+        own = {text[i : i + n] for i in range(len(text) - n + 1)}
+        if not any(own and x and len(own & x) > most * max(len(own), len(x)) for _, x in out):
+            out.append((text, own))
+    return [t for t, _ in out]
+
+
+def gram_hashes(text: str, n: int) -> np.ndarray:
+    """The distinct hashes of a text's character n-grams."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(x) < n:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(x) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h ^ x[k : len(h) + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
 def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFrame:
     """(a, b, overlap) of texts (id, text) whose shared n-grams reach ``least`` of
     the larger set; equal texts are linked to their smallest id only.
 
-    Prefix filtering: ordered by rarity, two sets that share so much must share one
-    of the first size - ceil(least * size) + 1 elements of each, so only those are
-    joined, which keeps common n-grams out of the join."""
-    distinct = texts.where("text is not null").groupBy("text").agg(F.min("id").alias("id"))
-    sets = distinct.select("id", grams(F.col("text"), n).alias("own")).where("size(own) > 0")
-    each = sets.select("id", F.explode("own").alias("g"))
-    counts = each.groupBy("g").agg(F.count("*").alias("n"))
-    ordered = each.join(counts, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("own"))
-    size = F.size("own")
-    head = F.slice("own", F.lit(1), size - F.ceil(F.lit(least) * size).cast("int") + 1)
-    keys = ordered.select("id", size.alias("size"), F.explode(head).alias("x")).select("id", "size", F.col("x.g").alias("g")).join(counts.where("n > 1"), "g", "left_semi")
-    a, b = keys.select("g", F.col("id").alias("a"), F.col("size").alias("m")), keys.select("g", F.col("id").alias("b"), F.col("size").alias("k"))
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("m", "k") >= least * F.greatest("m", "k"))).select("a", "b").distinct()
-    full = lambda c, o: sets.select(F.col("id").alias(c), F.col("own").alias(o))
-    near = pairs.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", F.round(overlap(F.col("x"), F.col("y")), 6).alias("overlap")).where(F.col("overlap") >= least)
+    Prefix filtering: in any one order of all grams, two sets that share so much must
+    share one of the first size - ceil(least * size) + 1 elements of each. The order
+    is by rarity, from counters that grams share by their hashes, so that common ones
+    come last and stay out of the join; a gram whose counter is 1 is in no other text.
+    Only those first elements are shuffled. Candidates are confirmed on all of their
+    grams' 64-bit hashes."""
+    spark = texts.sparkSession
+    distinct = texts.where("text is not null").groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
+    kind = texts.schema["id"].dataType.simpleString()
+    slot = lambda h: (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                np.add.at(total, slot(gram_hashes(text, n)), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["slot", "n"])
+
+    rows = distinct.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counters)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, places, keys = [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                own = gram_hashes(text, n)
+                if not len(own):
+                    continue
+                often = shared.value[slot(own)]
+                take = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                head = np.lexsort((own, often))[:take]
+                place = np.flatnonzero(often[head] > 1)
+                head = head[place]
+                ids.append(np.full(len(head), k))
+                sizes.append(np.full(len(head), len(own)))
+                places.append(place)
+                keys.append(own[head])
+            at, size, place, key = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((ids, np.int64), (sizes, np.int64), (places, np.int64), (keys, np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(size), pa.array(size - place), pa.array(key.view(np.int64))], names=["id", "size", "left", "g"])
+
+    # sets of sizes that differ by more than the threshold fall into classes two apart
+    keys = distinct.mapInArrow(first, f"id {kind}, size long, left long, g long").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / -math.log(least)).cast("int"))
+    a = keys.select("g", "class", F.col("id").alias("a"), F.col("size").alias("m"), F.col("left").alias("m_left"))
+    b = keys.select("g", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("id").alias("b"), F.col("size").alias("k"), F.col("left").alias("k_left"))
+    # what is left from the shared gram on must be enough; one in a million for hashes
+    # that fall together and so make a set look smaller
+    enough = (least - 1e-6) * F.greatest("m", "k")
+    pairs = a.join(b, ["g", "class"]).where((F.col("a") < F.col("b")) & (F.least("m", "k", "m_left", "k_left") >= enough)).select("a", "b").distinct()
+    side = lambda c: distinct.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            found = np.zeros(batch.num_rows)
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if last[0] != x:
+                    last = (x, gram_hashes(x, n))
+                own, other = last[1], gram_hashes(y, n)
+                found[k] = (len(own) + len(other) - len(np.union1d(own, other))) / max(len(own), len(other))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["a", "b", "overlap"])
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    near = both.mapInArrow(confirmed, f"a {kind}, b {kind}, overlap double").select("a", "b", F.round("overlap", 6).alias("overlap")).where(F.col("overlap") >= least)
     same = texts.where(F.length("text") >= n).join(distinct.withColumnRenamed("id", "first"), "text").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("overlap"))
     return near.union(same)

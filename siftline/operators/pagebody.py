@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import is_advert
-from siftline.operators.dedup import keep_first
+from siftline.functions.fixed import ADVERT_WORDS
+from siftline.operators.dedup import kept
 
 # Elements that are removed, by name; by class names, where marked only
 # of div; and by parts of a div's class or id.
@@ -116,13 +116,21 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", F.posexplode("texts").alias("para_no", "text"))
 
 
+def advert(text: str) -> bool:
+    low = text.strip().lower()
+    return len(low) >= 5 and any(w.lower() in low for w in ADVERT_WORDS)
+
+
 def body_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_paragraphs): the paragraphs that are long enough, no
     adverts, and no near copies of those before them, as one line; pages without any
     have an empty text."""
-    good = paragraphs(pages).where((F.length("text") >= SHORTEST) & ~is_advert(F.col("text")))
-    lists = good.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("para_no", "text")))["text"].alias("texts"))
-    kept = lists.select("page_id", keep_first(F.col("texts")).alias("texts"))
-    line = F.trim(F.regexp_replace(F.array_join("texts", "\n\n"), r"(?U)\s+", " "))
-    out = pages.select("page_id", "url").join(kept, "page_id", "left")
-    return out.select("page_id", "url", F.coalesce(line, F.lit("")).alias("text"), F.coalesce(F.size("texts"), F.lit(0)).cast("long").alias("n_paragraphs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [kept([t for t in candidates(h or "") if len(t) >= SHORTEST and not advert(t)]) for h in batch.column(2).to_pylist()]
+            lines = [" ".join(" ".join(f).split()) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.string()), pa.array([len(f) for f in found], pa.int64())], names=["page_id", "url", "text", "n_paragraphs"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_paragraphs long")
