@@ -56,7 +56,8 @@ def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFram
     the larger set; equal texts are linked to their smallest id only.
 
     Prefix filtering: in any one order of all grams, two sets that share so much must
-    share one of the first size - ceil(least * size) + 1 elements of each. The order
+    share x of the first size - ceil(least * size) + x elements of each; x is a
+    fortieth of the smaller set and one more. The order
     is by rarity, from counters that grams share by their hashes, so that common ones
     come last and stay out of the join; a gram whose counter is 1 is in no other text.
     Only those first elements are shuffled. Candidates are confirmed on all of their
@@ -87,7 +88,7 @@ def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFram
                 if not len(own):
                     continue
                 often = shared.value[slot(own)]
-                take = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+                take = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 + len(own) // 40
                 head = np.lexsort((own, often))[:take]
                 place = np.flatnonzero(often[head] > 1)
                 head = head[place]
@@ -100,12 +101,14 @@ def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFram
 
     # sets of sizes that differ by more than the threshold fall into classes two apart
     keys = distinct.mapInArrow(first, f"id {kind}, size long, left long, g long").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / -math.log(least)).cast("int"))
-    a = keys.select("g", "class", F.col("id").alias("a"), F.col("size").alias("m"), F.col("left").alias("m_left"))
-    b = keys.select("g", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("id").alias("b"), F.col("size").alias("k"), F.col("left").alias("k_left"))
-    # what is left from the shared gram on must be enough; one in a million for hashes
-    # that fall together and so make a set look smaller
-    enough = (least - 1e-6) * F.greatest("m", "k")
-    pairs = a.join(b, ["g", "class"]).where((F.col("a") < F.col("b")) & (F.least("m", "k", "m_left", "k_left") >= enough)).select("a", "b").distinct()
+    keys = keys.withColumn("need", F.floor(F.col("size") / 40) + 1)
+    a = keys.select("g", "class", F.col("need").alias("m_need"), F.col("id").alias("a"), F.col("size").alias("m"), F.col("left").alias("m_left"))
+    b = keys.select("g", F.col("need").alias("k_need"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("id").alias("b"), F.col("size").alias("k"), F.col("left").alias("k_left"))
+    # what is left from a shared gram on must be enough, with those that may come before
+    # it; one in a million for hashes that fall together and so make a set look smaller
+    enough, need = (least - 1e-6) * F.greatest("m", "k"), F.least("m_need", "k_need")
+    met = a.join(b, ["g", "class"]).where((F.col("a") < F.col("b")) & (F.least("m", "k") >= enough) & (F.least("m_left", "k_left") >= enough - need))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(need).alias("need")).where("n >= need").select("a", "b")
     side = lambda c: distinct.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
