@@ -12,6 +12,10 @@ or a copy; how it is shared tells which:
   On hosts of fewer pages a line is deleted if all such neighbours share it as part
   of what they share from the page's first line on or up to its last; beside one
   only if no markup calls it the article.
+* Sites have several templates. A differing neighbour that shares the page's first
+  lines, FRAME_LINES at least and at most a quarter of its text, has the same one:
+  those lines, and the last line if both share it, are deleted if markup sets them
+  apart or two such neighbours agree, but never where markup calls them the article.
 * If there is none, but three neighbours at least that share more: lines that all of
   them share are deleted if what remains is one stretch, so that a short article
   under a long template loses it. Copies with scattered changes lose nothing.
@@ -66,6 +70,8 @@ _GAP = re.compile(r"\s+")
 OPEN, INSIDE, APART = 0, 1, 2
 #: Neighbours on either side, and pages that a task compares with each other.
 NEAREST, BLOCK_PAGES = 4, 64
+#: Lines that two pages of one template begin with, at least.
+FRAME_LINES = 3
 #: Pairs of equal lines up to which a subsequence is found from the pairs.
 _PAIRS = 1 << 21
 
@@ -234,20 +240,35 @@ def deleted(sizes: list[int], kinds: list[int], shared: list[list[int]]) -> list
     """Lines to delete from a page, given those that it shares with each neighbour."""
     n, total = len(sizes), sum(sizes)
     other = [s for s in shared if 2 * sum(sizes[k] for k in s) < total]
+    same = Counter(k for s in other for k in _same_template(sizes, set(s)))
+    return sorted(_voted(sizes, kinds, shared, other) | {k for k, v in same.items() if kinds[k] == APART or (kinds[k] == OPEN and v > 1)})
+
+
+def _voted(sizes: list[int], kinds: list[int], shared: list[list[int]], other: list[list[int]]) -> set[int]:
+    n = len(sizes)
     asked = other if len(other) >= 4 else shared
     if len(other) >= 2 and len(asked) >= 4:
         votes = Counter(k for s in asked for k in s)
-        return sorted(k for k, v in votes.items() if 10 * v >= 9 * len(asked))
+        return {k for k, v in votes.items() if 10 * v >= 9 * len(asked)}
     if other:
         frames = [_frame(set(s), n) for s in other]
         found = set.intersection(*frames)
-        return sorted(k for k in found if len(other) > 1 or kinds[k] != INSIDE)
+        return {k for k in found if len(other) > 1 or kinds[k] != INSIDE}
     if len(shared) >= 3:
         found = set.intersection(*map(set, shared))
         own = [k for k in range(n) if k not in found]
         if own and own[-1] - own[0] + 1 == len(own):
-            return sorted(found)
-    return []
+            return found
+    return set()
+
+
+def _same_template(sizes: list[int], shared: set[int]) -> set[int]:
+    """The first lines, and the last, if the first say that both pages have one template."""
+    n = len(sizes)
+    first = next((k for k in range(n) if k not in shared), n)
+    if first < FRAME_LINES or 4 * sum(sizes[:first]) > sum(sizes):
+        return set()
+    return {*range(first), *({n - 1} & shared)}
 
 
 def _frame(shared: set[int], n: int) -> set[int]:

@@ -117,6 +117,27 @@ def test_what_neighbours_share(spark):
     assert got[46] == got[45]
 
 
+def test_neighbours_of_one_template_among_several():
+    own = [20, 20, 20, 30, 200, 200, 200, 40]
+    apart, plain, inside = ([kind] * 8 for kind in (pages.APART, pages.OPEN, pages.INSIDE))
+    lonely, same = [[0], [], [], []], [0, 1, 2, 3, 7]  # neighbours with other templates, and one with the same
+    assert pages.deleted(own, apart, lonely) == []
+    assert pages.deleted(own, apart, [*lonely, same]) == pages.deleted(own, plain, [*lonely, same, same]) == same
+    assert pages.deleted(own, plain, [*lonely, same]) == pages.deleted(own, inside, [*lonely, same, same]) == []
+    assert pages.deleted(own, plain, [*lonely, [0, 1, 2, 6, 7], [0, 1, 2, 6, 7]]) == [0, 1, 2, 7]  # a quote before the last line stays
+    assert pages.deleted(own, apart, [*lonely, [0, 1, 7]]) == []  # too few first lines
+    assert pages.deleted([300, 300, 300, 900, 900], apart, [*lonely, [0, 1, 2]]) == []  # and too much text
+
+
+def test_differencing_decides_on_fixture_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    lines = spark.createDataFrame([(r.page_id, r.url, *map(list, zip(*pages.lines(r.html)))) for r in rows], "row long, url string, texts array<string>, kinds array<int>")
+    gone = pages.gone_lines(lines).collect()
+    assert len(gone) > 100
+    kinds = {r.row: r.kinds for r in lines.collect()}
+    assert all(kinds[r.row][k] != pages.INSIDE for r in gone for k in r.gone)
+
+
 def test_pages_of_hostile_nesting_take_linear_time():
     import time
 
