@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from siftline.functions import fixed
 from siftline.functions.text import is_header_or_footer, normalised, replaced_characters, squeezed, stripped
 
-SENTENCE_END = r"[。！？」』\"'）］》】]$"
+# What ends a sentence.
+SENTENCE_ENDS = "。！？」』\"'）］》】]"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -34,10 +35,11 @@ def merged_lines(text: Column, twice: bool = False) -> Column:
             F.when(line == "", keep(F.lit(""), flushed))
             .when(is_header_or_footer(line), acc)
             .when(held == "", keep(line, out))
-            .when(held.rlike(SENTENCE_END), keep(line, F.array_append(out, held)))
+            .when(F.contains(F.lit(SENTENCE_ENDS), F.substring(held, -1, 1)), keep(line, F.array_append(out, held)))
             .otherwise(keep(joined, out))
         )
 
+    # a pattern would read all that is held for each line; its last character is enough
     end = F.aggregate(F.split(text, "\n"), empty, step, lambda acc: F.when(acc["held"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["held"])))
     return F.array_join(end, "\n")
 
