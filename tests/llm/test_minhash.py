@@ -113,3 +113,35 @@ def test_estimates_are_corrected_for_chance(spark):
     got = pairs.select(F.col("x.doc_id"), minhash.likeness(F.col("x.packed"), F.col("y.packed")).alias("j")).collect()
     errors = [r.j - want[r.doc_id] for r in got]
     assert abs(sum(errors) / len(errors)) < 0.02 and max(map(abs, errors)) < minhash.MARGIN
+
+
+def test_what_dense_groups_write_grows_with_their_documents(spark, monkeypatch):
+    """Near copies of one text, linked all over, in many partitions."""
+    rng = random.Random(9)
+    centre = [f"w{rng.randrange(5000)}" for _ in range(120)]
+
+    def copies(n):
+        rows = []
+        for d in range(n):
+            own = list(centre)
+            for _ in range(rng.randint(0, 9)):
+                own[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+            rows.append((d, " ".join(own)))
+        return spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+
+    written, plain = {}, minhash.scratch
+
+    def counted(df, name):
+        out = plain(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "scratch", counted)
+    seen = []
+    for n in (200, 800):
+        written.clear()
+        minhash.near_duplicates(copies(n), 2).count()
+        seen.append(dict(written))
+    few, many = seen
+    for name in ("pairs", "edges", "links", "clusters"):
+        assert many.get(name, 0) <= 6 * max(few.get(name, 0), 200), (name, seen)
