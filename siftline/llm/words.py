@@ -97,13 +97,13 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
         i = j
 
 
-def split(data: np.ndarray, at: np.ndarray) -> Words:
-    """The words of one slice."""
+def split(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """The words of one slice; ``space`` tells the bytes between words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none, data, at)
-    gap = SPACE[data]
+    gap = space[data]
     first = np.empty(n, bool)
     first[0] = True
     first[1:] = gap[:-1]
@@ -123,7 +123,7 @@ def split(data: np.ndarray, at: np.ndarray) -> Words:
     return Words(h, np.searchsorted(start, at), start, end, data, at)
 
 
-def words(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, Words]]:
+def words(texts: pa.Array, most: int = SLICE_BYTES, space: np.ndarray = SPACE) -> Iterator[tuple[int, Words]]:
     """(index of the first text, words) of each slice."""
     for i, data, at in slices(texts, most):
-        yield i, split(data, at)
+        yield i, split(data, at, space)
