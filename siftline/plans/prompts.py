@@ -25,13 +25,12 @@ CITED = """c AS (SELECT doc_id // 6 AS task_id, doc_id % 6 AS ord, text, CASE do
 
 
 def _conflicts(spark, sf_dir):
-    """Conflicts made from parts: three a task, for every other task."""
+    """Conflicts made from parts: six a task."""
     k = F.col("p_partkey")
-    rows = read(spark, sf_dir, "part").where("p_partkey % 6 < 3")
-    return rows.select(F.floor(k / 6).alias("task_id"), (k % 6).alias("ord"), F.col("p_brand").alias("topic"), F.when(k % 6 == 1, "consistent").otherwise("conflict").alias("status"), F.col("p_name").alias("pdf_statement"), F.col("p_type").alias("web_statement"), F.lit("r").alias("resolution"))
+    return read(spark, sf_dir, "part").select(F.floor(k / 6).alias("task_id"), (k % 6).alias("ord"), F.col("p_brand").alias("topic"), F.when(k % 6 == 1, "consistent").otherwise("conflict").alias("status"), F.col("p_name").alias("pdf_statement"), F.col("p_type").alias("web_statement"), F.lit("r").alias("resolution"))
 
 
-CONFLICTS = """k AS (SELECT p_partkey // 6 AS task_id, p_partkey % 6 AS ord, p_brand AS topic, p_partkey % 6 <> 1 AS conflict, p_name AS a, p_type AS b FROM part WHERE p_partkey % 6 < 3)"""
+CONFLICTS = """k AS (SELECT p_partkey // 6 AS task_id, p_partkey % 6 AS ord, p_brand AS topic, p_partkey % 6 <> 1 AS conflict, p_name AS a, p_type AS b FROM part)"""
 
 
 @query(f"""WITH {CITED}, {CONFLICTS}, h AS (SELECT task_id, '【信源冲突说明】以下素材中存在信息冲突：' || chr(10) || string_agg(CASE WHEN conflict THEN '🔴 冲突主题「' || topic || '」：' || chr(10) || '  📄【内部文档】' || a || chr(10) || '  🌐【公开网络】' || b || chr(10) || '  ⚖️ 处理：r' ELSE '🟢 一致主题「' || topic || '」：' || a END, chr(10) ORDER BY ord) || chr(10) || '---' AS head FROM k GROUP BY task_id)
@@ -55,14 +54,14 @@ def outline_text(spark, sf_dir):
     return parts.select(F.col("p_partkey").alias("id"), prompts.outline_text(F.concat(F.lit("["), F.to_json(section), F.lit(', {"level": 2, "title": "t"}]'))).alias("text"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN substring(html, 1, 50) ELSE '[' || 'p' || page_id || '](' || url || ')' || chr(10) || substring(html, 1, 50) END AS entry FROM pages""")
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN html ELSE '[' || 'p' || page_id || '](' || url || ')' || chr(10) || html END AS entry FROM pages""")
 def web_entries(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     title = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("p"), "page_id"))
-    return pages.select("page_id", prompts.web_entry(title, F.col("url"), F.substring("html", 1, 50)).alias("entry"))
+    return pages.select("page_id", prompts.web_entry(title, F.col("url"), F.col("html")).alias("entry"))
 
 
-@query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10), d AS (SELECT t.*, lang = 'en' AS inner_, '[' || source || ' - 页 ' || rank || '] ' || substring(text, 1, 100) AS x FROM t JOIN documents USING (doc_id)),
+@query(f"""WITH {BM25}, t AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank <= 10), d AS (SELECT t.*, lang = 'en' AS inner_, '[' || source || ' - 页 ' || rank || '] ' || text AS x FROM t JOIN documents USING (doc_id)),
   w AS (SELECT item_id, '【网络搜索结果】' || chr(10) || string_agg(x, chr(10) || chr(10) ORDER BY rank) AS a FROM d WHERE NOT inner_ GROUP BY 1), p AS (SELECT item_id, '【PDF 参考材料】' || chr(10) || string_agg(x, ' | ' ORDER BY rank) AS b FROM d WHERE inner_ GROUP BY 1)
 SELECT item_id AS task_id, concat_ws(chr(10) || chr(10), a, b) AS text FROM w FULL JOIN p USING (item_id)""")
 def merged_sections(spark, sf_dir):
@@ -70,7 +69,7 @@ def merged_sections(spark, sf_dir):
 
     docs, items = read(spark, sf_dir, "documents", "benchmark")
     hits = retrieve.bm25_topk(docs, items).join(docs.select("doc_id", "source", "lang", "text"), "doc_id")
-    return prompts.merged_sections(hits.select(F.col("item_id").alias("task_id"), F.col("rank").alias("ord"), F.when(F.col("lang") == "en", "pdf").otherwise("web").alias("origin"), prompts.tagged(F.col("source"), F.col("rank"), F.substring("text", 1, 100)).alias("text")))
+    return prompts.merged_sections(hits.select(F.col("item_id").alias("task_id"), F.col("rank").alias("ord"), F.when(F.col("lang") == "en", "pdf").otherwise("web").alias("origin"), prompts.tagged(F.col("source"), F.col("rank"), F.col("text")).alias("text")))
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'plain ' || o_orderkey WHEN 1 THEN 'c' || o_orderkey WHEN 2 THEN 'a b' || o_orderkey WHEN 3 THEN 't' || o_orderkey ELSE '{broken' END AS text FROM orders""")

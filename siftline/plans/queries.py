@@ -483,9 +483,9 @@ def fetch_pages(spark, sf_dir):
     return found.join(pages.select("url", "page_id"), "url", "left").select("url", "page_id", "fetch_status")
 
 
-@query("""SELECT page_id AS query_id, CAST(0 AS INTEGER) AS pos, url AS title, url, substring(html, 1, 300) AS content, substring(html, 1, 200) AS snippet, 'stub' AS source FROM pages""")
+@query("""SELECT page_id AS query_id, CAST(0 AS INTEGER) AS pos, url AS title, url, html AS content, substring(html, 1, 200) AS snippet, 'stub' AS source FROM pages""")
 def search_hits(spark, sf_dir):
-    hit = F.struct(F.col("url").alias("title"), F.col("url").alias("link"), F.substring("html", 1, 300).alias("snippet"))
+    hit = F.struct(F.col("url").alias("title"), F.col("url").alias("link"), F.col("html").alias("snippet"))
     return search.normalised_hits(read(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.to_json(F.struct(F.array(hit).alias("organic_results"))).alias("response")), "stub")
 
 

@@ -13,18 +13,18 @@ def _hits(spark, sf_dir):
     p, task = F.col("page_id"), F.floor(F.col("page_id") / 8)
     first = F.when(task % 2 == 0, 5).otherwise(3)
     url = F.when(p % 11 == 0, "").when(p % 13 == 0, F.concat(F.lit("http://spam-farm/"), p)).otherwise(F.col("url"))
-    return read(spark, sf_dir, "pages").select(task.alias("task_id"), F.when(p % 8 < first, 1).otherwise(2).alias("round"), F.when(p % 8 < first, p % 8).otherwise(p % 8 - first).alias("pos"), url.alias("url"), F.substring("html", 1, 900).alias("content"))
+    return read(spark, sf_dir, "pages").select(task.alias("task_id"), F.when(p % 8 < first, 1).otherwise(2).alias("round"), F.when(p % 8 < first, p % 8).otherwise(p % 8 - first).alias("pos"), url.alias("url"), F.col("html").alias("content"))
 
 
 def _chunks(spark, sf_dir):
-    """Pieces of pages, for urls of three quarters of them."""
-    piece = lambda i: F.struct(F.lit(i).alias("chunk_no"), F.substring("html", 500 * i + 1, 500).alias("text"))
-    rows = read(spark, sf_dir, "pages").where("page_id % 4 <> 3")
-    return rows.select("url", F.inline(F.array(*map(piece, range(3)))), F.when(F.col("page_id") % 2 == 0, "full_html").otherwise("cleaned").alias("fetch_status"))
+    """Every page in pieces of 500 characters."""
+    piece = lambda i: F.struct(i.alias("chunk_no"), F.substring(F.col("html"), 500 * i + 1, F.lit(500)).alias("text"))
+    last = F.floor(F.greatest(F.length("html") - 1, F.lit(0)) / 500).cast("int")
+    return read(spark, sf_dir, "pages").select("url", F.inline(F.transform(F.sequence(F.lit(0), last), piece)), F.when(F.col("page_id") % 2 == 0, "full_html").otherwise("cleaned").alias("fetch_status"))
 
 
 HITS = """h AS (SELECT page_id // 8 AS task_id, CASE WHEN page_id % 8 < (CASE WHEN page_id // 8 % 2 = 0 THEN 5 ELSE 3 END) THEN 1 ELSE 2 END AS round, page_id % 8 AS p8,
-    CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 13 = 0 THEN 'http://spam-farm/' || page_id ELSE url END AS url, substring(html, 1, 900) AS content FROM pages),
+    CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 13 = 0 THEN 'http://spam-farm/' || page_id ELSE url END AS url, html AS content FROM pages),
   n AS (SELECT task_id, count(*) FILTER (round = 1) AS first FROM h GROUP BY 1),
   s AS (SELECT h.*, CASE WHEN round = 1 THEN p8 ELSE p8 - (CASE WHEN task_id % 2 = 0 THEN 5 ELSE 3 END) END AS pos FROM h JOIN n USING (task_id) WHERE round = 1 OR first < 5),
   f AS (SELECT task_id, CAST(round AS INTEGER) AS search_round, pos AS source_index, url AS source_url, substring(content, 1, 800) AS text, substring(content, 1, 200) AS source_snippet,
@@ -41,7 +41,7 @@ def web_results(spark, sf_dir):
     return _results(spark, sf_dir)
 
 
-PAGES = """c AS (SELECT url AS source_url, unnest([0, 1, 2]) AS i, html, CASE WHEN page_id % 2 = 0 THEN 'full_html' ELSE 'cleaned' END AS st FROM pages WHERE page_id % 4 <> 3),
+PAGES = """c AS (SELECT url AS source_url, unnest(range(0, greatest(length(html) - 1, 0) // 500 + 1)) AS i, html, CASE WHEN page_id % 2 = 0 THEN 'full_html' ELSE 'cleaned' END AS st FROM pages),
   k AS (SELECT task_id, source_url, count(*) AS times FROM r WHERE place <= 5 AND source_url <> '' GROUP BY ALL),
   o AS (SELECT task_id, source_url, times, list({'i': i, 't': substring(html, 500 * i + 1, 500), 's': st} ORDER BY i, substring(html, 500 * i + 1, 500), st) AS l FROM k JOIN c USING (source_url) GROUP BY ALL),
   g AS (SELECT task_id, source_url, l[1].s AS st, len(l) * times AS n_chunks, array_to_string(flatten(list_transform(generate_series(1, times), lambda x: list_transform(l, lambda y: y.t))), chr(10) || chr(10)) AS full_text FROM o),
@@ -59,12 +59,11 @@ def web_fetch_counts(spark, sf_dir):
     return web.fetch_counts(web_results_with_pages(spark, sf_dir))
 
 
-@query(f"WITH {HITS}, d AS (SELECT task_id, url FROM h WHERE p8 < 4 AND url <> '') SELECT task_id, CAST(round AS INTEGER) AS round, url, content FROM h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.task_id = h.task_id AND d.url = h.url)")
+@query(f"WITH {HITS}, d AS (SELECT task_id, url FROM h WHERE round = 1 AND url <> '') SELECT task_id, CAST(round AS INTEGER) AS round, url, content FROM h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.task_id = h.task_id AND d.url = h.url)")
 def web_unseen(spark, sf_dir):
-    """The hits of a second search that the first half of a task's pages doesn't have."""
+    """The hits of all rounds whose url the task's first round doesn't have."""
     hits = _hits(spark, sf_dir)
-    known = read(spark, sf_dir, "pages").where("page_id % 8 < 4").select(F.floor(F.col("page_id") / 8).alias("task_id"), F.when(F.col("page_id") % 11 == 0, "").when(F.col("page_id") % 13 == 0, F.concat(F.lit("http://spam-farm/"), "page_id")).otherwise(F.col("url")).alias("url"))
-    return web.unseen(hits, known).select("task_id", "round", "url", "content")
+    return web.unseen(hits, hits.where("round = 1")).select("task_id", "round", "url", "content")
 
 
 @query("""WITH k AS (SELECT o_orderkey AS k FROM orders) SELECT k AS id, k % 4 NOT IN (1, 3) AND k % 3 < 2 AND k % 5 < 2 AND k % 7 > 0 AS again FROM k""")
@@ -74,9 +73,10 @@ def second_search(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(k.alias("id"), web.second_search(k % 5, k % 3, mode, k % 7).alias("again"))
 
 
-@query("""SELECT page_id, CASE WHEN length(html) % 3 = 0 THEN 'fallback' ELSE 'full_html' END AS fetch_status, substring(html, 1, CASE WHEN length(html) % 3 = 0 THEN 60 ELSE 200 END) AS text FROM pages""")
+@query("""WITH p AS (SELECT page_id, html, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS head FROM pages)
+SELECT page_id, CASE WHEN length(head) >= 50 THEN 'full_html' WHEN length(html) > 50 THEN 'fallback' END AS fetch_status, CASE WHEN length(head) >= 50 THEN head WHEN length(html) > 50 THEN html END AS text FROM p""")
 def snippet_fallback(spark, sf_dir):
-    """Pages of which a third gave too little text, with a snippet instead."""
+    """The first heading of a page, or the page itself where that is too short."""
     pages = read(spark, sf_dir, "pages")
-    text = F.when(F.length("html") % 3 == 0, F.substring("html", 1, 40)).otherwise(F.substring("html", 1, 200))
-    return pages.select("page_id", web.snippet_or_page(text, F.substring("html", 1, 60)).alias("s")).select("page_id", "s.fetch_status", "s.text")
+    text = F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)
+    return pages.select("page_id", web.snippet_or_page(text, F.col("html")).alias("s")).select("page_id", "s.fetch_status", "s.text")
