@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.operators import vectorindex
-from siftline.plans.queries import NEAR, query, read
+from siftline.operators import bm25index, vectorindex
+from siftline.plans.queries import BM25, NEAR, RANKED, query, read
 from siftline.sources import tables
 
 
@@ -21,3 +21,18 @@ def vector_index_topk(spark, sf_dir):
         return tables.written(found.select("query_id", "vec_id", F.round("dist", 5).alias("dist"), F.round("cosine", 5).alias("cosine"), "rank"), "hits")
     finally:
         tables.delete(spark, path)
+
+
+@query(f"WITH {BM25} SELECT item_id, doc_id, score, rank FROM (SELECT *, CAST({RANKED} AS INTEGER) AS rank FROM bm) WHERE rank <= 10")
+def bm25_index_topk(spark, sf_dir):
+    """The search of a stored index of all documents, which was made of the English
+    ones and has taken the others since."""
+    docs, items = read(spark, sf_dir, "documents", "benchmark")
+    path = tables.new_folder(spark, "postings")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    try:
+        bm25index.add(docs.where(english), path)
+        bm25index.add(docs.where(~english), path)
+        return tables.written(bm25index.search(path, items), "hits")
+    finally:
+        tables.delete(spark, path)

@@ -1,10 +1,12 @@
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import retrieve, vectorindex
+from siftline.operators import bm25index, retrieve, vectorindex
 from siftline.plans.registered import QUERIES, SQL
 from siftline.sources import tables
 
@@ -67,6 +69,58 @@ def test_added_vectors_and_odd_rows(spark):
     assert vectorindex.search(spark, empty, asked).collect() == []
 
 
-@pytest.mark.parametrize("name", ["vector_index_topk"])
+def test_blocks_pack_and_unpack():
+    rng = np.random.default_rng(8)
+    doc = rng.integers(0, 900, 20_000)
+    term = np.minimum(rng.geometric(0.02, 20_000), 300)
+    length = np.bincount(doc, minlength=1000)
+    own = bm25index.blocks("s", pa.array([f"t{i}" for i in range(301)]), doc, term, length).to_pylist()
+    want = {}
+    for t, d in zip(term.tolist(), doc.tolist()):
+        want[f"t{t}", d] = want.get((f"t{t}", d), 0) + 1
+    shard = bm25index.Shard(length.astype(float), 20.0)
+    for r in own:
+        shard.terms.setdefault(r["term"], []).append(tuple(r[c] for c in ("n", "first", "last", "max_tf", "min_dl", "gap_bits", "tf_bits", "data")))
+    got = {}
+    for t, rows in shard.terms.items():
+        for k, b in enumerate(rows):
+            docs, part = shard.block(t, k)
+            assert len(docs) == b[0] <= bm25index.BLOCK and docs[0] == b[1] and docs[-1] == b[2] and b[4] == length[docs].min()
+            tf = np.round(part * shard.norm[docs] / (2.5 - part)).astype(int)  # from its part of the score
+            assert tf.max() == b[3]
+            got |= {(t, d): n for d, n in zip(docs.tolist(), tf.tolist())}
+    assert got == want
+    assert sum(len(r["data"]) for r in own) < 3 * len(want)
+
+
+def test_bm25_index_skips_blocks_and_takes_new_documents(spark, monkeypatch):
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(30)]
+    text = lambda i: " ".join(rng.choices(common, k=rng.randint(3, 60)) + (["rare"] * rng.randint(1, 9) if i % 1000 < 20 else []))
+    docs = [(i * 3 % 7001, text(i)) for i in range(7000)] + [(9000, None), (9001, ""), (None, "rare c1"), (5, "rare rare c2")]
+    items = [(1, "rare c1 c2"), (2, "c3 c3 c4 nowhere"), (3, "nowhere"), (4, None), (5, "rare c0 c1 c2 c3 c4 c5 c6 c7")]
+    schema = "doc_id long, text string, rank int"
+    frame = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], schema).coalesce(2)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(bm25index, "SHARD_DOCS", 1500)
+    path = tables.new_folder(spark, "postings")
+    bm25index.add(frame(docs[:4000]), path)
+    bm25index.add(frame(docs[4000:]), path)
+    rows = lambda df: sorted((r.item_id, r["rank"], r.score, str(r.doc_id)) for r in df.collect())
+    known = lambda df: df.where("doc_id is not null")
+    assert rows(known(bm25index.search(path, asked, 10))) == rows(retrieve.bm25_topk(frame(docs).where("doc_id is not null or text is not null").fillna(10**9, ["doc_id"]), asked, 10))
+    seen = bm25index.search(path, asked.where("item_id = 1"), 10, report=True).agg(F.sum("blocks"), F.sum("opened")).first()
+    assert 0 < seen[1] < 0.6 * seen[0]
+    tables.delete(spark, path)
+
+
+def test_an_empty_bm25_index(spark):
+    path = tables.new_folder(spark, "postings")
+    bm25index.add(spark.createDataFrame([(1, None)], "doc_id long, text string"), path)
+    assert bm25index.search(path, spark.createDataFrame([(1, "a b"), (2, "word")], "item_id long, text string")).collect() == []
+    assert bm25index.search(path, spark.createDataFrame([(1, None)], "item_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["vector_index_topk", "bm25_index_topk"])
 def test_against_sql_at_a_larger_size(spark, name):
     assert not compare(spark, QUERIES[name], SQL[name], SF)
