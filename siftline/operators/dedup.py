@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import grams, overlap
+from siftline.sources import tables
 
 #: Counters of how many texts have a gram (16 MB).
 COUNTERS = 1 << 22
@@ -51,6 +52,128 @@ def gram_hashes(text: str, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _counters(distinct: DataFrame, n: int) -> np.ndarray:
+    """How many texts have the grams of each counter."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int32)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                np.add.at(total, _slot(gram_hashes(text, n)), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["slot", "n"])
+
+    rows = distinct.select("id", "text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return counters
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _shared_grams(a: np.ndarray, b: np.ndarray) -> int:
+    return len(a) + len(b) - len(np.union1d(a, b))
+
+
+def first_kept(texts: DataFrame, most: float = 0.85, n: int = 5, first: int = 8) -> DataFrame:
+    """(id, kept) of texts (id, text) of a whole table: what ``keep_first`` keeps of
+    them in the order of their ids, where a text falls that overlaps a kept one before
+    it by more than ``most``. Ids are long, not null and differ; null texts and those of fewer than n
+    characters are always kept, as they overlap nothing.
+
+    The fold over the order gives the first maximal independent set of the overlap
+    graph, which rounds give as well. Texts that can be near share one of the first
+    grams by rarity of each (see ``overlap_links``). In a round every undecided text is
+    compared with the ``first`` smallest undecided ones of each of its grams. A text
+    all of whose smaller partners are among those is decided when they are: it falls with
+    a kept neighbour, else it is kept, and its own neighbours fall at once, however many
+    share its grams. The rows of a round are ``first`` times those of its grams; the
+    number doubles from round to round, so that the rounds grow with the logarithm of
+    the largest group of texts that share a gram and aren't alike. Equal texts are
+    settled before any comparison."""
+    if not 0 < most < 1:
+        raise ValueError("most must be between 0 and 1")
+    spark = texts.sparkSession
+    same = texts.where(F.length("text") >= n).groupBy("text").agg(F.min("id").alias("id"))
+    distinct = tables.written(same.select("id", "text"), "texts")
+    counters = spark.sparkContext.broadcast(_counters(distinct, n))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, grams_ = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                own = gram_hashes(text, n)
+                often = counters.value[_slot(own)]
+                # of more than `most` of the larger set, one of these is shared
+                head = np.lexsort((own, often))[: len(own) - int(np.floor(most * len(own) - 1e-9))]
+                head = head[often[head] > 1]
+                ids.append(np.full(len(head), k))
+                sizes.append(np.full(len(head), len(own)))
+                grams_.append(own[head])
+            at, size, key = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((ids, np.int64), (sizes, np.int64), (grams_, np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(size), pa.array(key.view(np.int64))], names=["id", "size", "g"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if last[0] != x:
+                    last = (x, gram_hashes(x, n))
+                other = gram_hashes(y, n)
+                ok[k] = _shared_grams(last[1], other) > most * max(len(last[1]), len(other))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+    left = tables.written(distinct.mapInArrow(keys, "id long, size long, g long"), "grams")
+    gone: list[DataFrame] = []
+    held = [distinct.path, left.path]
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy("g").orderBy("id"))
+        heads = left.withColumn("place", place).where(F.col("place") <= first)  # a limit by group, before the shuffle too
+        heads = tables.written(heads, "heads")
+        smaller = heads.select("g", F.col("id").alias("a"), F.col("size").alias("m"))
+        met = left.join(smaller, "g").where((F.col("a") < F.col("id")) & (F.least("m", "size") > (most - 1e-6) * F.greatest("m", "size"))).select("a", F.col("id").alias("b")).distinct()
+        side = lambda c: distinct.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+        edges = tables.written(met.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(near, "a long, b long"), "edges")
+        # texts beyond the first ones of a gram wait, unless they fall
+        waiting = left.join(heads.select("g", "id"), ["g", "id"], "left_anti").select("id").distinct()
+        waiting = tables.written(waiting, "waiting")
+        fallen, held_edges = None, edges
+        while True:  # decide along the edges of this round
+            open_ = held_edges.select(F.col("b").alias("id")).union(waiting).distinct()
+            kept_now = held_edges.select(F.col("a").alias("id")).distinct().join(open_, "id", "left_anti")
+            falls = tables.written(held_edges.join(kept_now, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct(), "falls")
+            if falls.isEmpty():
+                tables.delete(spark, falls.path)
+                break
+            held.append(falls.path)
+            fallen = falls if fallen is None else fallen.union(falls)
+            rest = held_edges.join(falls, F.col("a") == F.col("id"), "left_anti").join(falls, F.col("b") == F.col("id"), "left_anti")
+            after = tables.written(rest, "edges")
+            if held_edges is not edges:
+                tables.delete(spark, held_edges.path)
+            held_edges = after
+        # decided: what fell, and what nothing undecided stands before
+        undecided = held_edges.select(F.col("b").alias("id")).union(waiting).distinct()
+        if fallen is not None:
+            gone.append(fallen)
+            undecided = undecided.join(fallen, "id", "left_anti")
+        after = tables.written(left.join(undecided, "id", "left_semi"), "grams")
+        # a text that waits was compared with the first ones only: those that are left come again
+        tables.delete(spark, *{left.path, heads.path, waiting.path, edges.path, held_edges.path})
+        held.remove(left.path)
+        held.append(after.path)
+        left, first = after, 2 * first
+    out = texts.join(same.select("text", F.col("id").alias("head")), "text", "left").select("id", F.coalesce(F.col("id") == F.col("head"), F.lit(True)).alias("kept"))
+    for fallen in gone:
+        out = out.join(fallen.withColumn("falls", F.lit(True)), "id", "left").select("id", (F.col("kept") & F.col("falls").isNull()).alias("kept"))
+    out = tables.written(out, "kept")
+    tables.delete(spark, *held)
+    return out
+
+
 def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFrame:
     """(a, b, overlap) of texts (id, text) whose shared n-grams reach ``least`` of
     the larger set; equal texts are linked to their smallest id only.
@@ -65,20 +188,7 @@ def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFram
     spark = texts.sparkSession
     distinct = texts.where("text is not null").groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
     kind = texts.schema["id"].dataType.simpleString()
-    slot = lambda h: (h & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int32)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                np.add.at(total, slot(gram_hashes(text, n)), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["slot", "n"])
-
-    rows = distinct.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counters = np.zeros(COUNTERS, np.int64)
-    counters[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(counters)
+    shared = spark.sparkContext.broadcast(_counters(distinct, n))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +197,7 @@ def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFram
                 own = gram_hashes(text, n)
                 if not len(own):
                     continue
-                often = shared.value[slot(own)]
+                often = shared.value[_slot(own)]
                 take = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 + len(own) // 40
                 head = np.lexsort((own, often))[:take]
                 place = np.flatnonzero(often[head] > 1)
@@ -119,7 +229,7 @@ def overlap_links(texts: DataFrame, least: float = 0.85, n: int = 5) -> DataFram
                 if last[0] != x:
                     last = (x, gram_hashes(x, n))
                 own, other = last[1], gram_hashes(y, n)
-                found[k] = (len(own) + len(other) - len(np.union1d(own, other))) / max(len(own), len(other))
+                found[k] = _shared_grams(own, other) / max(len(own), len(other))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["a", "b", "overlap"])
 
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")

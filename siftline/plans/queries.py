@@ -218,6 +218,23 @@ def ngram_overlap_pairs(spark, sf_dir):
     return dedup.overlap_links(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+@query("""WITH RECURSIVE d AS MATERIALIZED (SELECT text, min(doc_id) AS id FROM documents WHERE length(text) >= 5 GROUP BY text),
+  g AS MATERIALIZED (SELECT id, list_distinct(list_transform(generate_series(1, length(text) - 4), lambda i: substring(text, i, 5))) AS own FROM d),
+  u AS MATERIALIZED (SELECT id, len(own) AS n, unnest(own) AS x FROM g), q AS (SELECT x, count(*) AS often FROM u GROUP BY x),
+  r AS (SELECT id, n, x, often, row_number() OVER (PARTITION BY id ORDER BY often, x) AS place FROM u JOIN q USING (x)),
+  k AS MATERIALIZED (SELECT id, n, x FROM r WHERE often > 1 AND place <= n - CAST(ceil(0.85 * n) AS INTEGER) + 1),
+  c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n)),
+  p AS MATERIALIZED (SELECT a, b, len(list_intersect(x.own, y.own)) / greatest(len(x.own), len(y.own)) AS o FROM c JOIN g x ON x.id = a JOIN g y ON y.id = b),
+  e AS (SELECT b, list(a) AS before FROM p WHERE o > 0.85 GROUP BY b), o AS MATERIALIZED (SELECT b, before, row_number() OVER (ORDER BY b) AS i FROM e),
+  f(i, fallen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT f.i + 1, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(fallen, x))) > 0 THEN list_append(fallen, b) ELSE fallen END FROM f JOIN o ON o.i = f.i + 1),
+  l AS (SELECT unnest(fallen) AS id FROM (SELECT fallen FROM f ORDER BY i DESC LIMIT 1))
+SELECT doc_id, (d.id IS NULL OR d.id = doc_id) AND l.id IS NULL AS kept FROM documents LEFT JOIN d USING (text) LEFT JOIN l ON l.id = doc_id""")
+def dedup_first(spark, sf_dir):
+    """The documents that the fold keeps, each compared with all kept ones before it."""
+    kept = dedup.first_kept(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return kept.select(F.col("id").alias("doc_id"), "kept")
+
+
 @query()
 def dedup_greedy(spark, sf_dir):
     paras = pagebody.paragraphs(read(spark, sf_dir, "pages"))
