@@ -18,14 +18,19 @@ and is linked with nothing. Two documents are linked where
    as pairs but joins the documents into clusters; a task hands on a star to the
    smallest id of each of its clusters, so that tasks that met the same cluster
    write the same rows. The member of a cluster that is alike to most others is
-   confirmed against all of them first; what is left apart is confirmed with all
-   others on the full sets, by products of 0/1 matrices of two blocks of documents.
+   confirmed against all of them first. What is left apart, and what is in buckets of
+   over WIDE documents, is compared exactly by prefix filtering: in any one order of all
+   shingles two linked sets share one of the first size - need + 1 elements of each. The
+   order is by rarity, so that what a template's copies have in common stays out. In
+   each round the documents that share such a shingle are confirmed, on the full sets,
+   with the first FIRST of them that other components hold; the number grows eightfold
+   from round to round, until no shingle has more documents or all are joined.
    So no link is lost because of who stood in the middle of a bucket, and what is
-   written grows with the documents, not with the pairs of a group.
+   written grows with the documents, not with the pairs of a group, linked or not.
 
-Buckets with the same members count once. Blocks of documents are dealt by component:
+Buckets with the same members count once. Blocks of a bucket are dealt by component:
 large components have blocks of their own, which are never compared with each other
-or within, so a document is copied once for each block of other components.
+or within; a bucket has WIDE / TILE blocks at most, so a document is copied that often.
 
 A linked pair is missed only if it shares no band (at a similarity of 0.8: 5e-8)
 or its estimate is off by over MARGIN (5 standard deviations).
@@ -40,7 +45,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import Forest, components
@@ -54,9 +59,12 @@ MARGIN = 0.2
 TILE = 4096
 #: Bits of a Bloom filter of documents (8 MB) at most, and its hashes.
 BLOOM_BITS, BLOOM_HASHES = 1 << 26, 4
-#: Documents and bytes of a block of a cluster, of which two at once are in a task's
-#: memory; a text beyond the bytes is a block of its own.
-CLUSTER_TILE, CLUSTER_BYTES = 512, 8 << 20
+#: Members of a bucket that are compared by bit counts; larger ones go to the prefix filter.
+WIDE = 2 * TILE
+#: Documents of a shingle that the others are compared with in the first round.
+FIRST = 16
+#: Counters of how many documents have a shingle (16 MB).
+COUNTERS = 1 << 22
 
 _XOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL = mix(np.arange(1, HASHES + 1, dtype=np.uint64) + np.uint64(0xABCDEF)) | np.uint64(1)
@@ -159,7 +167,7 @@ def similar(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
         def own(side: int, text: str) -> np.ndarray:
             if held[side][0] != text:
-                held[side] = (text, np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([text], pa.string()))])))
+                held[side] = (text, own_set(text, k))
             return held[side][1]
 
         for batch in batches:
@@ -226,57 +234,79 @@ def across(least: float, likely: float) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of some sets with others, as a matrix: products
-    of 0/1 matrices over the elements that several sets hold."""
-    size = np.array([len(x) for x in sets])
-    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    several = count > 1
-    number = np.cumsum(several) - 1
-    keep = several[element]
-    owner, element = owner[keep], number[element[keep]]
-    order = np.argsort(element, kind="stable")
-    owner, element = owner[order], element[order]
-    out = np.zeros((len(rows), len(columns)), np.float32)
-    for low in range(0, int(several.sum()), 8192):
-        a, b = np.searchsorted(element, [low, low + 8192])
-        m = np.zeros((len(sets), 8192), np.float32)
-        m[owner[a:b], element[a:b] - low] = 1
-        out += m[rows] @ m[columns].T
-    return out
-
-
-def within_clusters(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (tile, block, within, id, label, text), sorted by tile, to stars
-    (a, b) of the components that the links of one task join."""
-
-    def join(t: pa.Table, trees: Forest) -> None:
-        block, label = (t.column(c).to_numpy() for c in ("block", "label"))
-        sets = [np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([x], pa.string()))] or [np.zeros(0, np.uint64)])) for x in t.column("text").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        low = np.flatnonzero(block == block.min())
-        high = low if t.column("within")[0].as_py() else np.flatnonzero(block != block.min())
-        if not len(high):
-            return
-        both = overlaps(sets, low, high)
-        ok = (100 * both >= percent * (size[low][:, None] + size[high][None, :] - both)) & (label[low][:, None] != label[high][None, :])
-        for i, j in np.argwhere(ok).tolist():
-            trees.join(int(label[low[i]]), int(label[high[j]]))
+def own_set(text: str, k: int) -> np.ndarray:
+    """The hashes of a text's set."""
+    return np.unique(np.concatenate([shingles(w, k)[0] for _, w in words(pa.array([text], pa.string()))] or [np.zeros(0, np.uint64)]))
+
+
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def counted(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (text) to (slot, n): how many texts have the shingles of each counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = Forest()
-        for t in tiles(batches):
-            tile = t.column("tile").to_numpy()
-            edge = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                join(t.slice(a, b - a), trees)
-            yield from trees.full()
-        yield trees.stars()
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, slot(own_set(text, k)), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
     return run
 
 
+def prefixes(k: int, percent: int, counters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, text) to (id, size, g): the first shingles of each set by
+    rarity, without those that no other text can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = own_set(text, k)
+                often = counters.value[slot(own)]
+                head = np.lexsort((own, often))[: len(own) - -(-percent * len(own) // 100) + 1]
+                head = head[often[head] > 1]
+                at.append(np.full(len(head), i))
+                size.append(np.full(len(head), len(own)))
+                keys.append(own[head])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(size)), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "size", "g"])
+
+    return run
+
+
+def by_prefixes(ids: DataFrame, texts: DataFrame, label: DataFrame, k: int, percent: int) -> DataFrame:
+    """``label`` after every link between ``ids`` has been found whose ends aren't joined."""
+    spark = ids.sparkSession
+    known = scratch(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "known")
+    rows = known.select("text").mapInArrow(counted(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS at most
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counters)
+    left, first = scratch(known.select("id", "text").mapInArrow(prefixes(k, percent, shared), "id long, size long, g long"), "prefixes"), FIRST
+    shared.destroy()
+    while True:
+        own = scratch(unlike(relabelled(left, label), "g"), "open")
+        drop_scratch(left)
+        if own.isEmpty():
+            drop_scratch(own, known)
+            return label
+        place = F.row_number().over(Window.partitionBy("g").orderBy("id"))
+        heads = scratch(own.withColumn("place", place).where(F.col("place") <= first).select("g", F.col("id").alias("a"), F.col("size").alias("m"), F.col("label").alias("of")), "heads")
+        alike_sizes = 100 * F.least("m", "size") >= percent * F.greatest("m", "size")
+        met = own.join(heads, "g").where((F.col("a") < F.col("id")) & (F.col("of") != F.col("label")) & alike_sizes).select("a", F.col("id").alias("b")).distinct()
+        links = scratch(on_full_sets(met, known, k, percent), "links")
+        after = merged(label, scratch(joined(links, label), "links"))
+        drop_scratch(links)
+        # shingles that more documents have come again
+        more = own.join(heads.select("g", F.col("a").alias("id")), ["g", "id"], "left_anti").select("g").distinct()
+        left = scratch(own.join(more, "g", "left_semi").select("id", "size", "g"), "prefixes")
+        drop_scratch(own, heads)
+        label, first = after, 8 * first
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands, packed) of every row."""
     bounded_batches(docs.sparkSession)
@@ -298,17 +328,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def tiled(rows: DataFrame, group: str, most: int, weight: Column) -> DataFrame:
+def tiled(rows: DataFrame, group: str, most: int) -> DataFrame:
     """``rows`` with tile, block and within: the members of a group are dealt into
-    blocks whose weights (1 at least each) sum to about ``most``, and each pair of
+    blocks of about ``most``, and each pair of
     blocks that may hold two components is a tile; one block beside itself is
     compared within.
 
     A component that fills a block has blocks of its own; the others share the rest
     by their labels. A group's list holds its large components, so at most its
-    weight divided by ``most``."""
-    rows = rows.withColumn("__weight", weight.cast("long"))
-    sums = rows.groupBy(group, "label").agg(F.sum("__weight").alias("w"))
+    size divided by ``most``."""
+    sums = rows.groupBy(group, "label").agg(F.count("*").alias("w"))
     large = F.col("w") >= most
     parts = sums.groupBy(F.col(group).alias("__group")).agg(
         F.coalesce(F.ceil(F.sum(F.when(~large, F.col("w"))) / most), F.lit(0)).cast("int").alias("__rest"),
@@ -367,15 +396,19 @@ def labels(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame
     drop_scratch(first, links)
 
     labelled = scratch(unlike(relabelled(members.select("band", "id"), found), "band"), "open")
-    left = tiled(labelled.join(packed, "id"), "band", TILE, F.lit(1)).select("tile", "block", "within", "id", "label", "packed")
+    sizes = labelled.groupBy("band").agg((F.count("*") > WIDE).alias("wide"))
+    dealt = scratch(labelled.join(sizes, "band"), "dealt")
+    wide = dealt.where("wide").select("id").distinct()
+    left = tiled(dealt.where("not wide").drop("wide").join(packed, "id"), "band", TILE).select("tile", "block", "within", "id", "label", "packed")
     rows = scratch(left.repartition("tile").sortWithinPartitions("tile").mapInArrow(across(least, percent / 100), "a long, b long, alike long"), "edges")
     edges = rows.where("a <> b").select("a", "b").distinct()
     drop_scratch(members, labelled)
-    if edges.isEmpty():
-        drop_scratch(texts, rows)
+    if edges.isEmpty() and wide.isEmpty():
+        drop_scratch(texts, rows, dealt)
         return found
 
     cluster = components(edges).select("id", F.col("label").alias("cluster"))
+    cluster = cluster.union(wide.join(cluster, "id", "left_anti").select("id", F.lit(None).cast("long")))
     own = scratch(relabelled(cluster, found), "clusters")
     known = texts.join(own.select("id"), "id", "left_semi")
     rest = own.join(texts.select("id"), "id", "left_anti")
@@ -388,12 +421,11 @@ def labels(docs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame
     hub = own.join(degree, "id").groupBy("cluster").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("label").alias("of")), F.struct("alike", "id")).alias("hub")).select("cluster", "hub.*")
     pairs = own.join(hub, "cluster").where("label <> of").select("a", F.col("id").alias("b")).distinct()
     every = merged(every, scratch(joined(scratch(on_full_sets(pairs, known, k, percent), "links"), every), "links"))
-    own = scratch(unlike(relabelled(own.select("id", "cluster"), every), "cluster"), "clusters")
-    if not own.isEmpty():
-        pieces = tiled(own.join(known, "id"), "cluster", CLUSTER_TILE, F.greatest(F.lit(1), F.ceil(F.octet_length("text") * F.lit(CLUSTER_TILE / CLUSTER_BYTES)))).select("tile", "block", "within", "id", "label", "text")
-        more = scratch(pieces.repartition("tile").sortWithinPartitions("tile").mapInArrow(within_clusters(k, percent), "a long, b long"), "links")
-        every = merged(every, more)
-    drop_scratch(texts, rows, known, own)
+    left = relabelled(own.select("id", "cluster"), every)
+    apart = scratch(unlike(left.where("cluster is not null"), "cluster").select("id").union(left.join(wide, "id", "left_semi").select("id")).distinct(), "apart")
+    if not apart.isEmpty():
+        every = by_prefixes(apart, known, every, k, percent)
+    drop_scratch(texts, rows, known, own, apart, dealt)
     return every
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import pyarrow.parquet as pq
+import pytest
 
 from siftline.llm import minhash
 
@@ -71,9 +72,11 @@ def test_chains_odd_texts_and_hostile_middles(spark):
         same(minhash.near_duplicates(docs, k).collect(), brute(rows, k))
 
 
-def test_tiles_find_every_pair(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [10**6, 3])
+def test_tiles_and_prefixes_find_every_pair(spark, monkeypatch, wide):
     monkeypatch.setattr(minhash, "TILE", 5)
-    monkeypatch.setattr(minhash, "CLUSTER_TILE", 4)
+    monkeypatch.setattr(minhash, "WIDE", wide)
+    monkeypatch.setattr(minhash, "FIRST", 2)
     rng = random.Random(8)
     centre = [f"w{rng.randrange(90)}" for _ in range(40)]
     rows = []
@@ -145,3 +148,41 @@ def test_what_dense_groups_write_grows_with_their_documents(spark, monkeypatch):
     few, many = seen
     for name in ("pairs", "edges", "links", "clusters"):
         assert many.get(name, 0) <= 6 * max(few.get(name, 0), 200), (name, seen)
+
+
+def test_what_unlinked_groups_write_grows_with_their_documents(spark, monkeypatch):
+    """Documents of one template, below the threshold to each other: neither rows nor texts go with their pairs."""
+    rng = random.Random(12)
+    centre = [f"w{rng.randrange(5000)}" for _ in range(150)]
+
+    def copies(n):
+        rows = []
+        for d in range(n):
+            own = list(centre)
+            for at in rng.sample(range(150), 14):
+                own[at] = f"v{rng.randrange(10**6)}"
+            rows.append((d, " ".join(own)))
+        return spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+
+    sent, dealt, confirm, tiled = [], [], minhash.on_full_sets, minhash.tiled
+
+    def confirmed(pairs, texts, k, percent):
+        sent.append(pairs.count())
+        return confirm(pairs, texts, k, percent)
+
+    def counted(*given):
+        out = tiled(*given)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "on_full_sets", confirmed)
+    monkeypatch.setattr(minhash, "tiled", counted)
+    monkeypatch.setattr(minhash, "TILE", 64)
+    monkeypatch.setattr(minhash, "WIDE", 128)
+    seen = []
+    for n in (250, 1000):
+        sent.clear(), dealt.clear()
+        got = minhash.near_duplicates(copies(n), 2).collect()
+        assert sum(r.kept for r in got) > 0.9 * n  # they aren't linked
+        seen.append((sum(sent), sum(dealt)))
+    assert all(y <= 5 * max(x, 250) for x, y in zip(*seen)), seen
