@@ -7,9 +7,15 @@ decides): length, depth, digit ratio, entropy, counts of parameters, labels and
 hyphens, and the share of blocked URLs with the same host suffixes and first path
 segment. Those shares are counted over all labelled URLs and joined to the URLs; the
 trees are fitted on a bounded sample of SAMPLE labelled URLs, those with the smallest
-hashes. Of rules of equal length that fit one URL, the last listed decides.
-
-Null and empty URLs have an empty host and path and are judged like any other. Where
+hashes. A URL that is learned from sees shares of other folds only (FOLDS, by host), so
+that no label reaches its own features and hosts are as new to the trees as those that they
+judge later. A suffix without labels has the overall share; each URL is learned from a second
+time with that for all suffixes of its host, so that the trees know how to judge hosts
+of which they have no labels at all. Of rules of equal length that fit one URL, the last listed decides; a
+probability of exactly 0.5 is ``block``.
+
+Null and empty URLs have an empty host and path, so no rule fits, and are judged by the
+trees from their features (all zero, and the overall share) like any other. Where
 nothing or one verdict was learned, that verdict (or allow) is given. Repeated rows
 give repeated results, an empty table an empty one; other columns are ignored.
 """
@@ -34,6 +40,8 @@ SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.2, 32, 20
 #: Weight of the overall share in a suffix's share.
 PRIOR = 20.0
+#: Parts of the labelled URLs, by host, for shares that a URL's own label isn't in.
+FOLDS = 5
 #: (verdict, host, path) of the query's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -169,24 +177,37 @@ def parts(urls: DataFrame) -> DataFrame:
     return urls.withColumns({"__host": host_of(F.col("url")), "__path": path_of(F.col("url"))})
 
 
+def fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
+
+
 def statistics(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """((key, rate), share): the share of blocked URLs of each suffix, drawn towards
-    that of all distinct labelled URLs, and the latter."""
+    """((key, fold, rate), share): the share of blocked URLs of each suffix, drawn towards
+    that of all distinct labelled URLs, and the latter. Fold -1 counts all URLs, the
+    others those that aren't in the fold."""
     distinct = labelled.select(F.coalesce("url", F.lit("")).alias("url"), "blocked").distinct()
     share = distinct.agg(F.avg(F.col("blocked").cast("double"))).first()[0] or 0.0
-    keys = parts(distinct).select(F.explode(suffixes(F.col("__host"), F.col("__path"))).alias("key"), "blocked")
-    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad"))
-    return counted.select("key", ((F.col("bad") + PRIOR * share) / (F.col("n") + PRIOR)).alias("rate")), share
+    keys = parts(distinct).select(F.explode(suffixes(F.col("__host"), F.col("__path"))).alias("key"), fold(F.col("__host")).alias("own"), "blocked")
+    counted = keys.groupBy("key", "own").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad"))
+    every = F.explode(F.array(*map(F.lit, range(-1, FOLDS)))).alias("fold")
+    rest = counted.select("*", every).where("own <> fold").groupBy("key", "fold").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return rest.select("key", "fold", ((F.col("bad") + PRIOR * share) / (F.col("n") + PRIOR)).alias("rate")), share
 
 
-def rated(urls: DataFrame, rates: DataFrame, share: float) -> DataFrame:
+def rated(urls: DataFrame, rates: DataFrame, share: float, apart: bool = False) -> DataFrame:
     """``urls`` with the shares of their suffixes (``rates``, in order; the overall one
-    for suffixes without labels). Each suffix is looked up once for all URLs of one
-    host and first segment."""
-    keyed = parts(urls).withColumn("__keys", suffixes(F.col("__host"), F.col("__path"))).withColumn("__group", F.array_join("__keys", " ")).drop("__host", "__path")
-    each = keyed.select("__group", "__keys").dropDuplicates(["__group"]).select("__group", F.posexplode("__keys").alias("at", "key"))
-    found = each.join(rates, "key", "left").groupBy("__group").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("rate", F.lit(share)).alias("rate"))))["rate"].alias("rates"))
-    return keyed.join(found, "__group").drop("__group", "__keys")
+    for suffixes without labels), ``apart`` without those of their own fold. Each suffix
+    is looked up once for all URLs of one host and first segment."""
+    keyed = parts(urls).withColumn("__keys", suffixes(F.col("__host"), F.col("__path"))).withColumn("__fold", fold(F.col("__host")) if apart else F.lit(-1)).drop("__host", "__path")
+    each = keyed.select("__keys", "__fold").dropDuplicates(["__keys", "__fold"]).select("__keys", F.col("__fold").alias("fold"), F.posexplode("__keys").alias("at", "key"))
+    found = each.join(rates, ["key", "fold"], "left").groupBy("__keys", F.col("fold").alias("__fold")).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("rate", F.lit(share)).alias("rate"))))["rate"].alias("rates"))
+    return keyed.join(found, ["__keys", "__fold"]).drop("__keys", "__fold")
+
+
+def lessons(learned: list, share: float) -> list[tuple[str, bool, list[float]]]:
+    """Rows (url, blocked, rates) to fit trees on: each twice, the second time as if no
+    label were of its host's suffixes."""
+    return [(r.url, r.blocked, rates) for r in learned for rates in (list(r.rates), [share] * (len(r.rates) - 1) + r.rates[-1:])]
 
 
 def sample(labelled: DataFrame) -> DataFrame:
@@ -206,8 +227,8 @@ def verdicts(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -
     if labelled is None:
         labelled = rows.where("ruled is not null").select("url", (F.col("ruled") == "block").alias("blocked"))
     rates, share = statistics(labelled)
-    learned = rated(sample(labelled), rates, share).select("url", "blocked", "rates").collect()
-    shared = pages.sparkSession.sparkContext.broadcast(fit([(r.url, r.blocked, list(r.rates)) for r in learned]))
+    learned = rated(sample(labelled), rates, share, apart=True).select("url", "blocked", "rates").collect()
+    shared = pages.sparkSession.sparkContext.broadcast(fit(lessons(learned, share)))
     kind = pages.schema["page_id"].dataType.simpleString()
     out = rated(rows, rates, share).mapInArrow(judged(shared), f"page_id {kind}, url string, host string, path string, rule string, ruled string, rates array<double>, blocked double")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("blocked") >= 0.5, "block").otherwise("allow")).alias("verdict"), "blocked")

@@ -62,27 +62,32 @@ def test_trees_learn_lexical_signs():
 def test_suffix_shares_cover_all_labelled_urls(spark, monkeypatch):
     from collections import Counter
 
+    from pyspark.sql import functions as F
+
     monkeypatch.setattr(urls, "SAMPLE", 3)  # the sample is for the trees alone
     rows = [(f"http://{h}.example.org/{p}/{k}", (h == "a") ^ (k % 5 == 0)) for h in "ab" for p in ("x", "") for k in range(20)] + [(None, True), ("", True), ("http://solo", False)]
     labelled = spark.createDataFrame(rows + rows[:7], "url string, blocked boolean")
     rates, share = urls.statistics(labelled)
-    n, bad = Counter(), Counter()
+    n, bad, folds = Counter(), Counter(), {r.host: r.fold for r in spark.createDataFrame([(h,) for h in ("a.example.org", "b.example.org", "solo", "")], "host string").select("host", urls.fold(F.col("host")).alias("fold")).collect()}
     distinct = {(u or "", b) for u, b in rows}
     for u, b in distinct:
         host, path, _ = plain(u)
         labels = host.split(".")
         for key in [*(f"{k}:{'.'.join(labels[-k:])}" for k in (1, 2, 3)), f"p:{path.split('/')[1] if '/' in path else ''}"]:
-            n[key] += 1
-            bad[key] += b
+            for k in {-1, *range(urls.FOLDS)} - {folds[host]}:
+                n[key, k] += 1
+                bad[key, k] += b
     want_share = sum(b for _, b in distinct) / len(distinct)
     assert abs(share - want_share) < 1e-12
     want = {k: (bad[k] + urls.PRIOR * want_share) / (n[k] + urls.PRIOR) for k in n}
-    got = {r.key: r.rate for r in rates.collect()}
+    got = {(r.key, r.fold): r.rate for r in rates.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     asked = spark.createDataFrame([("http://a.example.org/x/1",), ("http://new.net/q",)], "url string")
     found = {r.url: r.rates for r in urls.rated(asked, rates, share).collect()}
     assert found["http://new.net/q"] == [share] * 4
-    assert [round(x, 12) for x in found["http://a.example.org/x/1"]] == [round(want[k], 12) for k in ("1:org", "2:example.org", "3:a.example.org", "p:x")]
+    assert [round(x, 12) for x in found["http://a.example.org/x/1"]] == [round(want[k, -1], 12) for k in ("1:org", "2:example.org", "3:a.example.org", "p:x")]
+    own = urls.rated(asked, rates, share, apart=True).where("url like '%a.example%'").first().rates
+    assert [round(x, 12) for x in own] == [round(want.get((k, folds["a.example.org"]), share), 12) for k in ("1:org", "2:example.org", "3:a.example.org", "p:x")]
 
 
 def test_verdicts_without_a_rule_by_a_plain_walk(spark):
@@ -97,7 +102,7 @@ def test_verdicts_without_a_rule_by_a_plain_walk(spark):
     labelled = [(r.url, plain(r.url)[2][0] == "block") for r in rows.collect() if plain(r.url)[2]]
     frame = spark.createDataFrame(labelled, "url string, blocked boolean")
     rates, share = urls.statistics(frame)
-    model = urls.fit([(r.url, r.blocked, list(r.rates)) for r in urls.rated(urls.sample(frame), rates, share).collect()])
+    model = urls.fit(urls.lessons(urls.rated(urls.sample(frame), rates, share, apart=True).collect(), share))
     of = {r.url: list(r.rates) for r in urls.rated(pages.select("url"), rates, share).collect()}
     unruled = 0
     for i, url in pages.select("page_id", "url").collect():
@@ -121,3 +126,23 @@ def test_of_rules_of_one_length_the_last_decides(spark):
     got = urls.verdicts(spark.createDataFrame([(1, "http://a.com/xyz")], "page_id long, url string"), (("allow", "a.com", "/x"), ("block", "com", "/xyz"))).first()
     assert (got.rule, got.verdict) == ("com/xyz", "block")
     assert urls.verdicts(spark.createDataFrame([(1, "http://a.com/xyz")], "page_id long, url string"), rules).first().verdict == "block"
+
+
+def test_labels_of_new_hosts_are_learned_from_lexical_signs(spark):
+    """Hosts that no label is of: what their addresses look like decides, and not one verdict for all."""
+    rng = random.Random(6)
+
+    def url(host, bad):
+        return f"http://{host}/{rng.choice('xyz')}/" + ("-".join(str(rng.randrange(10**6)) for _ in range(3)) + "?a=1&b=2&c=3" if bad else rng.choice(["news", "about", "help"]))
+
+    labelled = [(url(f"h{rng.randrange(300)}.example.{rng.choice(['com', 'net'])}", bad), bad) for bad in (True, False) for _ in range(1500)]
+    pages = [(k, url(f"new{k}.example.org", k % 2 == 0)) for k in range(400)] + [(400, None)]
+    got = {r.page_id: r for r in urls.verdicts(spark.createDataFrame(pages, "page_id long, url string"), (), spark.createDataFrame(labelled, "url string, blocked boolean")).collect()}
+    right = sum((got[k].verdict == "block") == (k % 2 == 0) for k in range(400))
+    assert right >= 380 and max(r.blocked for r in got.values()) - min(r.blocked for r in got.values()) > 0.5
+    assert got[400].verdict in ("allow", "block") and got[400].rule is None
+
+
+def test_unruled_pages_get_different_probabilities(spark):
+    unruled = [r.blocked for r in urls.op4_urls(spark, "/root/testdata/sf0.01").collect() if r.rule is None]
+    assert max(unruled) - min(unruled) > 0.01
