@@ -123,7 +123,7 @@ def term_weights(docs: DataFrame) -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).select("term", "n", F.log1p((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
 
 
-def top(df: DataFrame, by: str, order: list[Column], n: int, name: str = "rank") -> DataFrame:
+def top(df: DataFrame, by: str | list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= n)
 
 
@@ -149,8 +149,9 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 QUERY_TERMS, SCORES = 1 << 20, 1 << 22
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(item_id, doc_id, score, rank) of the k best documents of each query.
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, side: Column | None = None) -> DataFrame:
+    """(item_id, doc_id, score, rank) of the k best documents of each query; with a
+    ``side`` (a condition on ``docs``; null counts as false) the k best of either side, and a column ``side``.
 
     One pass counts documents, tokens and the documents of each wanted term; the
     second scores every document where it lies and keeps the k best of a task for each
@@ -160,27 +161,32 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     found, held = None, []
 
     def search(pairs: list) -> DataFrame:
-        return top(_scored(docs, pairs, k), "item_id", [F.desc("score"), F.asc("doc_id")], k)
+        return best(_scored(docs, pairs, k, side))
+
+    def best(scored: DataFrame) -> DataFrame:
+        by = ["item_id"] if side is None else ["item_id", "side"]
+        return top(scored if side is not None else scored.drop("side"), by, [F.desc("score"), F.asc("doc_id")], k)
 
     for r in rows:
         if len(held) >= QUERY_TERMS and r.item_id != held[-1][0]:
             found, held = search(held) if found is None else found.unionByName(search(held)), []
         held.append((r.item_id, r.term))
     if held or found is None:
-        more = search(held) if held else docs.sparkSession.createDataFrame([], f"item_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, rank int")
+        more = search(held) if held else best(docs.sparkSession.createDataFrame([], f"item_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, side boolean"))
         found = more if found is None else found.unionByName(more)
     return found
 
 
-def _scored(docs: DataFrame, pairs: list[tuple], k: int) -> DataFrame:
-    """(item_id, doc_id, score): the best of every task."""
+def _scored(docs: DataFrame, pairs: list[tuple], k: int, side: Column | None) -> DataFrame:
+    """(item_id, doc_id, score, side): the best of every task and side."""
     spark = docs.sparkSession
     terms = sorted({t for _, t in pairs})
     place = {t: i for i, t in enumerate(terms)}
     items = sorted({i for i, _ in pairs})
     at = {i: n for n, i in enumerate(items)}
     asked = spark.sparkContext.broadcast(pa.array(terms, pa.string()))
-    tokenised = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
+    of_side = F.lit(False) if side is None else F.coalesce(side, F.lit(False))
+    tokenised = docs.select("doc_id", of_side.alias("side"), tokens(F.col("text")).alias("tokens"))
 
     def wanted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sizes of a batch's documents, and (document, term, frequency) of wanted terms."""
@@ -212,7 +218,7 @@ def _scored(docs: DataFrame, pairs: list[tuple], k: int) -> DataFrame:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, of, first, ids = shared.value
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, np.int64))  # query, score, document
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, np.int64))  # query and side, score, document
         step = max(1, SCORES // len(ids))
         for whole in batches:
             for low in range(0, whole.num_rows, step):
@@ -227,11 +233,12 @@ def _scored(docs: DataFrame, pairs: list[tuple], k: int) -> DataFrame:
                 score = np.bincount(doc[row] * len(ids) + item, weights=part[row], minlength=len(sizes) * len(ids))
                 hit = np.flatnonzero(score)
                 own = batch.column(0).to_numpy()[hit // len(ids)]
-                kept = _k_best(np.concatenate([kept[0], hit % len(ids)]), np.concatenate([kept[1], score[hit]]), np.concatenate([kept[2], own]), k)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[2]), pa.array(kept[1])], names=["item_id", "doc_id", "score"])
+                sides = batch.column(1).to_numpy(zero_copy_only=False)[hit // len(ids)]
+                kept = _k_best(np.concatenate([kept[0], 2 * (hit % len(ids)) + sides]), np.concatenate([kept[1], score[hit]]), np.concatenate([kept[2], own]), k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0] // 2]), pa.array(kept[2]), pa.array(kept[1]), pa.array(kept[0] % 2 == 1)], names=["item_id", "doc_id", "score", "side"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return tokenised.mapInArrow(best, f"item_id long, doc_id {kind}, score double").withColumn("score", F.round("score", 6))
+    return tokenised.mapInArrow(best, f"item_id long, doc_id {kind}, score double, side boolean").withColumn("score", F.round("score", 6))
 
 
 def _k_best(item: np.ndarray, score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ def missing_topics(spark, sf_dir):
     """The languages as tasks, the items as their sub-topics."""
     docs, items = read(spark, sf_dir, "documents", "benchmark")
     langs = docs.select(F.col("lang").alias("task_id")).distinct()
-    subs = items.crossJoin(F.broadcast(langs)).select("task_id", F.col("item_id").alias("pos"), F.col("text").alias("sub_query"))
+    subs = items.crossJoin(langs).select("task_id", F.col("item_id").alias("pos"), F.col("text").alias("sub_query"))
     return validation.missing_topics(subs, docs.select(F.col("lang").alias("task_id"), F.col("doc_id").alias("ord"), "text"))
 
 

@@ -11,7 +11,7 @@ from siftline.functions import fixed, report
 from siftline.functions import text as T
 from siftline.operators import clean, dedup, evidence, pagebody, retrieve, rules
 from siftline.plans import pipeline
-from siftline.sources import collections, search
+from siftline.sources import collections, search, tables
 from siftline.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -412,12 +412,12 @@ def session_ttl(spark, sf_dir):
 SELECT s.user_id, c AS created_ms, max(ms) AS last_ms, count(*) AS n_events FROM s JOIN e ON e.user_id = s.user_id AND ms BETWEEN c AND c + 86400000 GROUP BY s.user_id, c""")
 def session_stream(spark, sf_dir):
     """The events as a stream of files."""
-    import uuid
-
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+    path = tables.new_folder(spark, "sessions")
     events = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return sessions.sessions_of(events.select("user_id", "ts"), f"{base}/sessions-{uuid.uuid4().hex}")
+    try:
+        return tables.written(sessions.sessions_of(events.select("user_id", "ts"), path), "sessions")
+    finally:
+        tables.delete(spark, path)
 
 
 def _controls(spark, sf_dir):

@@ -125,14 +125,14 @@ def relevance_counts(spark, sf_dir):
     return planning.relevance_counts(QUERIES["relevance_class"](spark, sf_dir))
 
 
-@query(f"""WITH {BM25}, p AS (SELECT *, {RANKED} AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en'), w AS (SELECT *, {RANKED} AS rank FROM bm JOIN documents USING (doc_id) WHERE lang <> 'en'),
+@query(f"""WITH {BM25}, p AS (SELECT *, {RANKED} AS rank FROM bm JOIN documents USING (doc_id) WHERE lang = 'en'), w AS (SELECT *, {RANKED} AS rank FROM bm JOIN documents USING (doc_id) WHERE lang IS DISTINCT FROM 'en'),
   u AS (SELECT item_id, doc_id, score, rank, 'pdf' AS origin FROM p WHERE rank <= 12 UNION ALL SELECT item_id, doc_id, score, rank, 'web' FROM w WHERE rank <= 6),
   o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY origin, rank, doc_id) AS place FROM u)
 SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank, origin, CAST(place AS INTEGER) AS place FROM o WHERE place <= 12""")
 def merged_hits(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents", "benchmark")
-    hits = retrieve.bm25(docs, items).join(docs.select("doc_id", "lang"), "doc_id")
-    best = lambda side, n: retrieve.top(side.drop("lang"), "item_id", [F.desc("score"), F.asc("doc_id")], n).select("item_id", "doc_id", "score", "rank")
-    return planning.merged_hits(best(hits.where("lang = 'en'"), 12), best(hits.where("lang <> 'en'"), 6))
+    hits = retrieve.bm25_topk(docs, items, 12, F.col("lang") == "en")
+    best = lambda rows, n: rows.where(F.col("rank") <= n).select("item_id", "doc_id", "score", "rank")
+    return planning.merged_hits(best(hits.where("side"), 12), best(hits.where("not side"), 6))
 
 
