@@ -38,8 +38,14 @@ def in_blocks(asked: DataFrame, size: Callable[[tuple], int], search: Callable[[
 
 def occurrences(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(item_id, doc_id, n): how often each needle (item_id, key) of a stated set
-    occurs in each text (doc_id, text), without overlaps, where it does. One automaton
-    of all needles reads each text once."""
+    occurs in each text (doc_id, text), without overlaps, where it does."""
+    return found_at(texts, needles).select("item_id", "doc_id", "n")
+
+
+def found_at(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(item_id, doc_id, n, first_end, last_start): ``occurrences`` and, counted from 0,
+    the last character of the first one and the first of the last. One automaton of all
+    needles reads each text once."""
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((needles, "item_id"), (texts, "doc_id"))]
 
     def search(asked: list[tuple]) -> DataFrame:
@@ -58,14 +64,20 @@ def occurrences(texts: DataFrame, needles: DataFrame) -> DataFrame:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     counts: dict[str, int] = {}
                     free: dict[str, int] = {}  # where the next occurrence may begin
+                    ends: dict[str, int] = {}
+                    starts: dict[str, int] = {}
                     for end, key in machine.iter(text) if text and len(machine) else ():
-                        if end + 1 - len(key) >= free.get(key, 0):
+                        ends.setdefault(key, end)
+                        starts[key] = end + 1 - len(key)
+                        if starts[key] >= free.get(key, 0):
                             counts[key] = counts.get(key, 0) + 1
                             free[key] = end + 1
-                    rows += [(item, doc, n) for key, n in counts.items() for item in of[key]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((None, batch.schema.field(0).type, pa.int64()))] if rows else [pa.nulls(0, pa.int64()), batch.column(0).slice(0, 0), pa.nulls(0, pa.int64())], names=["item_id", "doc_id", "n"])
+                    rows += [(item, doc, n, ends[key], starts[key]) for key, n in counts.items() for item in of[key]]
+                whole = [pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]
+                own = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], batch.schema.field(0).type)] if rows else [pa.nulls(0, pa.int64()), batch.column(0).slice(0, 0)]
+                yield pa.RecordBatch.from_arrays(own + whole, names=["item_id", "doc_id", "n", "first_end", "last_start"])
 
-        return texts.select("doc_id", "text").mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}, n long")
+        return texts.select("doc_id", "text").mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}, n long, first_end long, last_start long")
 
     return in_blocks(needles.select("item_id", "key").where("key <> ''"), lambda r: 4 * len(r[1]) + 16, search)
 

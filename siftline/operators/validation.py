@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import fixed
 from siftline.functions import text as T
+from siftline.operators import order, retrieve
 
 # The shortest chunk, the least share of the task's words, and the
 # overlap from which a chunk repeats one that passed.
 SHORTEST, LEAST_RELEVANT, MOST_ALIKE = 15, 0.1, 0.85
+#: Texts whose borders a task reads at once.
+BLOCK = 4096
 
 
 def source_of(origin: Column, text: Column, document: Column, page: Column, snippet: Column) -> Column:
@@ -94,10 +98,71 @@ def stats(checked: DataFrame, examples: int = 5) -> DataFrame:
 
 def missing_topics(sub_tasks: DataFrame, materials: DataFrame, most: int = 2, prefix: int = 20) -> DataFrame:
     """(task_id, pos, sub_query): the first ``most`` sub-tasks (task_id, pos,
-    sub_query) of each task whose first characters occur fewer than twice in its
-    materials (task_id, ord, text) together."""
-    texts = materials.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text"))))["text"], " ").alias("all"))
-    rows = sub_tasks.where(F.coalesce("sub_query", F.lit("")) != "").join(texts, "task_id", "left").withColumn("key", F.trim(F.substring("sub_query", 1, prefix)))
-    times = (F.length("all") - F.length(F.replace(F.col("all"), F.col("key"), F.lit("")))) / F.length("key")
-    few = rows.where((F.length("key") == 0) | (F.coalesce(times, F.lit(0.0)) < 2))
-    return few.withColumn("n", F.row_number().over(Window.partitionBy("task_id").orderBy("pos"))).where(F.col("n") <= most).select("task_id", "pos", "sub_query")
+    sub_query) of each task whose first characters occur fewer than twice, without
+    overlaps, in its materials (task_id, ord, text), which count as joined by spaces
+    in the order of ``ord`` (of one material each in a task). Null texts are empty;
+    sub-tasks without text are left out, those of white space only are missing.
+
+    Materials are not joined: a key occurs twice if one occurrence begins after the
+    end of another. Those inside a text are found where it lies, those over a border
+    in the ends of the texts around it. The result's ``path`` is for the caller to delete."""
+    rows = sub_tasks.where(F.coalesce("sub_query", F.lit("")) != "").withColumn("key", F.trim(F.substring("sub_query", 1, prefix)))
+    texts = materials.where(F.col("task_id").isNotNull()).select("task_id", "ord", F.coalesce("text", F.lit("")).alias("text"))
+    keys = rows.select(F.col("key").alias("item_id"), "key").where("key <> ''").distinct()
+    inside = retrieve.found_at(texts.select(F.struct("task_id", "ord").alias("doc_id"), "text"), keys)
+    inside = inside.select("doc_id.task_id", F.col("item_id").alias("key"), *(F.struct(F.col("doc_id.ord").alias("ord"), F.col(c).alias("at")).alias(n) for n, c in (("end", "first_end"), ("start", "last_start"))))
+    over = across(texts, keys.where(F.contains("key", F.lit(" "))), prefix)
+    twice = inside.unionByName(over).groupBy("task_id", "key").agg(F.min("end").alias("end"), F.max("start").alias("start")).where(F.col("start") > F.col("end"))
+    few = rows.join(twice, ["task_id", "key"], "left_anti")
+    out = few.withColumn("n", F.row_number().over(Window.partitionBy("task_id").orderBy("pos"))).where(F.col("n") <= most).select("task_id", "pos", "sub_query")
+    out.path = over.path
+    return out
+
+
+def across(texts: DataFrame, keys: DataFrame, longest: int) -> DataFrame:
+    """(task_id, key, end, start): occurrences of keys (item_id, key) of at most
+    ``longest`` characters over the borders of a task's texts (task_id, ord, text),
+    joined by spaces; ``end`` and ``start`` are (ord, at) of the last and the first
+    character. Only the texts' ends are moved. As a border is a character itself, a
+    text needs no more than ``longest`` - 1 texts before it, whatever their length, so
+    blocks of the order are read each by itself."""
+    reach = longest - 1
+    ends = texts.select("task_id", "ord", F.substring("text", 1, reach).alias("head"), F.expr(f"right(text, {reach})").alias("tail"), F.length("text").cast("long").alias("size"))
+    rows = order.numbered(ends, "task_id", "ord", "head", "tail")
+    own = F.floor(F.col("number") / BLOCK)
+    shown = F.when(F.col("number") % BLOCK >= BLOCK - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = rows.select("*", own.alias("own"), F.explode(shown).alias("block"))
+    kinds = [texts.schema[c].dataType.simpleString() for c in ("task_id", "ord")]
+    place = f"struct<ord: {kinds[1]}, at: bigint>"
+
+    def search(asked: list[tuple]) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for _, key in asked:
+                machine.add_word(key, key)
+            machine.make_automaton()
+            found, task, before, places = [], None, "", []
+            for r in table.sort_by("number").to_pylist():
+                if r["task_id"] != task:
+                    task, before, places = r["task_id"], None, []
+                if before is not None:
+                    before, places = before + " ", [*places, (r["ord"], -1)]
+                    if r["own"] == r["block"]:
+                        line = before + r["head"]
+                        at = places + [(r["ord"], i) for i in range(len(r["head"]))]
+                        for end, key in machine.iter(line) if len(machine) else ():
+                            start = end + 1 - len(key)
+                            if start < len(before) - 1 and end >= len(before):
+                                found.append((task, key, at[end], at[start]))
+                tail = [(r["ord"], r["size"] - len(r["tail"]) + i) for i in range(len(r["tail"]))]
+                before, places = ((before or "") + r["tail"])[-reach:], [*places, *tail][-reach:]
+            as_place = lambda k: pa.array([{"ord": x[k][0], "at": x[k][1]} for x in found], pa.struct([("ord", table.schema.field("ord").type), ("at", pa.int64())]))
+            return pa.table([pa.array([x[0] for x in found], table.schema.field("task_id").type), pa.array([x[1] for x in found], pa.string()), as_place(2), as_place(3)], names=["task_id", "key", "end", "start"])
+
+        return dealt.groupBy("block").applyInArrow(run, f"task_id {kinds[0]}, key string, end {place}, start {place}")
+
+    out = retrieve.in_blocks(keys.select("item_id", "key"), lambda r: 4 * len(r[1]) + 16, search)
+    out.path = rows.path
+    return out

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.prompts import joined
-from siftline.operators import validation, web
-from siftline.operators.retrieve import occurrences
+from siftline.operators import lookup, order, validation, web
 from siftline.operators.rules import search_mode, web_query
 
 # The outline of a task whose plan can't be read; {task} is the task.
@@ -53,18 +52,24 @@ def stream_finished(chunk: Column) -> Column:
 
 
 def by_label(items: DataFrame) -> DataFrame:
-    """(label, first, items) of items (ord, label, value): each label's values in
-    order; labels come in the order of their first items."""
-    rows = items.groupBy("label").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(F.struct("ord", "value")))["value"].alias("items"))
-    return rows.select("label", "first", "items")
+    """(label, first, place, value) of items (ord, label, value): each label's values
+    with their places in it from 1 (by ord, then value), and the label's first ord, by
+    which labels are ordered. Null labels are one label. One row an item: a label
+    of a third of the items is dealt over as many tasks. The result's ``path`` is for
+    the caller to delete."""
+    rows = order.numbered(items.select("label", "ord", "value"), "label", "ord", "value")
+    begins = rows.groupBy("label").agg(F.min("ord").alias("first"), F.min("number").alias("begin")).withColumnRenamed("label", "own")
+    out = rows.join(begins, F.col("label").eqNullSafe(F.col("own"))).select("label", "first", (F.col("number") - F.col("begin") + 1).alias("place"), "value")
+    out.path = rows.path
+    return out
 
 
 def source_of(quantities: DataFrame, materials: DataFrame, prefix: int = 20) -> DataFrame:
     """(id, ord) for quantities (id, raw): the first material (ord, text) that contains
-    the first characters of the raw match; null if none does."""
-    keys = quantities.select(F.substring("raw", 1, prefix).alias("item_id")).distinct().withColumn("key", F.col("item_id"))
-    found = occurrences(materials.select(F.col("ord").alias("doc_id"), "text"), keys).groupBy("item_id").agg(F.min("doc_id").alias("ord"))
-    return quantities.select("id", F.substring("raw", 1, prefix).alias("item_id")).join(found, "item_id", "left").select("id", "ord")
+    the first characters of the raw match; null if none does, and for null or empty
+    matches. Keys and materials may both be large (``lookup.first_holders``)."""
+    rows = quantities.select("id", F.substring("raw", 1, prefix).alias("key"))
+    return rows.join(lookup.first_holders(rows, materials, prefix), "key", "left").select("id", "ord")
 
 
 def effective(materials: DataFrame) -> DataFrame:

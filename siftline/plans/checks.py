@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as T
 from siftline.operators import checking, clean, evidence, retrieve, validation
 from siftline.plans.queries import NUMBERS, query, read
+from siftline.sources import tables
 
 
 @query()
@@ -43,7 +44,11 @@ def missing_topics(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents", "benchmark")
     langs = docs.select(F.col("lang").alias("task_id")).distinct()
     subs = items.crossJoin(langs).select("task_id", F.col("item_id").alias("pos"), F.col("text").alias("sub_query"))
-    return validation.missing_topics(subs, docs.select(F.col("lang").alias("task_id"), F.col("doc_id").alias("ord"), "text"))
+    found = validation.missing_topics(subs, docs.select(F.col("lang").alias("task_id"), F.col("doc_id").alias("ord"), "text"))
+    try:
+        return tables.written(found, "topics")
+    finally:
+        tables.delete(spark, found.path)
 
 
 CHECKS = f"""{NUMBERS}, chk AS (SELECT id AS report_id, number, length(number) % 3 <> 0 AS found FROM num)"""

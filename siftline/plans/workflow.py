@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftline.functions import prompts
 from siftline.operators import evidence, workflow
 from siftline.plans.queries import QUANTITIES, SIDE_ROWS, _sides, query, read
+from siftline.sources import tables
 
 
 @query("""WITH k AS (SELECT o_orderkey AS k, ['auto', 'disabled', 'web-only', 'ENABLED'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS mode FROM orders)
@@ -42,10 +43,14 @@ def stream_finished(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(k.alias("id"), workflow.stream_finished(chunk).alias("finished"))
 
 
-@query("""SELECT p_brand AS label, min(p_partkey) AS first, string_agg(p_size, ',' ORDER BY p_partkey) AS items FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand AS label, min(p_partkey) OVER (PARTITION BY p_brand) AS first, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place, CAST(p_size AS VARCHAR) AS value FROM part""")
 def items_by_label(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("label"), F.col("p_size").cast("string").alias("value"))
-    return workflow.by_label(parts).select("label", "first", F.array_join("items", ",").alias("items"))
+    found = workflow.by_label(parts)
+    try:
+        return tables.written(found, "labels")
+    finally:
+        tables.delete(spark, found.path)
 
 
 @query(f"""WITH {SIDE_ROWS}, q AS ({QUANTITIES.format(t='l', label="'市场规模'")}), k AS (SELECT DISTINCT substring(raw, 1, 20) AS key FROM q), m AS (SELECT key, min(l.id) AS ord FROM k JOIN l ON contains(l.text, key) GROUP BY 1)
