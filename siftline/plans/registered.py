@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, indexes, prompts, tasks, web, workflow
+from . import checks, indexes, prompts, streams, tasks, web, workflow
 from .queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "checks", "indexes", "prompts", "tasks", "web", "workflow"]
+__all__ = ["QUERIES", "SQL", "checks", "indexes", "prompts", "streams", "tasks", "web", "workflow"]
