@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.operators import bm25index, vectorindex
+from siftline.operators import bm25index, vectorindex, vectorjoin
 from siftline.plans.queries import BM25, NEAR, RANKED, query, read
 from siftline.sources import tables
 
@@ -36,3 +36,15 @@ def bm25_index_topk(spark, sf_dir):
         return tables.written(bm25index.search(path, items), "hits")
     finally:
         tables.delete(spark, path)
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM e a, e b WHERE list_cosine_similarity(a.v, b.v) >= 0.85)
+SELECT query_id, count(*) AS n_links, arg_min(vec_id, {'c': -c, 'v': vec_id}) AS vec_id, round(max(c), 5) AS cosine FROM p GROUP BY query_id""")
+def semantic_links(spark, sf_dir):
+    """All vectors against all, each with itself among its links."""
+    vectors = read(spark, sf_dir, "embeddings")
+    found = vectorjoin.links(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), vectors)
+    try:
+        return tables.written(found.withColumn("cosine", F.round("cosine", 5)), "links")
+    finally:
+        tables.delete(spark, *found.paths)
