@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Characters of a key at most, and bits that tell the tasks which keys there are.
 MOST_LENGTH, BITS = 20, 26
-#: Distinct findings that a task holds before it hands them on.
-HELD = 200_000
+#: Distinct findings that a task holds before it hands them on, and characters that it
+#: looks up at once.
+HELD, CHUNK = 200_000, 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,26 +53,39 @@ def first_holders(keys: DataFrame, texts: DataFrame, most: int = MOST_LENGTH, bi
     lengths = int(np.bitwise_or.reduce(found["lengths"].to_numpy())) if found.num_rows else 0
     shared = spark.sparkContext.broadcast(grid)
 
+    longest = lengths.bit_length() - 1
+
+    def chunks(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+        """Some (ord, text) of CHUNK characters together, about."""
+        some, total = [], 0
+        for ord_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if ord_ is not None and text:
+                some.append((ord_, text))
+                total += len(text)
+            if total > CHUNK:
+                yield some
+                some, total = [], 0
+        yield some
+
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[str, object] = {}
         for batch in batches:
-            ords = batch.column(0)
-            for ord_, text in zip(ords.to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ord_ is None or not text or not lengths:
-                    continue
-                for length, at in slots(text, most, bits):
+            for some in chunks(batch) if lengths else ():
+                whole, owner = "".join(t for _, t in some), np.repeat(np.arange(len(some)), [len(t) for _, t in some])
+                for length, at in slots(whole, longest, bits):
                     if not lengths >> length & 1:
                         continue
-                    hit = shared.value[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)
-                    for p in np.flatnonzero(hit).tolist():
-                        piece = text[p : p + length]
+                    hit = (shared.value[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+                    for p in np.flatnonzero(hit & (owner[: len(at)] == owner[length - 1 :])).tolist():
+                        piece, ord_ = whole[p : p + length], some[owner[p]][0]
                         if piece not in first or ord_ < first[piece]:
                             first[piece] = ord_
                 if len(first) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(list(first.values()), ords.type)], names=["key", "ord"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(list(first.values()), batch.column(0).type)], names=["key", "ord"])
                     first = {}
+            kind_ = batch.column(0).type
         if first:
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(list(first.values()), ords.type)], names=["key", "ord"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(list(first.values()), kind_)], names=["key", "ord"])
 
     pieces = texts.select("ord", "text").mapInArrow(held, f"key string, ord {kind}").groupBy("key").agg(F.min("ord").alias("ord"))
     return wanted.join(pieces, "key")
