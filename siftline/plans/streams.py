@@ -19,7 +19,7 @@ def session_event_time(spark, sf_dir):
     last = rows.agg(F.max("ts")).first()[0]
     if last is None:
         return spark.createDataFrame([], "user_id long, created_ms long, last_ms long, n_events long")
-    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("user_id", "ts")
+    stream = tables.streamed(spark, sf_dir, "events").select("user_id", "ts")
     try:
         ended = eventtime.closed(stream, f"{path}/end", last + timedelta(seconds=3 * eventtime.TTL_SECONDS))
         return tables.written(eventtime.run(eventtime.sessions(ended), path, "append").drop("batch"), "sessions")
@@ -31,7 +31,7 @@ def session_event_time(spark, sf_dir):
 def conversation_window_stream(spark, sf_dir):
     """The turns as a stream of files, each conversation's last ten held as state."""
     path = tables.new_folder(spark, "turns")
-    turns = spark.readStream.schema(read(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    turns = tables.streamed(spark, sf_dir, "conversations")
     try:
         found = eventtime.run(eventtime.conversation_windows(turns), path, "update")
         newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("batch")))

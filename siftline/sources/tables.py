@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder as a stream of its files, be it one file or a folder of them."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # a pattern of one name, since Spark takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
