@@ -402,3 +402,10 @@ def test_rounds_of_searching_end(spark):
     assert rows == [(1, 0, "http://a/0"), (1, 1, "http://c/2"), (3, 0, "http://b/0"), (3, 1, "http://b/1")]
     assert calls[0] == [(t, f"sub topic {p} of {t}") for t in (1, 4) for p in (0, 1)]  # the first two missing topics
     assert [c[0][0] for c in calls] == [1, 4]  # then the task that has found nothing, and no third round
+
+
+def test_semantic_match_finds_other_vectors(spark):
+    from siftline.plans.registered import QUERIES
+
+    rows = QUERIES["semantic_match"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 25 and all(r.vec_id != r.query_id for r in rows)
