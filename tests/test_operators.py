@@ -404,6 +404,24 @@ def test_rounds_of_searching_end(spark):
     assert [c[0][0] for c in calls] == [1, 4]  # then the task that has found nothing, and no third round
 
 
+def test_nearest_by_chunks(spark):
+    """Distances with the same six digits rank by the smaller id, and chunks lose nothing."""
+    import numpy as np
+
+    at = [[1.0000002], [1.0000001], [5.0], None, [1.0, 2.0]] + [[3.0 + (i * 37 % 101)] for i in range(101)]
+    vectors = spark.createDataFrame(list(enumerate(at)), "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, [0.0]), (8, [50.0])], "query_id long, embedding array<double>")
+    got = retrieve.nearest(vectors, asked, 1).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got)[0] == (7, 0)
+    for block in (1, 3, 1000):
+        got = sorted((r.query_id, r["rank"], r.vec_id) for r in retrieve.nearest(vectors, asked, 5, block=block).collect())
+        want = []
+        for q, x in ((7, 0.0), (8, 50.0)):
+            order = sorted((float(np.round(abs(v[0] - x), 6)), i) for i, v in enumerate(at) if v and len(v) == 1)
+            want += [(q, n + 1, i) for n, (_, i) in enumerate(order[:5])]
+        assert got == want
+
+
 def test_semantic_match_finds_other_vectors(spark):
     from siftline.plans.registered import QUERIES
 
