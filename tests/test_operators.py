@@ -427,3 +427,33 @@ def test_semantic_match_finds_other_vectors(spark):
 
     rows = QUERIES["semantic_match"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 25 and all(r.vec_id != r.query_id for r in rows)
+
+
+def test_terms_are_counted_without_a_shuffle(spark, monkeypatch):
+    rows = [(1, "aa bb aa"), (2, "aa"), (3, None), (4, "cc aa"), (None, "xx")]
+    docs = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    plain = lambda x: sorted(map(str, (tuple(r) for r in retrieve.term_counts(docs(x)).collect())))
+    want = [(1, "aa", 2), (1, "bb", 1), (2, "aa", 1), (4, "aa", 1), (4, "cc", 1), (None, "xx", 1)]
+    assert plain(rows) == sorted(map(str, want))
+    assert "Exchange" not in retrieve.term_counts(docs(rows))._jdf.queryExecution().toString()
+    more = [(1, "aa dd"), (None, "xx yy")]
+    want = [(1, "aa", 3), (1, "bb", 1), (1, "dd", 1), (2, "aa", 1), (4, "aa", 1), (4, "cc", 1), (None, "xx", 2), (None, "yy", 1)]
+    monkeypatch.setattr(retrieve, "TOKENS", 2)
+    assert plain(rows + more) == sorted(map(str, want))
+
+
+def test_bm25_by_pieces(spark, monkeypatch):
+    """Pieces of few tokens and few scores give what whole batches give."""
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=8))) for i in range(9)], "item_id long, text string")
+    want = {(r.item_id, r.doc_id): r.score for r in retrieve.bm25(docs, asked).collect()}
+    best = {i: sorted((-s, d) for (j, d), s in want.items() if j == i)[:5] for i in range(9)}
+    for tokens, scores in ((1 << 18, 1 << 22), (50, 20)):
+        monkeypatch.setattr(retrieve, "TOKENS", tokens)
+        monkeypatch.setattr(retrieve, "SCORES", scores)
+        got = retrieve.bm25_topk(docs, asked, 5).collect()
+        assert sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in got) == [(i, n + 1, d, -s) for i in range(9) for n, (s, d) in enumerate(best[i])]
