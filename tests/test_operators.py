@@ -457,3 +457,10 @@ def test_bm25_by_pieces(spark, monkeypatch):
         monkeypatch.setattr(retrieve, "SCORES", scores)
         got = retrieve.bm25_topk(docs, asked, 5).collect()
         assert sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in got) == [(i, n + 1, d, -s) for i in range(9) for n, (s, d) in enumerate(best[i])]
+
+
+def test_merged_hits_scores_documents_once(spark):
+    from siftline.plans.registered import QUERIES
+
+    plan = QUERIES["merged_hits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
