@@ -464,3 +464,13 @@ def test_merged_hits_scores_documents_once(spark):
 
     plan = QUERIES["merged_hits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_pages_are_parsed_a_few_at_once():
+    import pyarrow as pa
+
+    from siftline.operators import pagebody
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000))})
+    parts = list(pagebody.few(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert max(p.num_rows for p in parts) <= 64 and [x for p in parts for x in p.column(0).to_pylist()] == [*range(1000), 0]
