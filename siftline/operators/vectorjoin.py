@@ -7,7 +7,9 @@ is further from the vector's own angle than the threshold's, and none lies beyon
 border between its nearest pivot and the cell's by more. Both are exact, so every link
 is found, whatever the pivots are. Where vectors have structure most windows fall out;
 where they are spread evenly over many dimensions no pivot tells them apart, and each
-left vector is copied to nearly every window (``compared`` and ``pairs`` tell)."""
+left vector is compared with nearly every window (``compared`` and ``pairs`` tell).
+Windows are sent in groups, so a vector is copied GROUPS times at most, about, until a
+group is full; from then on the copies grow with the number of full groups."""
 
 from __future__ import annotations
 
@@ -22,8 +24,11 @@ from siftline.operators.vectorindex import centred, usable
 from siftline.sources import tables
 
 #: Vectors that pivots are fitted on, about; pivots at most; windows of a cell; right
-#: vectors of a task at once, about, and left ones for each of these.
-SAMPLE, MOST_PIVOTS, WINDOWS, BLOCK, LEFT_BLOCKS = 20_000, 1024, 16, 1024, 16
+#: vectors of a cell, about, and of a comparison.
+SAMPLE, MOST_PIVOTS, WINDOWS, BLOCK, CHUNK = 20_000, 1024, 16, 1024, 4096
+#: Groups of windows, and slices of the left vectors of each, about; more where one
+#: would pass so many vectors.
+GROUPS, MOST_GROUP = 8, 1 << 17
 #: What rounding may do to an angle.
 SLACK = 1e-7
 
@@ -52,8 +57,8 @@ def links(left: DataFrame, right: DataFrame, least: float = 0.85, block: int = B
     non-finite components have no links, nor have those of another length than most of
     the right side's (of equally frequent lengths the smaller counts).
 
-    Equal right vectors are one with a number. A window of many vectors, or one that many
-    left vectors go to, is dealt over several tasks. To the driver go a sample's vectors and numbers of
+    Equal right vectors are one with a number. Groups of windows, a window of many vectors
+    and the left vectors of a group are dealt over several tasks. To the driver go a sample's vectors and numbers of
     windows, which are bounded. The result has ``pairs`` (left by different right
     vectors), ``compared`` (those of them that tasks compare) and ``paths``, the tables
     it reads, for the caller to delete."""
@@ -91,70 +96,97 @@ def links(left: DataFrame, right: DataFrame, least: float = 0.85, block: int = B
     low, high = np.array([r.a for r in held]) - reach, np.array([r.b for r in held]) + reach
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))
 
-    def ways(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, window) of what has to be compared."""
+    def meets(units: np.ndarray, only: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Whether each vector has to be compared with each window."""
         dots = units @ pivots.T
         home = dots.argmax(axis=1)
         near = (dots[np.arange(len(home)), home][:, None] - dots) / between[home] <= np.sin(reach) + SLACK
         near[np.arange(len(home)), home] = True
-        angle = angles(dots)[:, where]
-        return np.nonzero(near[:, where] & (angle >= low) & (angle <= high))
+        angle = angles(dots)[:, where[only]]
+        return near[:, where[only]] & (angle >= low[only]) & (angle <= high[only])
+
+    # windows go together into groups, so that a vector is sent once to many of them
+    most = max(block, min(MOST_GROUP, -(-size.n // GROUPS)))
+    first, parts, groups, filled = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), 0, most
+    for w, r in enumerate(held):
+        if r.m > most:  # groups of its own
+            first[w], parts[w], groups, filled = groups, -(-r.m // most), groups - (-r.m // most), most
+        else:
+            if filled + r.m > most:
+                groups, filled = groups + 1, 0
+            first[w], filled = groups - 1, filled + r.m
+
+    def aims(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, group) of what has to be sent, and the windows that are met."""
+        vector, window = np.nonzero(meets(units))
+        times = parts[window]
+        ends = np.cumsum(times)
+        group = np.repeat(first[window] - (ends - times), times) + np.arange(ends[-1] if len(ends) else 0)
+        return *np.divmod(np.unique(np.repeat(vector, times) * max(groups, 1) + group), max(groups, 1)), window
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(len(where), np.int64), 0
+        total, seen = np.zeros(groups + len(where), np.int64), 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                total += np.bincount(ways(matrix(part.column("unit"), width))[1], minlength=len(where))
+                _, group, window = aims(matrix(part.column("unit"), width))
+                total += np.bincount(np.append(group, groups + window), minlength=len(total))
                 seen += part.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int32()), pa.array([*total[some].tolist(), seen], pa.int64())], names=["g", "m"])
 
     asked = unit(left, "query_id").where(F.size("unit") == width)
     met = {r.g: r.m for r in asked.mapInArrow(counted, "g int, m long").groupBy("g").agg(F.sum("m").alias("m")).collect()}
-    to = [(r.cell, r.window, g, -(-r.m // block), -(-met[g] // (block * LEFT_BLOCKS))) for g, r in enumerate(held) if g in met]
-    parts = np.ones(len(where), np.int64), np.ones(len(where), np.int64)
-    for _, _, g, r, s in to:
-        parts[0][g], parts[1][g] = r, s
+    lefts_most = max(block, min(MOST_GROUP, -(-met.get(-1, 0) // GROUPS)))
+    slices = np.array([-(-met.get(g, 0) // lefts_most) for g in range(groups)], np.int64)
+    # a window's part of the right side, and the slices of left vectors that it meets
+    to = [(r.cell, r.window, w, int(first[w]) + i, i, int(parts[w]), int(slices[first[w] + i])) for w, r in enumerate(held) for i in range(int(parts[w])) if slices[first[w] + i]]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                vector, group = ways(matrix(part.column("unit"), width))
-                times = parts[0][group]
-                vector, group, first = np.repeat(vector, times), np.repeat(group, times), np.cumsum(times) - times
-                r = np.arange(len(vector)) - np.repeat(first, times)
-                s = part.column("salt").to_numpy()[vector] % parts[1][group]
+                vector, group, _ = aims(matrix(part.column("unit"), width))
+                s = part.column("salt").to_numpy()[vector] % np.maximum(slices[group], 1)
                 for low_ in range(0, len(vector), 4096):
                     cut = slice(low_, low_ + 4096)
                     rows = part.take(pa.array(vector[cut]))
-                    yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("unit"), *(pa.array(x[cut].astype(np.int64)) for x in (group, r, s))], names=["query_id", "unit", "g", "r", "s"])
+                    yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("unit"), *(pa.array(x[cut].astype(np.int64)) for x in (group, s))], names=["query_id", "unit", "g", "s"])
 
     salted = lambda key: F.pmod(F.xxhash64(key), F.lit(1 << 30)).cast("long")
-    lefts = asked.withColumn("salt", salted("query_id")).mapInArrow(sent, f"query_id {kinds[0]}, unit array<double>, g long, r long, s long")
-    dealt = F.broadcast(spark.createDataFrame(to, "own int, at int, g long, rs long, ss long"))  # as many rows as windows
-    rights = placed.drop("own").join(dealt, (F.col("cell") == F.col("own")) & (F.col("window") == F.col("at")))
-    rights = rights.select("vec_id", "unit", "n", "g", F.pmod(salted("vec_id"), F.col("rs")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ss") - 1)).alias("s"))
+    lefts = asked.withColumn("salt", salted("query_id")).mapInArrow(sent, f"query_id {kinds[0]}, unit array<double>, g long, s long")
+    dealt = F.broadcast(spark.createDataFrame(to, "own int, at int, w long, g long, r long, rs long, ss long"))  # as many rows as windows and their parts
+    rights = placed.drop("own").join(dealt, (F.col("cell") == F.col("own")) & (F.col("window") == F.col("at")) & (F.pmod(salted("vec_id"), F.col("rs")) == F.col("r")))
+    rights = rights.select("vec_id", "unit", "n", "w", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ss") - 1)).alias("s"))
 
     def compared(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by("vec_id")
-        found: list[tuple[np.ndarray, ...]] = []
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if a.num_rows and b.num_rows:
+            b = b.sort_by([("w", "ascending"), ("vec_id", "ascending")])
             x, y, n = matrix(a["unit"], width), matrix(b["unit"], width), b["n"].to_numpy()
-            for start in range(0, len(x), 1024):
-                cos = x[start : start + 1024] @ y.T
-                many = (cos >= least) @ n
-                some = np.flatnonzero(many)
-                best = np.round(cos[some], 9).argmax(axis=1)
-                found.append((some + start, many[some], best, np.round(cos[some, best], 9)))
-        i, many, best, cos = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
-        return pa.table([a["query_id"].take(pa.array(i)), pa.array(many.astype(np.int64)), b["vec_id"].take(pa.array(best)), pa.array(cos.astype(np.float64))], names=["query_id", "n", "vec_id", "cosine"])
-
-    keys = ("g", "r", "s")
+            windows, begin = np.unique(b["w"].to_numpy(), return_index=True)
+            ends = np.append(begin[1:], len(y))
+            for start in range(0, len(x), BLOCK):
+                met_ = np.ascontiguousarray(meets(x[start : start + BLOCK], windows).T)
+                for w, low_, high_ in zip(range(len(windows)), begin, ends, strict=True):
+                    own = np.flatnonzero(met_[w]) + start
+                    for at in range(low_, high_, CHUNK) if len(own) else ():
+                        cos = x[own] @ y[at : min(at + CHUNK, high_)].T
+                        i, j = np.nonzero(cos >= least)
+                        if not len(i):
+                            continue
+                        close = np.round(cos[i, j], 9)
+                        order = np.lexsort((j, -close, i))
+                        order = order[np.append(True, i[order][1:] != i[order][:-1])]
+                        many = np.bincount(i, weights=n[at + j], minlength=len(own)).astype(np.int64)
+                        found.append((own[i[order]], many[i[order]], j[order] + at, close[order]))
+        i, many, best, cos = (np.concatenate([f[k] for f in found]) for k in range(4))
+        return pa.table([a["query_id"].take(pa.array(i)), pa.array(many), b["vec_id"].take(pa.array(best)), pa.array(cos)], names=["query_id", "n", "vec_id", "cosine"])
+
+    keys = ("g", "s")
     hits = lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(compared, f"query_id {kinds[0]}, n long, vec_id {kinds[1]}, cosine double")
     best = hits.groupBy("query_id").agg(F.sum("n").alias("n_links"), F.min(F.struct((-F.col("cosine")).alias("c"), "vec_id", "cosine")).alias("best"))
     out = left.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best.vec_id", "best.cosine")
-    out.pairs, out.compared = met.get(-1, 0) * size.n, sum(held[g].m * m for g, m in met.items() if g >= 0)
+    out.pairs, out.compared = met.get(-1, 0) * size.n, sum(held[g - groups].m * m for g, m in met.items() if g >= groups)
     out.paths = [whole.path, cells.path]
     return out

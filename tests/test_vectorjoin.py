@@ -49,3 +49,15 @@ def test_links_are_those_of_all_pairs(spark):
 
 def test_query_equals_its_sql_at_the_next_size(spark):
     assert not compare(spark, QUERIES["semantic_links"], SQL["semantic_links"], "/root/testdata/sf0.01")
+
+
+def test_vectors_are_sent_to_groups_of_windows(spark, monkeypatch):
+    """Vectors without structure meet all windows, but aren't copied to each."""
+    frame, rng = type(spark.range(0)), np.random.default_rng(8)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 12)))]
+    table = lambda key: spark.createDataFrame(rows, f"{key} long, embedding array<double>")
+    sent, grouped = [], frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda df, *c: (sent.append(df) if [x for x in c if isinstance(x, str)] in (["g", "s"], ["g", "r", "s"]) else None) or grouped(df, *c))
+    got = vectorjoin.links(table("query_id"), table("vec_id"), block=8)
+    assert {r.query_id: (r.n_links, r.vec_id) for r in got.collect()} == plain(rows, rows, 0.85)
+    assert len(sent) == 2 and got.compared > got.pairs / 6 and all(df.count() <= 12 * 600 for df in sent)
